@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -58,13 +58,16 @@ class WordIds(dict):
         return [raw[a : b - 4] for a, b in zip(at, at[1:])]
 
     def learn(self, words: set[str]) -> None:
-        """Make every one of ``words`` known."""
-        if len(self) + len(words) > self.most:
+        """Make every one of ``words`` known at once."""
+        new = set(filterfalse(self.__contains__, words))
+        if len(self) + len(new) > self.most:
             self.old = dict(self)
             self.clear()
+            new = set(words)
         if self.old:
-            self.update({w: self.old[w] for w in words if w in self.old})
-            words = {w for w in words if w not in self}
+            self.update([(w, self.old[w]) for w in new if w in self.old])
+            new = set(filterfalse(self.__contains__, new))
+        words = new
         plain, odd, ended = [], [], []
         for w in words:
             if w[-1:] in self.ends and len(w) > 2 and w[-2].isascii() and w[-2].isalpha():
@@ -73,7 +76,7 @@ class WordIds(dict):
                 odd.append(w)
             else:
                 plain.append(w)
-        base = {w[:-1] for w in ended} - self.keys()
+        base = set(filterfalse(self.__contains__, (w[:-1] for w in ended)))
         bad = {w for w in base if len(w.split()) != 1 or w[1:].strip() != w[1:] or w[0].isspace() and w[0] != " " or len(w) > 200}
         plain += base - bad - set(plain)
         for at in range(0, len(plain), 2000):
@@ -115,7 +118,7 @@ def encode(texts: list[str | None], path: str, at_once: int = 2_000_000) -> list
         part, size = [], 0
         for text in [*group, False]:
             if text is False or size > at_once:
-                known.learn(set().union(*part) - known.keys())
+                known.learn(set().union(*part))
                 get = known.__getitem__
                 out += [b"".join(map(get, p)) for p in part]
                 part, size = [], 0
