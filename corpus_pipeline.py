@@ -3,18 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridlore.llm import simhash
+from gridlore.llm import decontamination, packing, quality, simhash
+from gridlore.llm.queries import HELD_OUT, QUALITY_LEAST
 from gridlore.llm.shared import fresh_path
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under QUALITY_LEAST go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scorer = quality.train(docs, labels, teach=~HELD_OUT)
+    return quality.score(docs, scorer, out_col="_score").where(F.col("_score") >= QUALITY_LEAST).select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens take their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
+#: No SQL for a trained classifier, fingerprints' components, tiling or a tokenizer: the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
