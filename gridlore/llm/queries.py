@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, packing, quality, simhash, token_files
+from . import decontamination, embeddings, packing, quality, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,12 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(_table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).try_cast("long")
+    records = warc.read(manifest, manifest.folder).where("gap is null")
+    return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
