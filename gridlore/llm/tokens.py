@@ -1,22 +1,26 @@
 """Byte-level BPE ids of whole texts, with the tokenizers library asked once for each distinct word.
 
-The pre-tokenizer of the file always ends a piece before a single blank (or after a single line feed) between two characters that are
-not white space, whatever stands around. Texts are cut there, and ids of the cuts are kept: the ids of a text
-are those of its cuts in order, equal to what the library gives for the whole text.
+The pre-tokenizer of the file always ends a piece before a single blank, and around a single line feed, between two characters that are
+not white space, and between letters and the marks after them, whatever stands around. Texts are cut there, and ids of the cuts are kept: the ids of a text
+are those of its cuts in order, equal to what the library gives for the whole text (the tests compare). Strings of special tokens
+in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse, islice
+import struct
 
 import numpy as np
 
 _SPACES = re.compile(r"\s\s")
-#: After a line feed or before a blank, between characters that aren't white space.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
+#: Before a blank between characters that aren't white space.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 _LF = "\n"
+_MARKS = ".,;:!?%&*#$|()"
+#: Words encoded in one call, and words of a text looked up at a time.
+JOINED, WORDS_AT_ONCE = 2000, 1 << 18
 
 
 def default_path() -> str:
@@ -25,104 +29,139 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes; two generations, so memory is bounded and frequent words stay."""
+#: Letters before this one are letters in every version of the tables.
+_LETTERS_TO = "\u0250"
 
-    def __init__(self, path: str, most: int = 500_000):
-        super().__init__()
+
+class _Bytes(dict):
+    """Character -> the library's characters for its bytes, for str.translate."""
+
+    def __missing__(self, c: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self[c] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0]
+        return self[c]
+
+
+class WordIds:
+    """Ids as little-endian unsigned 32-bit bytes, by word. A word stands for itself after a blank; with a line feed before it, for the line feed and itself.
+
+    Two generations of at most ``most`` words each bound the memory, and frequent words stay.
+    """
+
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.old = most, {}
-        self.lf = self._raw(_LF)
-        lf = np.frombuffer(self.lf, "<u4")
-        # one id for a line feed, and a blank after it starts a new piece: what the joint encoding of words needs
-        self.joint = len(lf) == 1 and self._raw("a\n b") == self._raw("a") + self.lf + self._raw(" b")
-        self.lf_id = int(lf[0]) if len(lf) else -1
-        self.ends = {c: self._raw(c) for c in ".,"} if self._raw(" ab.") == self._raw(" ab") + self._raw(".") else {}
-
-    def _raw(self, text: str) -> bytes:
+        self.most, self.new, self.old, self.other = most, {}, {}, {}
+        self.lf = self.raw(_LF)
+        self.lf_id = int(np.frombuffer(self.lf, "<u4")[0])
+        # what the cuts rest on, asked of this file: else whole texts are encoded
+        same = lambda *cuts: self.raw("".join(cuts)) == b"".join(map(self.raw, cuts))
+        self.cuts = len(self.lf) == 4 and all(same(*x) for x in (("a", _LF, " b"), ("a", _LF, "b"), ("a", " b"), ("a.", " ,b"), (" ab", "."), (" ab", "%%%"), ("é", " 1")))
+
+        self.table = _Bytes()
+        self.direct = all(self.raw(" " + w) == self.letters(" " + w) for w in ("a", "abc", "Überzeugung", "élèvent", "internationalisation"))
+
+    def letters(self, text: str) -> bytes:
+        """Ids of letters with at most a blank before them, which the pre-tokenizer leaves whole: the model alone."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.table))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Words without a line feed, in one call: the ids of the line feeds between them show where each ends."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([_LF.join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.nonzero(ids == self.lf_id)[0]
-        if len(ends) != len(words) - 1:
-            return [self._raw(w) for w in words]
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without line feeds, none ending with white space, in one call: the ids of the line feeds between them show where each ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([_LF.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.lf_id)
+        if len(ends) != len(texts) - 1:
+            return [self.raw(t) for t in texts]
         raw, at = ids.tobytes(), [0, *(4 * ends + 4).tolist(), 4 * len(ids) + 4]
         return [raw[a : b - 4] for a, b in zip(at, at[1:])]
 
     def learn(self, words: set[str]) -> None:
-        """Make every one of ``words`` known at once."""
-        new = set(filterfalse(self.__contains__, words))
-        if len(self) + len(new) > self.most:
-            self.old = dict(self)
-            self.clear()
-            new = set(words)
-        if self.old:
-            self.update([(w, self.old[w]) for w in new if w in self.old])
-            new = set(filterfalse(self.__contains__, new))
-        words = new
-        plain, odd, ended = [], [], []
+        if len(self.new) + len(words) > self.most:
+            self.old, self.new = self.new, {}
+        old, new = self.old, self.new
+        if old:
+            again = [w for w in words if w in old]
+            new.update([(w, old[w]) for w in again])
+            words.difference_update(again)
+        whole, marked = [], []
         for w in words:
-            if w[-1:] in self.ends and len(w) > 2 and w[-2].isascii() and w[-2].isalpha():
-                ended.append(w)
-            elif not self.joint or len(w) > 200 or w.isspace() or len(w.split()) != 1 or w[1:].strip() != w[1:] or w[:1].strip() == "" and w[0] != " ":
-                odd.append(w)
+            base = w.rstrip(_MARKS)
+            if base == w or not base.isalpha() or not base.isascii():
+                whole.append(w)
+            else:
+                marked.append((w, base))
+        bases = {b for _, b in marked}
+        if bases:
+            bases.difference_update(whole)
+            whole += [b for b in bases if b not in new]
+        lf = self.lf
+        if self.direct:
+            rest = []
+            for w in whole:
+                own = w[1:] if w[0] == _LF else " " + w
+                if w.isascii() and w.strip(_LF).isalpha() or w.strip(_LF).isalpha() and max(w) < _LETTERS_TO:
+                    new[w] = lf + self.letters(own) if w[0] == _LF else self.letters(own)
+                else:
+                    rest.append(w)
+            whole = rest
+        for at in range(0, len(whole), JOINED):
+            part = whole[at : at + JOINED]
+            new.update([(w, lf + i if w[0] == _LF else i) for w, i in zip(part, self.joined([w[1:] if w[0] == _LF else " " + w for w in part]))])
+        for w, base in marked:
+            new[w] = new[base] + self.mark(w[len(base) :])
+
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.other:
+            self.other[marks] = self.raw(marks)
+        return self.other[marks]
+
+    def ids(self, words: list[str]) -> bytes:
+        out = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            found = list(map(self.new.get, part))
+            if None in found:
+                self.learn({w for w, i in zip(part, found) if i is None})
+                found = list(map(self.new.get, part))
+                if None in found:  # the generations changed meanwhile
+                    self.learn({w for w, i in zip(part, found) if i is None})
+                    found = [i or self.new[w] for w, i in zip(part, found)]
+            out += found
+        return b"".join(out)
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.cuts:
+            return self.raw(text)
+        if not (_SPACES.search(text) or text[0].isspace() or text[-1].isspace()):
+            return self.ids((_LF + text).replace(_LF, " \n")[1:].split(" "))[4:]
+        # white space side by side: cuts with any of it are encoded by themselves
+        if len(self.other) > 20_000:
+            self.other.clear()
+        out = []
+        for piece in _CUT.split(text):
+            if piece[0] == " " and len(piece) > 1 and not any(map(str.isspace, piece[1:])):
+                out.append(self.ids([piece[1:]]))
+            elif len(piece) > 1000:
+                out.append(self.raw(piece))
             else:
-                plain.append(w)
-        base = set(filterfalse(self.__contains__, (w[:-1] for w in ended)))
-        bad = {w for w in base if len(w.split()) != 1 or w[1:].strip() != w[1:] or w[0].isspace() and w[0] != " " or len(w) > 200}
-        plain += base - bad - set(plain)
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            self.update(zip(part, self._encode(part)))
-        self.update((w, self._raw(w)) for w in odd)
-        self.update((w, self._raw(w)) for w in bad)
-        self.update((w, self[w[:-1]] + self.ends[w[-1]]) for w in ended)
-
-
-def cut(text: str) -> list[str]:
-    """The cuts of a text: where white space only stands alone, the quick way."""
-    if not text:
-        return []
-    if _SPACES.search(text) or text[0].isspace() or text[-1].isspace():
-        return _CUT.split(text)
-    if _LF not in text:
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-    out = []
-    for i, line in enumerate(text.split(_LF)):
-        if i:
-            out.append(_LF)
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [" " + w for w in rest]
-    return out
+                out.append(self.mark(piece))
+        return b"".join(out)
 
 
 _KNOWN: dict[str, WordIds] = {}
 
 
-def encode(texts: list[str | None], path: str, at_once: int = 2_000_000) -> list[bytes]:
+def encode(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit bytes; null: none. One cache per worker process."""
     if path not in _KNOWN:
         _KNOWN[path] = WordIds(path)
-    known, out, it = _KNOWN[path], [], iter(texts)
-    while group := list(islice(it, 256)):
-        part, size = [], 0
-        for text in [*group, False]:
-            if text is False or size > at_once:
-                known.learn(set().union(*part))
-                get = known.__getitem__
-                out += [b"".join(map(get, p)) for p in part]
-                part, size = [], 0
-            if text is not False:
-                part.append(cut(text or ""))
-                size += len(text or "")
-    return out
+    return list(map(_KNOWN[path], texts))
