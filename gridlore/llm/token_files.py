@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Folder, fresh_path, stage, unstage
+from .shared import Folder, fresh_path, stage
 from .tokens import default_path, encode
 
 MAGIC = b"GLS8B001"
@@ -195,38 +196,39 @@ def read_file(f) -> Iterator[tuple[int | None, np.ndarray]]:
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 0, folder: str | None = None) -> DataFrame:
     """Write files of all documents in ascending id order -> manifest (file, part, docs, tokens, bytes), staged.
 
-    Every task writes one file, under a name of its own attempt; only files of the manifest count, so a task that runs twice does no harm.
+    Quantiles of the ids cut the order into parts of about as many documents, and a file holds a part. File names carry the
+    attempt that wrote them; only files of the manifest count, so a task that runs twice does no harm.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     tokenizer, folder = tokenizer or default_path(), folder or fresh_path(spark, "token-files")
+    small = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id or 0) < 1 << 16
+    kind = "<u2" if small else "<u4"
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = np.array(sorted(set(src.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or [])), np.int64)
 
     def tokenise(batches):
         for b in batches:
-            ids = encode(b.column(1).to_pylist(), tokenizer)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x + end, "<u4").astype("<u2").tobytes() if small else x + end for x in ids], pa.binary())], names=["id", "raw"])
-
-    from tokenizers import Tokenizer
-
-    small = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id or 0) < 1 << 16
+            raw = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in encode(b.column(1).to_pylist(), tokenizer)]
+            part = [0 if i is None else 1 + int(np.searchsorted(bounds, i)) for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column(0), pa.array(raw, pa.binary())], names=["part", "id", "raw"])
 
     def save(batches):
         from pyspark import TaskContext
 
-        tc = TaskContext.get()
-        name, told = f"ids-{tc.partitionId():06d}-{tc.taskAttemptId()}.s8b", {}
-        rows = ((i, np.frombuffer(r, "<u2").astype("<u4").tobytes() if small else r) for b in batches for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        if (first := next(rows, None)) is None:
-            return
-        again = (x for part in ([first], rows) for x in part)
-        size = Folder(folder).write(name, file_chunks(again, told))
-        yield pa.RecordBatch.from_pydict({"file": [name], "part": [tc.partitionId()], "docs": [told["docs"]], "tokens": [told["tokens"]], "bytes": [size]})
+        attempt = TaskContext.get().taskAttemptId()
+        rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+        for part, group in groupby(rows, lambda x: x[0]):
+            name, told = f"ids-{part:06d}-{attempt}.s8b", {}
+            size = Folder(folder).write(name, file_chunks(((i, np.frombuffer(r, kind).astype("<u4").tobytes()) for _, i, r in group), told))
+            yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "docs": [told["docs"]], "tokens": [told["tokens"]], "bytes": [size]})
 
-    ids = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokenise, "id long, raw binary"), "token-ids")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = ids.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    ids = src.mapInArrow(tokenise, "part long, id long, raw binary")
+    kept = ids.repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first())
     manifest = stage(kept.mapInArrow(save, "file string, part long, docs long, tokens long, bytes long"), "manifest")
-    unstage(ids)
     manifest.folder = folder
     return manifest
 
