@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, packing, quality, simhash, token_files, warc
+from . import chat, decontamination, embeddings, packing, quality, simhash, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
+def op3_chat_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(_table(spark, sf_dir, "conversations"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
@@ -53,5 +61,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_quotation_links, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
