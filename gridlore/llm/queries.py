@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, packing, quality, simhash, token_counts, token_files, warc
+from . import chat, decontamination, embeddings, licences, packing, quality, simhash, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", "family", "likeliest", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
+
+
 def op3_chat_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(_table(spark, sf_dir, "conversations"))
 
@@ -61,5 +66,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_quotation_links, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_chat_quotation_links, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
