@@ -124,13 +124,13 @@ OCC_SQL = """select event_id as rid, concat('species_', cast(user_id % 12 as str
 from {events}"""
 
 #: Cells of the global grid under the stand-in's occurrences, with made layers; nulls by modulus.
-CELLS_SQL = """select c.cell_id, cast(floor(c.cell_id / 2160) as int) as grid_row, cast(c.cell_id % 2160 as int) as grid_col,
-  case when c.cell_id % 37 = 0 then null else cast((c.cell_id * 7919) % 400 as double) / 10.0 - 5.0 end as bio_1,
+CELLS_SQL = """select c.cell_id, cast((c.cell_id - c.cell_id % 2160) / 2160 as int) as grid_row, cast(c.cell_id % 2160 as int) as grid_col,
+  case when c.cell_id % 37 = 0 then null else cast((c.cell_id * 7919) % 400 as double) / cast(10 as double) - cast(5 as double) end as bio_1,
   case when c.cell_id % 41 = 0 then null else cast((c.cell_id * 104729) % 2500 as double) end as bio_12,
-  cast((c.cell_id * 31) % 3600 as double) / 10.0 as aspect,
-  case when c.cell_id % 43 = 0 then null else cast((c.cell_id * 17) % 101 as double) / 100.0 end as tree,
+  cast((c.cell_id * 31) % 3600 as double) / cast(10 as double) as aspect,
+  case when c.cell_id % 43 = 0 then null else cast((c.cell_id * 17) % 101 as double) / cast(100 as double) end as tree,
   cast(case when c.cell_id % 61 = 0 then 255 else c.cell_id % 64 end as int) as mask
-from (select distinct cast(floor((latitude - 90.0) / (-1.0 / 6.0)) as bigint) * 2160 + cast(floor((longitude + 180.0) / (1.0 / 6.0)) as bigint) as cell_id from {occ} where latitude is not null) c"""
+from (select distinct cast(floor((latitude - cast(90 as double)) / (cast(-1 as double) / cast(6 as double))) as bigint) * 2160 + cast(floor((longitude + cast(180 as double)) / (cast(1 as double) / cast(6 as double))) as bigint) as cell_id from {occ} where latitude is not null) c"""
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
