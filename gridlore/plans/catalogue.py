@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_cells, q_clean
+from . import q_cells, q_clean, q_metrics
 
-_ALL = {k: v for m in (q_clean, q_cells) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (q_clean, q_cells, q_metrics) for k, v in m.QUERIES.items()}
 QUERIES = {k: f for k, (f, _) in _ALL.items()}
 ORACLE_SQL = {k: sql for k, (_, sql) in _ALL.items() if sql}
