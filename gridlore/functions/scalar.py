@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 #: km of a degree of longitude at the equator and of a degree of latitude
 KM_LON, KM_LAT = 111.320, 110.574
-COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
+# The sixteen directions in words.
+COMPASS = (
+    "north", "north-north-east", "north-east", "east-north-east", "east", "east-south-east", "south-east", "south-south-east",
+    "south", "south-south-west", "south-west", "west-south-west", "west", "west-north-west", "north-west", "north-north-west",
+)
 
 
 def clip(c: Column, low: float, high: float) -> Column:
@@ -33,8 +37,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def flat_offsets_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
-    """East and north offsets of point 2 from point 1 on a flat earth."""
-    return (lon2 - lon1) * F.lit(KM_LON) * F.cos(F.radians(lat1)), (lat2 - lat1) * F.lit(KM_LAT)
+    """East and north offsets of point 2 from point 1 on a flat earth, at the mean latitude."""
+    return (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2)) * F.lit(KM_LON), (lat2 - lat1) * F.lit(KM_LAT)
 
 
 def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -42,16 +46,18 @@ def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    east, north = flat_offsets_km(lat1, lon1, lat2, lon2)
-    return F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0))
+    """Degrees from north; both axes in degrees, the eastern one narrowed by the mean latitude."""
+    east = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
+    return F.pmod(F.degrees(F.atan2(east, lat2 - lat1)) + 360.0, F.lit(360.0))
 
 
 def compass(degrees: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, COMPASS)), (F.pmod(F.bround(degrees / 22.5).cast("int"), F.lit(16)) + 1).cast("int"))
+    k = F.floor(F.pmod(degrees, F.lit(360.0)) / 22.5 + 0.5).cast("int")
+    return F.element_at(F.array(*map(F.lit, COMPASS)), (F.pmod(k, F.lit(16)) + 1).cast("int"))
 
 
 def distance_phrase(km: Column, degrees: Column) -> Column:
-    return F.when(km < 1.5, F.lit("under 2 km")).otherwise(F.concat(F.bround(km).cast("int").cast("string"), F.lit(" km "), compass(degrees)))
+    return F.when(km < 1.5, F.concat(F.lit("under 2 km "), compass(degrees))).otherwise(F.concat(F.lit("about "), F.bround(km).cast("int").cast("string"), F.lit(" km "), compass(degrees)))
 
 
 def decimals(c: Column, most: int = 6) -> Column:

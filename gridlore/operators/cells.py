@@ -123,7 +123,7 @@ def separated(candidates: DataFrame, grid: Grid, least_km: float = 6.0, keep: in
     chosen: list = []
     for r in candidates.collect():  # k rows
         at = grid.f + (r["grid_row"] + 0.5) * grid.e, grid.c + (r["grid_col"] + 0.5) * grid.a
-        if all(hypot((at[1] - o[1]) * KM_LON * cos(radians(at[0])), (at[0] - o[0]) * KM_LAT) >= least_km for _, o in chosen):
+        if all(hypot((at[1] - o[1]) * KM_LON * cos(radians((at[0] + o[0]) / 2)), (at[0] - o[0]) * KM_LAT) >= least_km for _, o in chosen):
             chosen.append((r, at))
         if len(chosen) == keep:
             break

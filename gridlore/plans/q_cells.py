@@ -129,7 +129,7 @@ QUERIES = {
     "common_validity": (lambda s, d: C.common_validity([cells(s, d)] * 3, "cell_id", ["bio_1", "bio_12", "tree"]), _CELLS + " select cell_id, bio_1, bio_12, tree from cells where bio_1 is not null and bio_12 is not null and tree is not null"),
     "clip_faithful": (_faithful, _CELLS + " select count(*) as n, count(*) as n_equal, cast(0 as bigint) as n_outside from cells where grid_row between 330 and 355 and grid_col between 480 and 509"),
     "ring_fallback": (_ring, _PTS + ", o as (select i - 2 dr, j - 2 dc, greatest(abs(i - 2), abs(j - 2)) ring from range(5) a(i), range(5) b(j)), h as (select p.rid, c.bio_1, o.ring, row_number() over (partition by p.rid order by o.ring, c.grid_row, c.grid_col) k from pts p, o, cells c where c.grid_row = p.grid_row + o.dr and c.grid_col = p.grid_col + o.dc and c.bio_1 is not null) select pts.rid, h.bio_1, cast(h.ring as int) as ring from pts left join h on pts.rid = h.rid and h.k = 1"),
-    "nearest_cells": (_nearest, _CELLS + ", k as (select cell_id, grid_row, grid_col, sqrt(pow((-180.0 + (grid_col + 0.5) / 6.0 + 97.0) * 111.32 * cos(radians(32.0)), 2) + pow((90.0 - (grid_row + 0.5) / 6.0 - 32.0) * 110.574, 2)) km from cells) select cell_id, round(km, 6) as km from k where km <= 60 order by k.km, grid_row, grid_col limit 48"),
+    "nearest_cells": (_nearest, _CELLS + ", k as (select cell_id, grid_row, grid_col, sqrt(pow((-180.0 + (grid_col + 0.5) / 6.0 + 97.0) * 111.32 * cos(radians((90.0 - (grid_row + 0.5) / 6.0 + 32.0) / 2)), 2) + pow((90.0 - (grid_row + 0.5) / 6.0 - 32.0) * 110.574, 2)) km from cells) select cell_id, round(km, 6) as km from k where km <= 60 order by k.km, grid_row, grid_col limit 48"),
     "tile_accumulate": (_accumulate, _ACC),
     "tiles_in_extent": (_overlap_tiles, "with t as (select cast(i as int) tile, (i % 36) * 10 - 180 w, (i // 36) * 10 - 50 s from range(360) r(i)) select tile from t where w < -90 and w + 10 > -100 and s < 35 and s + 10 > 30"),
     "bilinear": (_bilinear, _PTS + ", p as (select rid, (latitude - 90.0) * -6.0 - 0.5 y, (longitude + 180.0) * 6.0 - 0.5 x from pts), q as (select p.*, i.i, j.j from p, (values (0), (1)) i(i), (values (0), (1)) j(j)), h as (select rid, c.bio_12, (case when i = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when j = 1 then x - floor(x) else 1 - (x - floor(x)) end) w from q join cells c on c.grid_row = cast(floor(y) as int) + i and c.grid_col = cast(floor(x) as int) + j where c.bio_12 is not null) select pts.rid, round(g.v, 5) as bio_12 from pts left join (select rid, case when sum(w) <> 0 then sum(bio_12 * w) / sum(w) end v from h group by 1) g using (rid)"),

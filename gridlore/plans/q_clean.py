@@ -86,5 +86,5 @@ QUERIES = {
     "cell_box": (_cell_box, _OCC + ", g as (select rid, cast(floor((latitude - 49.5) / (-1.0 / 120.0)) as int) r, cast(floor((longitude + 125.0) / (1.0 / 120.0)) as int) c from occ where latitude is not null), h as (select *, r between 0 and 3059 and c between 0 and 7019 ok from g) select rid, case when ok then round(-125.0 + c * (1.0 / 120.0), 8) end as west, case when ok then round(49.5 + (r + 1) * (-1.0 / 120.0), 8) end as south, case when ok then round(-125.0 + (c + 1) * (1.0 / 120.0), 8) end as east, case when ok then round(49.5 + r * (-1.0 / 120.0), 8) end as north from h"),
     "coordinate_decimals": (_decimals, _OCC + f" select rid, {_DEC.format('latitude')} as dec_lat, {_DEC.format('longitude')} as dec_lon, coalesce(latitude % 1 = 0 and longitude % 1 = 0, false) as whole, trim(regexp_replace(concat_ws(' ', species, basis), '[^\\pL\\pN]', '_', 'g'), '_') as slug from occ"),
     "listed_and_plants": (_listed, _OCC + " select species, count(*) as n, cast(sum(case when species in ('species_3', 'species_7') then 1 else 0 end) as bigint) as n_not_listed, cast(sum(case when cast(substr(species, 9) as int) % 4 in (1, 2) then 1 else 0 end) as bigint) as n_non_plant from occ group by 1"),
-    "distances": (_distances, _OCC + " select rid, round(12742.0 * asin(sqrt(least(greatest(pow(sin((radians(latitude) - radians(30.0)) / 2), 2) + cos(radians(30.0)) * cos(radians(latitude)) * pow(sin(radians(longitude + 97.0) / 2), 2), 0), 1))), 6) as km, round(sqrt(pow((longitude + 97.0) * 111.32 * cos(radians(30.0)), 2) + pow((latitude - 30.0) * 110.574, 2)), 6) as flat_km, round((degrees(atan2((longitude + 97.0) * 111.32 * cos(radians(30.0)), (latitude - 30.0) * 110.574)) + 360.0) % 360.0, 6) as bearing, round(longitude * cos(radians(32.0)), 8) as x from occ where latitude is not null"),
+    "distances": (_distances, _OCC + " select rid, round(12742.0 * asin(sqrt(least(greatest(pow(sin((radians(latitude) - radians(30.0)) / 2), 2) + cos(radians(30.0)) * cos(radians(latitude)) * pow(sin(radians(longitude + 97.0) / 2), 2), 0), 1))), 6) as km, round(sqrt(pow((longitude + 97.0) * 111.32 * cos(radians((latitude + 30.0) / 2)), 2) + pow((latitude - 30.0) * 110.574, 2)), 6) as flat_km, round((degrees(atan2((longitude + 97.0) * cos(radians((latitude + 30.0) / 2)), latitude - 30.0)) + 360.0) % 360.0, 6) as bearing, round(longitude * cos(radians(32.0)), 8) as x from occ where latitude is not null"),
 }
