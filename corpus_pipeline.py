@@ -13,8 +13,9 @@ from gridlore.llm.shared import fresh_path
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under QUALITY_LEAST go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scorer = quality.train(docs, labels, teach=~HELD_OUT)
-    return quality.score(docs, scorer, out_col="_score").where(F.col("_score") >= QUALITY_LEAST).select(docs.columns)
+    scorer = quality.train(docs, labels, teach=~F.expr(HELD_OUT))
+    name = "_score" + "_" * max(map(len, docs.columns))  # no column of the documents
+    return quality.score(docs, scorer, out_col=name).where(F.col(name) >= QUALITY_LEAST).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
