@@ -131,10 +131,11 @@ def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
     """
     n = fps.count() if n is None else n
     segs = segments(radius, n)
-    key = lambda i: F.shiftrightunsigned("fp", segs[i][0]).bitwiseAND(F.lit((1 << segs[i][1]) - 1))
+    long = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    key = lambda i: F.shiftrightunsigned("fp", segs[i][0]).bitwiseAND(long((1 << segs[i][1]) - 1))
     tagged = lambda k, i: F.struct(F.lit(i).cast("byte").alias("seg"), k.alias("key"))
     entries = fps.select("fp", F.inline(F.array(*[tagged(key(i), i) for i in range(len(segs))])))
-    probes = fps.select("fp", F.inline(F.array(*[tagged(key(i).bitwiseXOR(F.lit(m).cast("long")), i) for i, (_, w, r) in enumerate(segs) for m in ball(w, r)])))
+    probes = fps.select("fp", F.inline(F.array(*[tagged(key(i).bitwiseXOR(long(m)), i) for i, (_, w, r) in enumerate(segs) for m in ball(w, r)])))
     limit = max(ENTRY_ROWS, len(segs) * n // SPLIT_KEYS)
     hot = F.broadcast(entries.groupBy("seg", "key").agg(F.count("*").alias("c")).where(F.col("c") > limit).select("seg", "key", F.ceil(F.col("c") / limit).alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
