@@ -205,3 +205,10 @@ def fold_evaluation(train: DataFrame, held: DataFrame, thresholds: DataFrame, le
     c = confusion(h, [*keys, "threshold"], F.col("threshold"))
     out = c.join(nt, keys, "left").join(auc(held, keys), keys, "left").join(boyce(held, keys), keys, "left")
     return out.where((F.coalesce("n_train_presence", F.lit(0)) >= least_train) & (F.col("n_pos") >= least_held)).select(*keys, "n_pos", "n_neg", "n_train_presence", "threshold", "auc", "boyce", "sensitivity", "specificity", "tss", "omission_rate")
+
+
+def strata(df: DataFrame, tree: str = "tree_pct", crop: str = "crop_pct") -> DataFrame:
+    """A row for each stratum that a row falls in: all, low_tree (10 % at most), no_tree (2 %), cropland and high_tree (50 % at least); unknown cover is in all only."""
+    known = F.col(tree).isNotNull() & F.col(crop).isNotNull()
+    tests = {"all": F.lit(True), "low_tree": known & (F.col(tree) <= 10), "no_tree": known & (F.col(tree) <= 2), "cropland": known & (F.col(crop) >= 50), "high_tree": known & (F.col(tree) >= 50)}
+    return df.withColumn("stratum", F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())))

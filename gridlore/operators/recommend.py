@@ -148,3 +148,11 @@ def rank_countries(rows: DataFrame, cap: int = 1000) -> DataFrame:
     """Countries by (country, species, n): species that are usable, median, capped total, share of the five largest."""
     r = rows.withColumn("_k", F.row_number().over(Window.partitionBy("country").orderBy(F.col("n").desc(), "species")))
     return r.groupBy("country").agg(F.count(F.when(F.col("n") >= 30, 1)).alias("n_usable"), F.median("n").alias("median_n"), F.sum(F.least("n", F.lit(cap))).alias("capped"), F.try_divide(F.sum(F.when(F.col("_k") <= 5, F.col("n"))), F.sum("n")).alias("top5_share"))
+
+
+def reason(name: Column, p: Column, temp: Column, rain: Column, drain: Column) -> Column:
+    """One sentence on how well a species suits a place."""
+    climate = F.when(temp.isNull() | rain.isNull(), "your climate").when((temp >= 18) & (rain < 500), "your warm, dry climate").when(temp >= 18, "your warm climate").when(temp < 8, "your cool climate").when(rain < 450, "your relatively dry climate").otherwise("your climate")
+    ground = F.when(drain >= 5.5, " and well-drained ground").when(drain < 3.5, ", though the soil here holds water").otherwise("")
+    place = F.concat(climate, ground)
+    return F.when(p >= 0.70, F.concat(name, F.lit(" is a strong climate-and-soil match for "), place, F.lit("."))).when(p >= 0.50, F.concat(name, F.lit(" can work in "), place, F.lit(", with some care."))).otherwise(F.concat(name, F.lit(" is only a borderline match for "), place, F.lit(".")))
