@@ -42,7 +42,7 @@ def majority(columns: Sequence[str], codes: Sequence[int]) -> tuple[Column, Colu
     """The class of the largest share, the first of equals, and that share."""
     a = F.array(*map(F.col, columns))
     top = F.array_max(a)
-    return F.element_at(F.array(*map(F.lit, codes)), F.array_position(a, top).cast("int")), top
+    return F.when(top.isNotNull(), F.element_at(F.array(*map(F.lit, codes)), F.array_position(a, top).cast("int"))), top
 
 
 def exclusion_mask(tests: dict[str, Column], known: Column) -> Column:
