@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
 from ..functions.grid import GLOBAL_10M
 from ..operators import background as B
 from ..operators import cells as C

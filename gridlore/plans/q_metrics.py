@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.grid import GLOBAL_10M
 from ..operators import folds as FO
 from ..operators import metrics as M
 from ..sources.tables import CELLS_SQL, OCC_SQL, cells, occ, view
