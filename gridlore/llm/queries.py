@@ -67,4 +67,41 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_chat_quotation_links, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+_NORMAL = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+_QUOTE = chat.QUOTE
+
+#: Quotation linking in DuckDB's SQL, on the passages themselves instead of their hashes.
+CHAT_SQL = f"""with m as (select conv_id, turn, role, text as raw, row_number() over (order by conv_id nulls first, turn nulls first, role nulls first, text nulls first) as g from conversations),
+a as (select g, string_split(regexp_replace(coalesce(raw, ''), '\\r\\n?', chr(10), 'g'), chr(10)) as ls from m),
+l as (select g, unnest(ls) as line, generate_subscripts(ls, 1) as i from a),
+v as (select *, length(regexp_replace(regexp_extract(line, '{_QUOTE}', 1), '[^>]', '', 'g')) as lev, regexp_replace(line, '{_QUOTE}', '') as plain from l),
+c as (select *, case when lag(lev) over (partition by g order by i) = lev then 0 else 1 end as chg from v),
+s as (select *, sum(chg) over (partition by g order by i) as seg from c),
+x as (select *, max(i) over (partition by g, seg) as e, max(i) over (partition by g) as n from s),
+st as (select g, seg, coalesce(string_agg(plain, chr(10) order by i) filter (not (i = e and e < n and regexp_matches(plain, '{chat.INTRODUCES}'))), '') as t from x where lev = 0 group by g, seg),
+o as (select m.g, coalesce(trim(string_agg(st.t, chr(10) order by st.seg), ' ' || chr(10) || chr(9)), '') as own from m left join st using (g) group by m.g),
+q as (select g, seg, string_agg(plain, chr(10) order by i) as t from x where lev > 0 group by g, seg),
+asked as (select distinct g, {_NORMAL.format("u")} as u from (select g, t as u from q union all select g, unnest(string_split(t, chr(10))) from q)),
+said as (select distinct g, {_NORMAL.format("u")} as u from (select g, own as u from o union all select g, unnest(regexp_split_to_array(own, '\\n\\s*\\n')) from o union all select g, unnest(string_split(own, chr(10))) from o)),
+f as (select asked.g, asked.u, max(b.turn) as t from asked join m on m.g = asked.g join said on said.u = asked.u join m b on b.g = said.g and b.conv_id = m.conv_id and b.turn < m.turn where asked.u <> '' group by 1, 2),
+w as (select g, t, count(*) as n from f group by 1, 2),
+k as (select g, t, sum(n) over (partition by g) as n_linked, row_number() over (partition by g order by n desc, t desc) as j from w)
+select m.conv_id, m.g - min(m.g) over (partition by m.conv_id) as position, m.turn, m.role, o.own as text, coalesce(k.t, case when p.conv_id = m.conv_id then p.turn end) as reply_to,
+ cast((select count(*) from q where q.g = m.g) as int) as n_quotes, cast(coalesce(k.n_linked, 0) as bigint) as n_linked
+from m join o using (g) left join k on k.g = m.g and k.j = 1 left join m p on p.g = m.g - 1"""
+
+#: All pairs of one label, in double precision; components as a closure.
+EMBEDDINGS_SQL = """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+g as (select * from v where label is not null and len(e) > 0 and list_count(e) = len(e) and len(list_filter(e, lambda x: isfinite(x))) = len(e) and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id, vec_id as c from embeddings union select r.vec_id, p.b from r join p on p.a = r.c),
+m as (select vec_id, min(c) as component_id from r group by 1), n as (select a as vec_id, count(*) as n from p group by 1)
+select vec_id, coalesce(n.n, 0) as n_links, component_id, vec_id = component_id as kept from m left join n using (vec_id)"""
+
+#: Base32 of a SHA-1: five hex digits are four letters.
+WARC_SQL = """with p as (select page_id, coalesce(html, '') as html from pages), d as (select page_id, octet_length(encode(html)) as n, sha1(html) as h, max(page_id) over (partition by html) as first from p),
+b as (select *, list_transform(range(0, 8), lambda i: cast('0x' || substr(h, cast(i * 5 + 1 as int), 5) as int)) as w from d)
+select page_id, cast(n as bigint) as payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((w[k // 4 + 1] >> cast(15 - 5 * (k % 4) as int)) & 31) + 1, 1)), '') as payload_digest,
+ case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from b"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_quotation_links": CHAT_SQL, "op9_embedding_near_dedup": EMBEDDINGS_SQL, "op10_warc": WARC_SQL}

@@ -122,6 +122,22 @@ def test_quotes(spark):
     assert chat.link(df.where("false")).count() == 0
 
 
+def test_quotes_against_sql(spark):
+    import duckdb
+
+    from gridlore.llm.queries import CHAT_SQL
+
+    r = random.Random(8)
+    parts = ["Hello there", "> Hello there", ">> Hello there", "How are you?", "> how ARE  you?", "", "On Monday b wrote:", "Fine", "> Fine", " > Fine", ">>fine", "a > b", "\r", "> "]
+    rows = [(None if r.random() < 0.05 else r.randrange(6), None if r.random() < 0.05 else r.randrange(8), r.choice("ab"), None if r.random() < 0.05 else "\n".join(r.choice(parts) for _ in range(r.randint(0, 6)))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = df.toArrow()  # noqa: F841  read by name
+    cols = ["conv_id", "position", "turn", "role", "text", "reply_to", "n_quotes", "n_linked"]
+    got = Counter(tuple(x[c] for c in cols) for x in chat.link(df).collect())
+    want = Counter(duckdb.sql(f"select {', '.join(cols)} from ({CHAT_SQL})").fetchall())
+    assert got == want
+
+
 def test_quote_links_go_to_the_latest_earlier_turn(spark):
     df = spark.createDataFrame([(1, i, "u", "same words" if i < 4 else "> same words\nmore") for i in range(6)], "conv_id long, turn long, role string, text string")
     got = {r["turn"]: (r["reply_to"], r["n_linked"]) for r in chat.link(df).collect()}
