@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 
 import numpy as np
 
@@ -63,12 +64,11 @@ class WordIds:
         self.cuts = len(self.lf) == 4 and all(same(*x) for x in (("a", _LF, " b"), ("a", _LF, "b"), ("a", " b"), ("a.", " ,b"), (" ab", "."), (" ab", "%%%"), ("é", " 1")))
 
         self.table = _Bytes()
-        self.direct = all(self.raw(" " + w) == self.letters(" " + w) for w in ("a", "abc", "Überzeugung", "élèvent", "internationalisation"))
+        self.direct = array("I").itemsize == 4 and sys.byteorder == "little" and len(self.table[32]) == 1 and all(self.raw(" " + w) == self.letters(" " + w) for w in ("a", "abc", "Überzeugung", "élèvent", "internationalisation"))
 
     def letters(self, text: str) -> bytes:
         """Ids of letters with at most a blank before them, which the pre-tokenizer leaves whole: the model alone."""
-        ids = [t.id for t in self.tokenizer.model.tokenize(text.translate(self.table))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(text.translate(self.table))]).tobytes()
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -90,27 +90,28 @@ class WordIds:
             again = [w for w in words if w in old]
             new.update([(w, old[w]) for w in again])
             words.difference_update(again)
-        whole, marked = [], []
+        whole, marked, lf = [], [], self.lf
+        blank, model, table, direct = self.table[32], self.tokenizer.model.tokenize, self.table, self.direct
+
+        def one(w: str) -> None:
+            """Letters at once, others later in one call."""
+            plain = w.isascii()
+            if direct and w.isalpha() and (plain or max(w) < _LETTERS_TO):
+                new[w] = array("I", [t.id for t in model(blank + (w if plain else w.translate(table)))]).tobytes()
+            elif direct and w[0] == _LF and w[1:].isalpha() and max(w) < _LETTERS_TO:
+                new[w] = lf + array("I", [t.id for t in model(w[1:].translate(table))]).tobytes()
+            else:
+                whole.append(w)
+
         for w in words:
             base = w.rstrip(_MARKS)
             if base == w or not base.isalpha() or not base.isascii():
-                whole.append(w)
+                one(w)
             else:
                 marked.append((w, base))
-        bases = {b for _, b in marked}
-        if bases:
-            bases.difference_update(whole)
-            whole += [b for b in bases if b not in new]
-        lf = self.lf
-        if self.direct:
-            rest = []
-            for w in whole:
-                own = w[1:] if w[0] == _LF else " " + w
-                if w.isascii() and w.strip(_LF).isalpha() or w.strip(_LF).isalpha() and max(w) < _LETTERS_TO:
-                    new[w] = lf + self.letters(own) if w[0] == _LF else self.letters(own)
-                else:
-                    rest.append(w)
-            whole = rest
+        for base in {b for _, b in marked}:
+            if base not in new:
+                one(base)
         for at in range(0, len(whole), JOINED):
             part = whole[at : at + JOINED]
             new.update([(w, lf + i if w[0] == _LF else i) for w, i in zip(part, self.joined([w[1:] if w[0] == _LF else " " + w for w in part]))])
