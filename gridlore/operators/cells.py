@@ -183,6 +183,13 @@ def bilinear(coarse: DataFrame, column: str, points: DataFrame) -> DataFrame:
 
 
 
+def bilinear_filled(coarse: DataFrame, column: str, points: DataFrame) -> DataFrame:
+    """Bilinear values; where none of the four neighbours has one, the nearest cell on the rings around the point's own."""
+    at = points.select("rid", F.floor("y").cast("int").alias("grid_row"), F.floor("x").cast("int").alias("grid_col"))
+    near = ring_fallback(at, coarse, column, 2).select("rid", F.col(column).alias("_near"))
+    return bilinear(coarse, column, points).join(near, "rid").select("rid", F.coalesce(column, "_near").alias(column))
+
+
 def synonyms(names: DataFrame, keys: DataFrame, plan: DataFrame) -> DataFrame:
     """name -> usage key -> plan record, by two equi-joins."""
     return names.join(keys, "species").join(plan, "usageKey").select("species", *[c for c in plan.columns if c != "usageKey"])

@@ -73,6 +73,21 @@ def _bilinear(s, d):
     return C.bilinear(c, "bio_12", p).select("rid", F.round("bio_12", 5).alias("bio_12"))
 
 
+def _bilinear_filled(s, d):
+    c = cells(s, d).withColumn("v", F.when(F.col("cell_id") % 4 == 0, F.col("bio_12")))
+    p = _points(s, d).select("rid", ((F.col("latitude") - 90.0) * -6.0).alias("y"), ((F.col("longitude") + 180.0) * 6.0).alias("x"))
+    return C.bilinear_filled(c, "v", p).select("rid", F.round("v", 5).alias("v"))
+
+
+_FILLED = _PTS + """, c as (select *, case when cell_id % 4 = 0 then bio_12 end v from cells), p as (select rid, (latitude - 90.0) * -6.0 y, (longitude + 180.0) * 6.0 x from pts),
+ q as (select rid, y - 0.5 y, x - 0.5 x, i.i, j.j from p, (values (0), (1)) i(i), (values (0), (1)) j(j)),
+ h as (select rid, c.v, (case when i = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when j = 1 then x - floor(x) else 1 - (x - floor(x)) end) w from q join c on c.grid_row = cast(floor(y) as int) + i and c.grid_col = cast(floor(x) as int) + j where c.v is not null),
+ b as (select rid, case when sum(w) <> 0 then sum(v * w) / sum(w) end v from h group by 1),
+ o as (select i - 2 dr, j - 2 dc, greatest(abs(i - 2), abs(j - 2)) ring from range(5) a(i), range(5) b(j)),
+ n as (select p.rid, c.v, row_number() over (partition by p.rid order by o.ring, c.grid_row, c.grid_col) k from p, o, c where c.grid_row = cast(floor(p.y) as int) + o.dr and c.grid_col = cast(floor(p.x) as int) + o.dc and c.v is not null)
+ select p.rid, round(coalesce(b.v, n.v), 5) as v from p left join b using (rid) left join n on n.rid = p.rid and n.k = 1"""
+
+
 def _cell_merge(s, d):
     pr = _presence(s, d)
     return C.cell_table(pr.where("species = 'species_1'"), pr.where("species in ('species_2', 'species_3')"), cells(s, d).where("cell_id % 2 = 0").select("cell_id"))
@@ -132,6 +147,7 @@ QUERIES = {
     "tile_accumulate": (_accumulate, _ACC),
     "tiles_in_extent": (_overlap_tiles, "with t as (select cast(i as int) tile, (i % 36) * 10 - 180 w, (i // 36) * 10 - 50 s from range(360) r(i)) select tile from t where w < -90 and w + 10 > -100 and s < 35 and s + 10 > 30"),
     "bilinear": (_bilinear, _PTS + ", p as (select rid, (latitude - 90.0) * -6.0 - 0.5 y, (longitude + 180.0) * 6.0 - 0.5 x from pts), q as (select p.*, i.i, j.j from p, (values (0), (1)) i(i), (values (0), (1)) j(j)), h as (select rid, c.bio_12, (case when i = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when j = 1 then x - floor(x) else 1 - (x - floor(x)) end) w from q join cells c on c.grid_row = cast(floor(y) as int) + i and c.grid_col = cast(floor(x) as int) + j where c.bio_12 is not null) select pts.rid, round(g.v, 5) as bio_12 from pts left join (select rid, case when sum(w) <> 0 then sum(bio_12 * w) / sum(w) end v from h group by 1) g using (rid)"),
+    "bilinear_filled": (_bilinear_filled, _FILLED),
     "pad_to_grid": (lambda s, d: C.pad_to(C.shift_clip(cells(s, d), (340, 349), (485, 496)), 12, 14).agg(F.count("*").alias("n"), F.count("cell_id").alias("n_cells"), F.sum("grid_row").alias("rows")), _CELLS + " select cast(168 as bigint) as n, count(*) as n_cells, cast(924 as bigint) as rows from cells where grid_row between 340 and 349 and grid_col between 485 and 496"),
     "dedupe_two_keys": (_dedupe, "with a as (select event_id rid, user_id, case when event_id % 5 = 0 then null else event_id % 1000 end k2 from events), b as (select *, row_number() over (partition by user_id order by rid) k from a), c as (select * from b where user_id is null or k = 1), e as (select *, row_number() over (partition by k2 order by rid) j from c) select rid from e where k2 is null or j = 1"),
     "cell_set_operations": (lambda s, d: _sets(s, d), _PTS + ", a as (select distinct cell_id from pts where species = 'species_1'), b as (select distinct cell_id from pts where species = 'species_2') select (select count(*) from (select * from a union select * from b)) as n_union, (select count(*) from (select * from a intersect select * from b)) as n_both, (select count(*) from (select * from a except select * from b)) as n_first"),

@@ -73,6 +73,24 @@ def test_anomaly_guards_nulls(spark):
     assert (r["a"], r["b"], r["c"]) == (2000.0, None, 4.0)
 
 
+def test_penman_by_hand(spark):
+    from math import acos, cos, exp, pi, radians, sin, tan
+
+    tmin, tmax, srad, wind, vapr, z, lat, month = 12.0, 25.0, 18.0, 2.0, 1.5, 200.0, 45.0, 6
+    es = lambda t: 0.6108 * exp(17.27 * t / (t + 237.3))
+    dr, de, phi = 1 + 0.033 * cos(2 * pi * 166 / 365), 0.409 * sin(2 * pi * 166 / 365 - 1.39), radians(lat)
+    su = acos(-tan(phi) * tan(de))
+    ra = 24 * 60 / pi * 0.082 * dr * (su * sin(phi) * sin(de) + cos(phi) * cos(de) * sin(su))
+    t, ep = (tmin + tmax) / 2, (es(tmin) + es(tmax)) / 2
+    slope, gamma = 4098 * es(t) / (t + 237.3) ** 2, 0.665e-3 * 101.3 * ((293 - 0.0065 * z) / 293) ** 5.26
+    cloud = min(1.0, max(0.05, 1.35 * srad / ((0.75 + 2e-5 * z) * ra) - 0.35))
+    rnl = 4.903e-9 * ((tmax + 273.16) ** 4 + (tmin + 273.16) ** 4) / 2 * (0.34 - 0.14 * vapr**0.5) * cloud
+    want = 30 * (0.408 * slope * (0.77 * srad - rnl) + gamma * 900 / (t + 273) * wind * (ep - vapr)) / (slope + gamma * (1 + 0.34 * wind))
+    n = F.lit(None).cast("double")
+    r = one(spark, a=climate.penman(*map(F.lit, (tmin, tmax, srad, wind, vapr, z, lat)), month), b=climate.penman(F.lit(tmin), F.lit(tmax), F.lit(srad), F.lit(wind), n, F.lit(z), F.lit(lat), month))
+    assert r["a"] == pytest.approx(want, rel=1e-9) and r["b"] is None
+
+
 def test_exclusions(spark):
     r = one(spark, a=landcover.apply_exclusions(F.lit(0.5), F.lit(255)), b=landcover.apply_exclusions(F.lit(0.5), F.lit(48)), c=landcover.effective_mask(F.lit(None).cast("int")))
     assert (r["a"], r["b"], r["c"]) == (None, 0.5, 15)
