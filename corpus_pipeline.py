@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import decontamination, packing, quality, simhash
+from gridlore.llm import decontamination, near_copies, packing, quality
 from gridlore.llm.queries import HELD_OUT, QUALITY_LEAST
 from gridlore.llm.shared import fresh_path
 
@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (shingles of five words, similarity 0.8 or more) stays, the one with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: No SQL for a trained classifier, fingerprints' components, tiling or a tokenizer: the tests hold the stages against brute force.
+#: No SQL for a trained classifier, near copies' components, tiling or a tokenizer: the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
