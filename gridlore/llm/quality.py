@@ -18,7 +18,7 @@ import re
 import uuid
 import zlib
 from dataclasses import dataclass
-from itertools import filterfalse, islice
+from itertools import chain, filterfalse, islice
 from operator import eq
 
 import numpy as np
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"\w+|[^\w\s]+")
 #: Words of a document scored at a time, and words kept per worker.
 WORDS_AT_ONCE, CACHE_WORDS = 1 << 18, 600_000
+#: Characters of a word whose n-grams are told apart at a time, and rows of the table looked up at a time.
+WORD_PIECE, ROWS_AT_ONCE = 4096, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,22 @@ class Settings:
 AGAIN = {1: " 1 1", 2: " 1 2 1", 3: " 1 2 3 1"}
 
 
-def features(word: str, s: Settings) -> list[int]:
-    """Rows of the table: the word and its character n-grams."""
+def features(word: str, s: Settings) -> list[int] | np.ndarray:
+    """Rows of the table: the word and its character n-grams, each once in every WORD_PIECE places of the word."""
     if word in AGAIN.values():
         return [zlib.crc32(word.encode()) % s.rows]
-    raw = f"<{word[:40]}>".encode("utf-32-le", "surrogatepass")
-    grams = {raw[i : i + 4 * n] for n in range(s.min_n, s.max_n + 1) for i in range(0, len(raw) - 4 * n + 1, 4)}
-    return [zlib.crc32(word.encode("utf-8", "surrogatepass")) % s.rows] + sorted([zlib.crc32(g, 1) % s.rows for g in grams])
+    own = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % s.rows]
+    marked = f"<{word}>"
+    if len(marked) <= WORD_PIECE:
+        return own + _grams(marked, len(marked), s)
+    return np.concatenate([np.array(x, np.int64) for x in (own, *(_grams(marked[at : at + WORD_PIECE + s.max_n - 1], WORD_PIECE, s) for at in range(0, len(marked), WORD_PIECE)))])
+
+
+def _grams(piece: str, places: int, s: Settings) -> list[int]:
+    """Rows of the n-grams that begin at the first places of a piece."""
+    raw = piece.encode("utf-32-le", "surrogatepass")
+    grams = {raw[i : i + 4 * n] for n in range(s.min_n, s.max_n + 1) for i in range(0, min(4 * places, len(raw) - 4 * n + 1), 4)}
+    return sorted([zlib.crc32(g, 1) % s.rows for g in grams])
 
 
 def parts(text: str | None) -> tuple[list[str], dict[int, int]]:
@@ -97,6 +108,10 @@ class Model:
                     words = [words[j] for j in rng.integers(0, len(words), s.sample_words)]
                 rows = np.concatenate(words)
                 share = np.repeat([1 / (len(w) * len(words)) for w in words], [len(w) for w in words]).astype(np.float32)
+                if len(rows) > ROWS_AT_ONCE:  # very long words: each row once
+                    share = np.bincount(rows, share)
+                    rows = np.flatnonzero(share)
+                    share = share[rows].astype(np.float32)
                 x = share @ self.table[rows]
                 p = self._softmax(x @ self.weight + self.bias)
                 p[y[i]] -= 1
@@ -138,13 +153,21 @@ class Scorer:
         return float(1 / (1 + np.exp(-z)))
 
     def learn(self, words: set[str], known: dict[str, float]) -> None:
-        words = list(words)
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            rows = [features(w, self.s) for w in part]
-            sizes = np.array([len(r) for r in rows])
-            flat = self.logits[np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum()))].astype(np.float64)
-            known.update(zip(part, (np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes).tolist()))
+        part, rows, held = [], [], 0
+        for w in words:
+            part.append(w)
+            rows.append(features(w, self.s))
+            held += len(rows[-1])
+            if len(part) == 5000 or held > ROWS_AT_ONCE:
+                self._enter(part, rows, known)
+                part, rows, held = [], [], 0
+        if part:
+            self._enter(part, rows, known)
+
+    def _enter(self, part: list[str], rows: list, known: dict[str, float]) -> None:
+        sizes = np.array([len(r) for r in rows])
+        flat = self.logits[np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))].astype(np.float64)
+        known.update(zip(part, (np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes).tolist()))
 
 
 _KNOWN: dict[str, dict[str, float]] = {}
