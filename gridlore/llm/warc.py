@@ -32,8 +32,9 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r$")
 _END = b"\r\n\r\n"
 _MEMBER = b"\x1f\x8b\x08"
-#: Bytes read or searched at a time; longest header.
-STEP, HEADER_MOST = 1 << 20, 1 << 16
+#: Bytes read or searched at a time.
+STEP = 1 << 20
+NO_END = "header has no end"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -118,17 +119,24 @@ def _find(f, pattern: bytes, at: int) -> Iterator[int]:
         f.seek(base + len(held))
 
 
-def _record(f, at: int) -> tuple[dict[str, str], bytes, int]:
-    """(header, block, end) of the record at a place of a plain stream; Gap if a check fails."""
+def _header(f, at: int) -> bytes:
+    """The header at a place of a plain stream, of any length; Gap if there is none."""
     f.seek(at)
-    head = f.read(4096)
+    head = bytearray(f.read(4096))
     if not _VERSION.match(head):
         raise Gap("no version line")
-    while _END not in head and len(head) < HEADER_MOST and (more := f.read(4096)):
+    seen = 0
+    while (k := head.find(_END, seen)) < 0:
+        seen = max(0, len(head) - len(_END) + 1)
+        if not (more := f.read(min(STEP, len(head)))):
+            raise Gap(NO_END)
         head += more
-    raw, end, _ = head.partition(_END)
-    if not end:
-        raise Gap("header has no end")
+    return bytes(head[:k])
+
+
+def _record(f, at: int) -> tuple[dict[str, str], bytes, int]:
+    """(header, block, end) of the record at a place of a plain stream; Gap if a check fails."""
+    raw = _header(f, at)
     if not (m := _LENGTH.search(raw + b"\r")):
         raise Gap("no content length")
     fields = {}
@@ -157,11 +165,14 @@ def plain(f) -> Iterator[tuple]:
             head, block, end = _record(f, at)
         except Gap as why:
             for k in _find(f, b"WARC/1.", at + 1):
-                f.seek(k)
-                raw = f.read(HEADER_MOST)
-                if _VERSION.match(raw) and _END in raw and _LENGTH.search(raw.partition(_END)[0] + b"\r"):
-                    end = k
-                    break
+                try:
+                    if _LENGTH.search(_header(f, k) + b"\r"):
+                        end = k
+                        break
+                except Gap as no:
+                    if str(no) == NO_END:  # nor has any header after it
+                        end = size
+                        break
             else:
                 end = size
             yield "gap", at, end, str(why)
