@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, unstage
+from .shared import join_spread, stage, unstage
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,25 +32,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs -> (node, root), root the smallest node of the component.
 
-    Each half-round is one aggregate and one join on the same key, written to the shared folder. Ends when
+    Each half-round is one aggregate (combined before the shuffle) and one join on the same key, written to the shared folder;
+    the rows of a node with very many edges are joined where they are, not in one task. Ends when
     a round changes nothing. Self-loops and nulls are ignored; repeated edges count once; no edges: no rows.
     """
     e = stage(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
-        sign = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == before or not sign[0]:
+        n, total = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, total) == before or not n:
             break
-        before = sign
+        before = n, total
         # large star: every larger neighbour goes to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        large = join_spread(both.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # small star: every smaller neighbour, and the node, go to the smallest of them
         mid = stage(large, "large")
-        low = mid.groupBy("u").agg(F.min("v").alias("m"))
-        small = mid.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        down = stage(mid.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = join_spread(mid, down, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         new = stage(small, "small")
-        unstage(e, mid)
+        unstage(e, mid, low, down)
         e = new
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,11 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands give candidates, the shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash with multi-index hashing finds them, the shingle sets decide.
 
-A text's set holds the XXH64 hashes of its shingles of five words. Texts of equal sets are one class. A class has ``BANDS`` keys of ``BAND_ROWS``
-minima each; classes that share a key are candidates: a pair of similarity 0.8 is missed with a probability of (1 - 0.8^5)^32, 3 in a
-million, a nearer one more seldom. A candidate counts only if the similarity of the whole sets reaches ``least``.
+The second form of operator 5, for a similarity instead of a number of bits. A text's set holds the XXH64 hashes of its shingles of five words, texts of
+equal sets are one class. The fingerprint is the bitwise majority of the shingles' hashes, each stretched to some 64-bit lanes. Of two sets of similarity s a
+bit differs with probability p = acos(2s / (1 + s)) / pi, 0.15 for 0.8. A single 64-bit word would need balls of 17 bits to catch these pairs; so the fingerprint is
+wide and cut into many segments, each with its table, and a pair is met where one whole segment is equal (the ball of radius 0). The segments' width grows with the
+logarithm of the number of documents, so that a table entry keeps a few dozen classes; their number follows from p, so that a pair of exactly
+the least similarity is met with probability ``RECALL`` (nearer ones more surely).
 
-A bucket of equal keys isn't paired out at once: in some rounds its classes are held against one of them, and only classes that are
-still in different components are held against each other in the last round, inside a task, by an index of the bucket's shingles. No bucket is capped.
+Classes that meet are compared by the first two lanes, those that pass by the complete fingerprint, those that pass by their whole
+sets. Pairs of a group aren't listed: in some rounds every class is held against the nearest one of another component, then only classes
+that are still in different components are held against each other. No entry is capped: what exceeds ``ENTRY_ROWS`` is dealt in parts, and
+classes outside of the entry's main component ask each part.
 
 Defined results: a null text counts as empty; empty texts are one class; a shorter text is one shingle; repeated rows each get a row; texts of which
 all ids are null link nothing; an empty table gives no rows. Only the id and text columns are read.
@@ -13,26 +18,61 @@ all ids are null link nothing; an empty table gives no rows. Only the id and tex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stage
-
-BANDS, BAND_ROWS = 32, 5
-#: Shingles that are hashed for all minima at a time.
-SHINGLES_AT_ONCE = 512
-#: Rounds in which a bucket's classes are held against one of them.
-STAR_ROUNDS = 2
-
-_rng = np.random.default_rng(42)
-_XOR, _TIMES = _rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-_TIMES |= np.uint64(1)
+from .shared import join_spread, stage, unstage
+from .simhash import kept_rows
+
+RECALL = 0.999
+#: Classes that a table entry should keep on average, and the least width of a segment in bits.
+ENTRY_CLASSES, LEAST_WIDTH = 64, 16
+#: Classes of one entry that are held against each other in one task.
+ENTRY_ROWS = 4096
+#: Rounds in which every class is held against the nearest of another component.
+NEAREST_ROUNDS = 3
+#: Standard deviations beyond the mean distance at the least similarity that the fingerprints may differ.
+SLACK = 3.5
+#: Shingles stretched at a time, and pairs compared at a time.
+SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 255, 1 << 20
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of fingerprint and tables for a similarity and a number of documents."""
+
+    width: int
+    segments: int
+    p: float
+
+    @classmethod
+    def of(cls, least: float, n: int) -> Shape:
+        p = math.acos(2 * least / (1 + least)) / math.pi
+        width = min(40, max(LEAST_WIDTH, math.ceil(math.log2(max(1, n) / ENTRY_CLASSES))))
+        return cls(width, math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - p) ** width))), p)
+
+    @property
+    def lanes(self) -> int:
+        return max(2, -(-self.width * self.segments // 64))
+
+    def radius(self, bits: int) -> int:
+        return math.floor(bits * self.p + SLACK * math.sqrt(bits * self.p * (1 - self.p)))
+
+    def key(self, i: int, fp: Column) -> Column:
+        """Segment i of the lanes and its number, as one long."""
+        word, shift = divmod(i * self.width, 64)
+        low = F.shiftrightunsigned(fp[word], shift)
+        if shift + self.width > 64:
+            low = low.bitwiseOR(F.shiftleft(fp[word + 1], 64 - shift))
+        return low.bitwiseAND(F.lit((1 << self.width) - 1).cast("long")) + F.lit(i << self.width).cast("long")
 
 
 def shingles(text: str | None, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
@@ -52,19 +92,24 @@ def class_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes())
 
 
-def band_keys(own: np.ndarray) -> list[int]:
-    """A key for each band; none for an empty set."""
-    if not len(own):
-        return []
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), SHINGLES_AT_ONCE):
-        np.minimum(low, ((own[at : at + SHINGLES_AT_ONCE, None] ^ _XOR) * _TIMES).min(axis=0), out=low)
-    raw, n = low.tobytes(), 8 * BAND_ROWS
-    return [xxhash.xxh64_intdigest(raw[i * n : (i + 1) * n], i) for i in range(BANDS)]
+def _mixers(lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    xor, times = np.random.default_rng(42).integers(0, 1 << 64, (lanes, 2), np.uint64).T
+    return xor.copy(), times | np.uint64(1)
 
 
-def _longs(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def fingerprint(own: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The majority of the hashes' bits in each lane, as 64-bit words; no words for an empty set."""
+    if not len(own):
+        return np.zeros(0, np.uint64)
+    xor, times = mixers
+    count = np.zeros(64 * len(xor), np.int64)
+    for at in range(0, len(own), SHINGLES_AT_ONCE):
+        h = (own[at : at + SHINGLES_AT_ONCE, None] ^ xor) * times
+        h ^= h >> np.uint64(32)
+        h *= times
+        h ^= h >> np.uint64(29)
+        count += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(own)).view(np.uint64)
 
 
 def _lists(rows: list) -> pa.Array:
@@ -72,17 +117,18 @@ def _lists(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42) -> DataFrame:
-    """(id, node, keys): a row for each row of docs, node its class."""
+def sketches(docs: DataFrame, lanes: int, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42) -> DataFrame:
+    """(id, node, fp): a row for each row of docs, node its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixers = _mixers(lanes)
         for b in batches:
             sets = (shingles(t.as_py(), shingle_words, seed) for t in b.column(1))
-            both = [(class_of(s), band_keys(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), _longs([c for c, _ in both]), _lists([k for _, k in both])], names=["id", "node", "keys"])
+            both = [(class_of(s), fingerprint(s, mixers)) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([c for c, _ in both], np.uint64).view(np.int64)), _lists([k for _, k in both])], names=["id", "node", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, node long, keys array<long>")
+    return src.mapInArrow(run, "id long, node long, fp array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int, seed: int) -> DataFrame:
@@ -99,94 +145,181 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
     return src.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
 
 
-def _across(least: float):
-    """Rows (key, node, comp, own) sorted by key -> links that join the components of each bucket as all its near pairs would."""
-
-    def bucket(node: np.ndarray, comp: np.ndarray, own: list[np.ndarray]) -> list[tuple[int, int]]:
-        sizes, comp, out = np.array([len(x) for x in own]), comp.copy(), []
-        flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, of = flat[order], of[order]
-        ids, n = np.unique(comp, return_counts=True)
-        for x in np.flatnonzero(comp != ids[n.argmax()]).tolist():
-            if (comp == comp[x]).all():
+def _entries(batches: Iterator[pa.RecordBatch], n_keys: int, most: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Rows sorted by their first n_keys columns -> batches that hold whole keys, and whether a key is too long for that (then some of its rows)."""
+    held: list[pa.RecordBatch] = []
+    long_key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+        keys = np.stack([t.column(i).to_numpy() for i in range(n_keys)])
+        if long_key is not None:
+            n = int(np.argmin(np.append((keys == long_key[:, None]).all(axis=0), False)))
+            if n:
+                yield t.slice(0, n), True
+            if n == t.num_rows:
                 continue
-            lo, hi = np.searchsorted(flat, own[x], "left"), np.searchsorted(flat, own[x], "right")
-            common = np.zeros(len(own), np.int64)
-            for a, b in zip(lo.tolist(), hi.tolist()):
-                common[of[a:b]] += 1  # a set has a shingle once
-            near = (common >= least * (sizes + sizes[x] - common)) & (comp != comp[x])
-            for c in np.unique(comp[near]).tolist():
-                y = int(np.flatnonzero(near & (comp == c))[0])
-                out.append((int(node[x]), int(node[y])))
-                comp[comp == c] = comp[x]
-        return out
+            t, keys, long_key = t.slice(n), keys[:, n:], None
+        same = (keys == keys[:, -1:]).all(axis=0)
+        last = t.num_rows - int(np.argmin(np.append(same[::-1], False)))
+        if last:
+            yield t.slice(0, last), False
+        held = [t.slice(last)]
+        if held[0].num_rows > most:
+            yield held[0], True
+            long_key, held = keys[:, -1], []
+    if held:
+        yield held[0], False
+
+
+def _met(radius: int, most: int):
+    """Rows (key, node, a, b) sorted by key -> the rows that have a near one in their entry; rows of very long entries all pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        at = None
+        for b, long_one in _entries(batches, 1, most):
+            if not long_one:
+                key, x, y = b.column(0).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy().view(np.uint64)
+                near, at, d = np.zeros(len(key), bool), np.arange(len(key) - 1), 1
+                while len(at := at[at + d < len(key)]) and len(at := at[key[at] == key[at + d]]):
+                    hit = at[np.bitwise_count(x[at] ^ x[at + d]).astype(np.int16) + np.bitwise_count(y[at] ^ y[at + d]) <= radius]
+                    near[hit] = near[hit + d] = True
+                    d += 1
+                b = b.filter(pa.array(near))
+            if b.num_rows:
+                yield b
 
-        def done():
-            found = bucket(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held])
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+    return run
+
+
+def _cuts(b: pa.RecordBatch, n_keys: int) -> list[tuple[int, int]]:
+    keys = np.stack([b.column(i).to_numpy() for i in range(n_keys)])
+    at = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+    return list(zip([0, *at.tolist()], [*at.tolist(), b.num_rows]))
+
+
+def _matrix(c: pa.Array) -> np.ndarray:
+    return c.flatten().to_numpy().view(np.uint64).reshape(len(c), -1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row of x, distances of some rows of x to all of y)."""
+    step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
+    for at in range(0, len(x), step):
+        d = np.zeros((len(x[at : at + step]), len(y)), np.int32)
+        for lane in range(x.shape[1]):
+            d += np.bitwise_count(x[at : at + step, lane, None] ^ y[None, :, lane])
+        yield at, d
 
-        for b in batches:
-            key, node, comp = (b.column(i).to_pylist() for i in range(3))
-            for i, k in enumerate(key):
-                if held and k != at:
-                    yield done()
-                    held = []
-                at = k
-                held.append((node[i], comp[i], np.array(b.column(3)[i].values).copy()))
-        if held:
-            yield done()
+
+def _nearest(radius: int):
+    """Rows (key, part, node, comp, fp) -> each class with the nearest of another component in its entry, if near: (u, v, d)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _ in _entries(batches, 2, 1 << 62):
+            for lo, hi in _cuts(b, 2):
+                node, comp = (b.column(i).to_numpy()[lo:hi] for i in (2, 3))
+                if (comp == comp[0]).all():
+                    continue
+                fp = _matrix(b.column(4).slice(lo, hi - lo))
+                for at, d in _apart(fp, fp):
+                    d[comp[at : at + len(d), None] == comp[None, :]] = 1 << 30
+                    j = d.argmin(axis=1)
+                    d = d[np.arange(len(j)), j]
+                    ok = d <= radius
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at : at + len(j)][ok]), pa.array(node[j[ok]]), pa.array(d[ok])], names=["u", "v", "d"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
-    """(id, component_id): a row for each row of docs, component_id the smallest id that links of at least that similarity reach."""
-    by_doc = stage(sketches(docs, id_col, text_col, shingle_words, seed), "sketches")
-    classes = stage(by_doc.groupBy("node").agg(F.min("id").alias("low"), F.first("keys").alias("keys")), "classes")
-    bands = classes.where("low is not null").select("node", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stage(bands.join(shared, "key"), "members")
-    wanted = classes.select("node", F.col("low").alias("id")).join(members.select("node").distinct(), "node", "left_semi")
-    sets = stage(_sets(docs, wanted, id_col, text_col, shingle_words, seed), "sets")
-    comp, links, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        at = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-        split = at.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("one")).where("a < b")
-        if turn == STAR_ROUNDS:
-            rows = at.join(split.select("key"), "key").join(sets, "node").select("key", "node", "comp", "own")
-            new = stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), "u long, v long").distinct(), "near")
-            links = new if links is None else links.unionByName(new)
-            comp = stage(connected_components(links), "components")
-            break
-        found = at.join(split.select("key", F.col("one.node").alias("other"), F.col("one.comp").alias("its")), "key")
-        pairs = found.where("comp <> its").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+def _across(radius: int):
+    """Rows (key, part, asks, node, comp, fp) -> near pairs (u < v) of one that asks and one that is asked, of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _ in _entries(batches, 2, 1 << 62):
+            for lo, hi in _cuts(b, 2):
+                asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)[lo:hi]
+                node, comp = (b.column(i).to_numpy()[lo:hi] for i in (3, 4))
+                fp = _matrix(b.column(5).slice(lo, hi - lo))
+                x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+                for at, d in _apart(fp[x], fp[y]):
+                    i, j = np.nonzero((d <= radius) & (comp[x][at : at + len(d), None] != comp[y][None, :]))
+                    u, v = node[x][at + i], node[y][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v), staged, whose whole sets reach the similarity, staged."""
+    n = pairs.count()
+    for c in ("u", "v"):
+        own = stage(pairs.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")).join(sets, "node").select(F.col("node").alias(c), F.col("own").alias(f"s{c}"), "n"), "asked")
+        pairs = join_spread(pairs, own, c, n)
+    common = F.size(F.array_intersect("su", "sv"))
+    near = pairs.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv")).alias("n")).where(F.col("c") >= F.lit(least) * (F.col("n") - F.col("c")))
+    return stage(near.select("u", "v"), "near")
+
+
+def _roots(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, seed: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(by_doc, classes): id and node of each row; node, low, n, root of each class, low the smallest id of its rows and n how many have it."""
+    shape = Shape.of(least, docs.count())
+    bits = 64 * shape.lanes
+    by_doc = stage(sketches(docs, shape.lanes, id_col, text_col, shingle_words, seed), "sketches")
+    classes = stage(by_doc.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp")), "classes")
+    found = classes.where("low is not null and size(fp) > 0")
+    keys = F.array(*[shape.key(i, F.col("fp")) for i in range(shape.segments)])
+    rows = found.select(F.explode(keys).alias("key"), "node", F.col("fp")[0].alias("a"), F.col("fp")[1].alias("b"))
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met(shape.radius(128), ENTRY_ROWS), "key long, node long, a long, b long").select("key", "node")
+    met = stage(met.join(classes.select("node", "fp"), "node").select("key", "node", "fp"), "met")
+    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / ENTRY_ROWS).alias("parts"))
+    split = stage(sizes.where("parts > 1"), "long-entries")
+    nodes = met.select("node").distinct()
+    sets = stage(_sets(docs, classes.select("node", F.col("low").alias("id")).join(nodes, "node", "left_semi"), id_col, text_col, shingle_words, seed), "sets")
+
+    tried = links = comp = None
+    for turn in range(NEAREST_ROUNDS + 1):
+        at = met.withColumn("comp", F.col("node")) if comp is None else met.join(comp, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("comp"))
+        at = at.join(F.broadcast(split), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # entries of the tables over ENTRY_ROWS: fewer than their rows by that factor
+        own = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))
+        if turn < NEAREST_ROUNDS:
+            dealt = at.select("key", own.alias("part"), "node", "comp", "fp").repartition("key", "part").sortWithinPartitions("key", "part")
+            near = dealt.mapInArrow(_nearest(shape.radius(bits)), "u long, v long, d int").groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v"))
+            pairs = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        else:
+            # the classes outside of the largest component of an entry ask all classes of the entry
+            main = at.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps"))
+            main = stage(main.where("comps > 1").drop("comps"), "main")
+            mixed = join_spread(at, main, "key", main.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+            asked = mixed.select("key", own.alias("part"), F.lit(False).alias("asks"), "node", "comp", "fp")
+            asks = mixed.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node", "comp", "fp")
+            dealt = asked.unionByName(asks).repartition("key", "part").sortWithinPartitions("key", "part")
+            pairs = dealt.mapInArrow(_across(shape.radius(bits)), "u long, v long").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = stage(pairs, "pairs")
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("sv")), "v")
-        common = F.size(F.array_intersect("su", "sv"))
-        near = both.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv")).alias("n")).where(F.col("c") >= F.lit(least) * (F.col("n") - F.col("c"))).select("u", "v")
-        new = stage(near, "near")
+        new = _verified(pairs, sets, least)
         links = new if links is None else links.unionByName(new)
         comp = stage(connected_components(links), "components")
-    root = classes.select("node", "low", F.col("node").alias("root")) if comp is None else classes.join(comp, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    low = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    return by_doc.join(root.join(low, "root").select("node", "component_id"), "node").select("id", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id names its component: one document of each group; rows with a null id stay."""
-    found = stage(near_duplicates(docs, id_col, text_col, **how), "groups")
-    kept = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("copies"))
-    rows = docs.join(kept.withColumnRenamed("id", id_col).drop("copies"), id_col, "left_semi")
-    if not kept.where("copies > 1").isEmpty():  # the same row more than once
-        rows = rows.dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    root = F.col("node") if comp is None else F.coalesce("root", "node")
+    out = stage((classes if comp is None else classes.join(comp, "node", "left")).select("node", "low", "n", root.alias("root")), "roots")
+    unstage(met, sets)
+    return by_doc, out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
+    """(id, component_id): a row for each row of docs, component_id the smallest id that links of at least that similarity reach."""
+    by_doc, classes = _roots(docs, id_col, text_col, shingle_words, seed, least)
+    low = stage(classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "lowest")
+    of_class = join_spread(classes.select("node", F.col("n").alias("rows"), "root"), low, "root", classes.count())
+    of_class = stage(of_class.select("node", "component_id", F.col("rows").alias("n")), "groups")
+    return join_spread(by_doc, of_class, "node", by_doc.count()).select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42, least: float = 0.8) -> DataFrame:
+    """One row of docs for each group of near copies, all columns, that of the smallest id: see simhash.kept_rows."""
+    by_doc, classes = _roots(docs, id_col, text_col, shingle_words, seed, least)
+    return kept_rows(docs, by_doc, classes, lambda t: class_of(shingles(t, shingle_words, seed)), id_col, text_col)

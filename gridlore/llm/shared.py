@@ -8,23 +8,32 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests on one machine).
-FALLBACK_DIR = "/tmp/checkpoints"
-_ROOTS: dict[str, str] = {}
+#: Used only in a local session that names no ``spark.checkpoint.dir`` (tests on one machine).
+FALLBACK_DIR = "file:///tmp/checkpoints"
+_ROOTS: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder for this application below ``spark.checkpoint.dir``; removed when the driver ends."""
+    """A folder for this application below ``spark.checkpoint.dir``, or below the folder set at run time; removed when the driver ends.
+
+    The path is qualified once by the file system that Spark takes for it, so that tables and our own files go to one store. A cluster
+    session without such a folder is refused.
+    """
     sc = spark.sparkContext
-    if sc.applicationId not in _ROOTS:
-        base = sc.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = f"file://{FALLBACK_DIR}"
-            sc.setCheckpointDir(base)
-        _ROOTS[sc.applicationId] = f"{base.rstrip('/')}/gridlore-{sc.applicationId}"
-        atexit.register(_forget, spark, _ROOTS[sc.applicationId])
-    return _ROOTS[sc.applicationId]
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(FALLBACK_DIR)
+        base = FALLBACK_DIR
+    key = sc.applicationId, base
+    if key not in _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/gridlore-{sc.applicationId}")
+        _ROOTS[key] = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        atexit.register(_forget, spark, _ROOTS[key])
+    return _ROOTS[key]
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -60,6 +69,22 @@ def unstage(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+#: Most keys whose rows are joined where they are; the bound of the broadcast in join_spread.
+SPREAD_KEYS = 4096
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """many joined with one on key; one has a row for each key, with n, about the rows of many that have it (n goes). total: the sum of n.
+
+    Keys with more than a SPREAD_KEYS-th of the rows (fewer than SPREAD_KEYS) are broadcast, so their rows stay where they are; the
+    others are shuffled, and none of them can fill a task. Both tables should be staged: each is read twice.
+    """
+    limit = max(256, total // SPREAD_KEYS)
+    hot = F.broadcast(one.where(F.col("n") > limit).drop("n"))
+    rest = many.join(F.broadcast(one.where(F.col("n") > limit).select(key)), key, "left_anti")
+    return many.join(hot, key).unionByName(rest.join(one.where(F.col("n") <= limit).drop("n"), key))
+
+
 class Folder:
     """Byte files in a shared folder, for executors: a mounted path by plain calls, other stores through pyarrow."""
 

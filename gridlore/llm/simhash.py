@@ -11,16 +11,17 @@ component unless nothing else can (then the component is null); an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .shared import stage
+from .shared import join_spread, stage
 
 #: Shingle hashes that are unpacked to bits at a time.
 BITS_AT_ONCE = 1 << 16
@@ -146,21 +147,50 @@ def links(fps: DataFrame, radius: int = 4, n: int | None = None) -> DataFrame:
     return rows.mapInArrow(_links(radius), "u long, v long")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, seed: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(by_doc, classes): id and fp of each row; fp, low, n, root of each fingerprint, low the smallest id and n the number of its rows."""
+    by_doc = stage(fingerprints(docs, id_col, text_col, shingle_words, seed), "fingerprints")
+    fps = stage(by_doc.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "classes")
+    comp = connected_components(links(fps.select("fp"), radius))
+    return by_doc, stage(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): a row for each row of docs, component_id the smallest id that links reach."""
-    by_doc = stage(fingerprints(docs, id_col, text_col, shingle_words, seed), "fingerprints")
-    fps = stage(by_doc.groupBy("fp").agg(F.min("id").alias("low")), "classes")
-    comp = stage(connected_components(links(fps.select("fp"), radius)), "components")
-    rooted = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return by_doc.join(rooted.join(low, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose id names its component: one document of each group; rows with a null id stay."""
-    found = stage(near_duplicates(docs, id_col, text_col, **how), "groups")
-    kept = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("copies"))
-    rows = docs.join(kept.withColumnRenamed("id", id_col).drop("copies"), id_col, "left_semi")
-    if not kept.where("copies > 1").isEmpty():  # the same row more than once
-        rows = rows.dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    by_doc, classes = _classes(docs, id_col, text_col, shingle_words, seed, radius)
+    low = stage(classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "lowest")
+    of_class = join_spread(classes.select("fp", F.col("n").alias("rows"), "root"), low, "root", classes.count())
+    of_class = stage(of_class.select("fp", "component_id", F.col("rows").alias("n")), "groups")
+    return join_spread(by_doc, of_class, "fp", by_doc.count()).select("id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """One row of docs for each group, all columns: see kept_rows."""
+    by_doc, classes = _classes(docs, id_col, text_col, shingle_words, seed, radius)
+    own = lambda t: int.from_bytes(fingerprint(t, shingle_words, seed), "big")
+    return kept_rows(docs, by_doc.withColumnRenamed("fp", "node"), classes.withColumnRenamed("fp", "node"), own, id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, by_doc: DataFrame, classes: DataFrame, class_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """Of each group (root) the row of docs with the smallest id. by_doc (id, node), classes (node, low, root); class_of gives a text's class, unsigned.
+
+    An id that stands for several texts names its group only with the text that is in it (of several such texts in one group the one of the smallest class number),
+    and of equal rows one stays. Rows with a null id stay.
+    """
+    first = classes.where("low is not null").groupBy("root").agg(F.min(F.struct("low", "node")).alias("one")).select(F.col("one.low").alias("id"), F.col("one.node").alias("node"))
+    first = stage(first, "first")
+    times = by_doc.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    unsure = stage(first.join(times, "id", "left_semi"), "unsure")
+    sure = docs.join(first.join(unsure.select("id").distinct(), "id", "left_anti").select(F.col("id").alias(id_col)), id_col, "left_semi")
+    kept = sure.unionByName(docs.where(F.col(id_col).isNull()))
+    if unsure.isEmpty():
+        return kept.select(docs.columns)
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([class_of(t) for t in texts], np.uint64).view(np.int64))
+
+    name = "_class" + "_" * max(map(len, docs.columns))  # no column of docs
+    named = docs.join(unsure.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi").withColumn(name, node(F.col(text_col).cast("string")))
+    named = named.join(unsure.select(F.col("id").alias(id_col), F.col("node").alias(name)), [id_col, name], "left_semi").dropDuplicates([id_col, name])
+    return kept.unionByName(named.drop(name)).select(docs.columns)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridlore.llm import components, decontamination, embeddings, packing, quality, queries, simhash, warc
+from gridlore.llm import components, decontamination, embeddings, near_copies, packing, quality, queries, shared, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +79,27 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    rows = [(5, "one text by itself with more words"), (5, "and another one that has nothing of it"), (5, "one text by itself with more words"), (7, "AND another one that has nothing of it")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted(rows[:2])
+
+
+def test_join_spread(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SPREAD_KEYS", 4)
+    r = random.Random(5)
+    many = [(1 if r.random() < 0.4 else r.randrange(400), i) for i in range(3000)] + [(None, -1)]
+    n = Counter(k for k, _ in many if k is not None)
+    df = shared.join_spread(spark.createDataFrame(many, "k long, i long"), spark.createDataFrame([(k, str(k), c) for k, c in n.items() if k != 7], "k long, name string, n long"), "k", 3000)
+    assert sorted(map(tuple, df.select("k", "i", "name").collect())) == sorted((k, i, str(k)) for k, i in many if k not in (7, None))
+
+
+def test_hubs_meet_where_they_are(spark):
+    pairs = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000, 7)]
+    got = components.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert {x["root"] for x in got} == {0} and len(got) == len({n for p in pairs for n in p})
+
+
 def cosines(x):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     return x @ x.T
@@ -206,8 +227,8 @@ def test_pipeline_against_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
     good = set(labels[labels.quality == 1].doc_id)
     assert len(good & set(kept[0].doc_id) - set(kept[1].doc_id)) <= 0.02 * len(good)
-    fp = {i: plain_fingerprint(t) for i, t in zip(kept[1].doc_id, kept[1].text)}
-    roots = unite([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4], fp)
+    sets = {i: set(near_copies.shingles(t).tolist()) for i, t in zip(kept[1].doc_id, kept[1].text)}
+    roots = unite([(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))], sets)
     assert set(kept[2].doc_id) == {i for i, r in roots.items() if i == r}
     items = [decontamination.words(t) for t in spark.read.parquet(f"{SF}/benchmark.parquet").toPandas().text]
     for i, t in zip(kept[2].doc_id, kept[2].text):

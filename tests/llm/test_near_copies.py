@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from gridlore.llm import near_copies
 
 
@@ -47,23 +50,65 @@ def test_near_copies_from_similarity_08(spark):
     assert near_copies.near_duplicates(df.where("false")).count() == 0
 
 
-def test_last_round_joins_what_all_pairs_join():
-    import numpy as np
-    import pyarrow as pa
+def test_long_entries_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "ENTRY_ROWS", 5)
+    monkeypatch.setattr(near_copies, "NEAREST_ROUNDS", 1)
+    r, rows = random.Random(4), []
+    for g in range(3):
+        base = [f"w{r.randrange(5000)}" for _ in range(120)]
+        for _ in range(40):  # few edits in some, many in others: groups hang together by their middle
+            own = list(base)
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = f"z{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    assert components_of(spark, rows) == brute(rows)
+
+
+def brute(rows):
+    sets, up = {i: plain_set(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = up[a], up[b]
+                up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+    return up
+
+
+def components_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {x["id"]: x["component_id"] for x in near_copies.near_duplicates(df).collect()}
+
+
+def test_ids_that_stand_for_several_texts(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, "one text by itself with more words"), (5, "and another one that has nothing of it"), (3, words), (5, words + " end"), (5, "one text by itself with more words"), (None, words), (7, words)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_copies.keep_one(df).collect())
+    assert kept == sorted([(0, words), (3, words), (5, rows[0][1]), (5, rows[1][1])])
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85, 0.9])
+def test_pairs_meet(share):
+    """How many pairs of a similarity have an equal segment and pass the distances."""
+    rng, shape = np.random.default_rng(1), near_copies.Shape.of(0.8, 10**6)
+    mixers, met, n = near_copies._mixers(shape.lanes), 0, 300
+    for _ in range(n):
+        size = int(rng.integers(20, 600))
+        both = rng.integers(0, 1 << 64, round(2 * size * share / (1 + share)), np.uint64)
+        a, b = (near_copies.fingerprint(np.unique(np.concatenate([both, rng.integers(0, 1 << 64, size - len(both), np.uint64)])), mixers) for _ in "ab")
+        x, y = (np.unpackbits(v.view(np.uint8), bitorder="little")[: shape.width * shape.segments].reshape(shape.segments, -1) for v in (a, b))
+        near = all(np.bitwise_count(a[:k] ^ b[:k]).sum() <= shape.radius(64 * k) for k in (2, shape.lanes))
+        met += bool((x == y).all(axis=1).any()) and near
+    assert met >= 0.97 * n
 
-    r = random.Random(8)
-    for _ in range(40):
-        sets = [sorted({x if r.random() > 0.04 else r.randrange(10**6) for x in range(50 * r.randrange(2), 150)}) for _ in range(30)]
-        comp = [r.randrange(30) for _ in sets]
-        b = pa.RecordBatch.from_arrays([pa.array([7] * 30), pa.array(range(30)), pa.array(comp), pa.array(sets, pa.list_(pa.int64()))], names=["key", "node", "comp", "own"])
-        links = [(u, v) for x in near_copies._across(0.8)([b.slice(0, 11), b.slice(11)]) for u, v in zip(*(c.to_pylist() for c in x.columns))]
-        near = [(i, j) for i in range(30) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
-        assert set(map(tuple, map(sorted, links))) <= set(map(tuple, map(sorted, near)))
 
-        def parts(pairs):
-            label = np.array(comp)
-            for u, v in pairs:
-                label[label == label[u]] = label[v]
-            return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+def test_segments_cut_the_lanes(spark):
+    for n in (10**6, 10**9):
+        shape = near_copies.Shape.of(0.8, n)
+        fp = np.random.default_rng(2).integers(0, 1 << 64, shape.lanes, np.uint64)
+        whole = sum(int(x) << 64 * k for k, x in enumerate(fp))
+        df = spark.createDataFrame([(fp.view(np.int64).tolist(),)], "fp array<long>")
+        from pyspark.sql import functions as F
 
-        assert parts(links) == parts(near)
+        got = df.select(*[shape.key(i, F.col("fp")) for i in range(shape.segments)]).first()
+        assert list(got) == [(i << shape.width) + (whole >> i * shape.width & (1 << shape.width) - 1) for i in range(shape.segments)]
