@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_spread, stage, unstage
+from .shared import join_spread, shuffles_for, stage, unstage
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the rows of a node with very many edges are joined where they are, not in one task. Ends when
     a round changes nothing. Self-loops and nulls are ignored; repeated edges count once; no edges: no rows.
     """
+    spark = edges.sparkSession
     e = stage(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
@@ -43,15 +44,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (n, total) == before or not n:
             break
         before = n, total
-        # large star: every larger neighbour goes to the smallest of the neighbourhood
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
-        large = join_spread(both.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        # small star: every smaller neighbour, and the node, go to the smallest of them
-        mid = stage(large, "large")
-        down = stage(mid.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
-        small = join_spread(mid, down, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        new = stage(small, "small")
-        unstage(e, mid, low, down)
+        with shuffles_for(spark, n):
+            new = _round(e, n)
+        unstage(e)
         e = new
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _round(e: DataFrame, n: int) -> DataFrame:
+    # large star: every larger neighbour goes to the smallest of the neighbourhood
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+    large = join_spread(both.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    # small star: every smaller neighbour, and the node, go to the smallest of them
+    mid = stage(large, "large")
+    down = stage(mid.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+    small = join_spread(mid, down, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
+    new = stage(small, "small")
+    unstage(mid, low, down)
+    return new

@@ -7,10 +7,10 @@ wide and cut into many segments, each with its table, and a pair is met where on
 logarithm of the number of documents, so that a table entry keeps a few dozen classes; their number follows from p, so that a pair of exactly
 the least similarity is met with probability ``RECALL`` (nearer ones more surely).
 
-Classes that meet are compared by the first two lanes, those that pass by the complete fingerprint, those that pass by their whole
-sets. Pairs of a group aren't listed: in some rounds every class is held against the nearest one of another component, then only classes
-that are still in different components are held against each other. No entry is capped: what exceeds ``ENTRY_ROWS`` is dealt in parts, and
-classes outside of the entry's main component ask each part.
+Classes that meet are compared by the first two lanes, those that pass by the complete fingerprint: that makes groups, of which tasks emit spanning forests and each
+class's nearest one, never all pairs. The nearest pairs are decided first, by the whole sets. Where a group still falls in several components, the classes outside of
+its largest one are held against blocks of the group's classes, sets and all, inside tasks, which emit only links that join components. Nothing is capped: an entry or a
+group that is too long for a task is dealt in parts.
 
 Defined results: a null text counts as empty; empty texts are one class; a shorter text is one shingle; repeated rows each get a row; texts of which
 all ids are null link nothing; an empty table gives no rows. Only the id and text columns are read.
@@ -28,17 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import join_spread, stage, unstage
+from .components import connected_components, forest
+from .shared import join_spread, shuffles_for, stage, unstage
 from .simhash import kept_rows
 
 RECALL = 0.999
 #: Classes that a table entry should keep on average, and the least width of a segment in bits.
 ENTRY_CLASSES, LEAST_WIDTH = 64, 16
-#: Classes of one entry that are held against each other in one task.
-ENTRY_ROWS = 4096
-#: Rounds in which every class is held against the nearest of another component.
-NEAREST_ROUNDS = 3
+#: Classes of one entry that are held against each other in one task, and classes of a group that are asked in one task.
+ENTRY_ROWS, BLOCK = 4096, 512
 #: Standard deviations beyond the mean distance at the least similarity that the fingerprints may differ.
 SLACK = 3.5
 #: Shingles stretched at a time, and pairs compared at a time.
@@ -212,40 +210,105 @@ def _apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield at, d
 
 
-def _nearest(radius: int):
-    """Rows (key, part, node, comp, fp) -> each class with the nearest of another component in its entry, if near: (u, v, d)."""
+def _near(radius: int):
+    """Rows (key, part, asks, node, fp), those that ask last -> (u, v, d): each class with its nearest, if near, and without d edges that connect all near pairs (of one that asks, if any does)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, _ in _entries(batches, 2, 1 << 62):
             for lo, hi in _cuts(b, 2):
-                node, comp = (b.column(i).to_numpy()[lo:hi] for i in (2, 3))
-                if (comp == comp[0]).all():
-                    continue
-                fp = _matrix(b.column(4).slice(lo, hi - lo))
-                for at, d in _apart(fp, fp):
-                    d[comp[at : at + len(d), None] == comp[None, :]] = 1 << 30
-                    j = d.argmin(axis=1)
-                    d = d[np.arange(len(j)), j]
-                    ok = d <= radius
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at : at + len(j)][ok]), pa.array(node[j[ok]]), pa.array(d[ok])], names=["u", "v", "d"])
+                asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)[lo:hi]
+                node, fp = b.column(3).to_numpy()[lo:hi], _matrix(b.column(4).slice(lo, hi - lo))
+                y = np.flatnonzero(~asks)
+                x = np.flatnonzero(asks) if asks.any() else y
+                us, vs, nearest = [], [], []
+                for at, d in _apart(fp[x], fp[y]):
+                    d[node[x[at : at + len(d)], None] == node[y][None, :]] = 1 << 30
+                    i, j = np.nonzero(d <= radius)
+                    if len(i):
+                        u, v = forest(node[x[at + i]], node[y[j]])
+                        us.append(u)
+                        vs.append(v)
+                        i = np.unique(i)
+                        j = d[i].argmin(axis=1)
+                        nearest.append((node[x[at + i]], node[y[j]], d[i, j]))
+                if us:
+                    u, v = forest(np.concatenate(us), np.concatenate(vs))
+                    cols = [np.concatenate([a, *(n[k] for n in nearest)]) for k, a in enumerate((u, v, np.full(len(u), -1)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["u", "v", "d"])
 
     return run
 
 
-def _across(radius: int):
-    """Rows (key, part, asks, node, comp, fp) -> near pairs (u < v) of one that asks and one that is asked, of different components."""
+class _Block:
+    """Classes of a group with their components and sets."""
+
+    def __init__(self, key: tuple[int, int]):
+        self.key, self.rows, self.made = key, [], False
+
+    def close(self) -> None:
+        self.node, self.comp = (np.array([r[k] for r in self.rows], np.int64) for k in (0, 1))
+        self.fp, own = np.stack([r[2] for r in self.rows]), [r[3] for r in self.rows]
+        self.size = np.array([len(x) for x in own])
+        flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.of, self.made, self.rows = flat[order], of[order], True, []
+        self.joined: dict[int, int] = {}
+
+    def label(self, comp: int) -> int:
+        while comp in self.joined:
+            comp = self.joined[comp]
+        return comp
+
+    def ask(self, rows: list, radius: int, least: float) -> list[tuple[int, int]]:
+        """Links of the asking rows with classes of other components, as many as it takes to join what they join."""
+        out = []
+        for at, d in _apart(np.stack([r[2] for r in rows]), self.fp):
+            for (node, comp, _, own), near in zip(rows[at : at + len(d)], d <= radius):
+                mine = self.label(comp)
+                y = np.flatnonzero(near & (self.comp != mine))
+                if not len(y):
+                    continue
+                common = np.zeros(len(self.size), np.int64)
+                lo, hi = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
+                for a, e in zip(lo.tolist(), hi.tolist()):
+                    common[self.of[a:e]] += 1  # a set has a shingle once
+                y = y[common[y] >= least * (len(own) + self.size[y] - common[y])]
+                for c in np.unique(self.comp[y]).tolist():
+                    out.append((node, int(self.node[y[self.comp[y] == c][0]])))
+                    self.joined[c] = mine
+                    self.comp[self.comp == c] = mine
+        return out
+
+
+def _across(radius: int, least: float):
+    """Rows (grp, block, asks, node, comp, fp, own) sorted by the first three -> links (u, v) that join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _ in _entries(batches, 2, 1 << 62):
-            for lo, hi in _cuts(b, 2):
-                asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)[lo:hi]
-                node, comp = (b.column(i).to_numpy()[lo:hi] for i in (3, 4))
-                fp = _matrix(b.column(5).slice(lo, hi - lo))
-                x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-                for at, d in _apart(fp[x], fp[y]):
-                    i, j = np.nonzero((d <= radius) & (comp[x][at : at + len(d), None] != comp[y][None, :]))
-                    u, v = node[x][at + i], node[y][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+        block = _Block((0, 0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grp, part, asks, node, comp = (b.column(k).to_pylist() for k in range(5))
+            fp, own, links = _matrix(b.column(5)), b.column(6), []
+            waiting: list = []
+            for i in range(b.num_rows + 1):
+                ends = i == b.num_rows or (grp[i], part[i]) != block.key
+                if waiting and (ends or len(waiting) == 256):
+                    links += block.ask(waiting, radius, least)
+                    waiting = []
+                if i == b.num_rows:
+                    break
+                if ends:
+                    block = _Block((grp[i], part[i]))
+                row = node[i], comp[i], fp[i], own[i].values.to_numpy().view(np.uint64).copy()
+                if not asks[i]:
+                    block.rows.append((*row[:2], fp[i].copy(), row[3]))
+                elif block.made or block.rows:
+                    if not block.made:
+                        block.close()
+                    waiting.append(row)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
@@ -261,10 +324,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stage(near.select("u", "v"), "near")
 
 
+def _parts(rows: DataFrame, key: str, node: str, asks: Column, limit: int) -> DataFrame:
+    """rows dealt by key in parts of about limit rows, each row once as one that is asked; rows for which asks holds also ask each part. Adds part and asks."""
+    sizes = stage(rows.groupBy(key).agg(F.ceil(F.count("*") / limit).alias("parts")).where("parts > 1"), "long")
+    rows = rows.join(F.broadcast(sizes), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # keys with more than limit rows: fewer than the rows by that factor
+    asked = rows.withColumns({"part": F.pmod(F.xxhash64(node), F.col("parts")), "asks": F.lit(False)})
+    asking = rows.where(asks).withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "asks": F.lit(True)})
+    return asked.unionByName(asking).drop("parts")
+
+
 def _roots(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, seed: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(by_doc, classes): id and node of each row; node, low, n, root of each class, low the smallest id of its rows and n how many have it."""
     shape = Shape.of(least, docs.count())
-    bits = 64 * shape.lanes
+    radius = shape.radius(64 * shape.lanes)
     by_doc = stage(sketches(docs, shape.lanes, id_col, text_col, shingle_words, seed), "sketches")
     classes = stage(by_doc.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp")), "classes")
     found = classes.where("low is not null and size(fp) > 0")
@@ -272,40 +344,41 @@ def _roots(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, seed
     rows = found.select(F.explode(keys).alias("key"), "node", F.col("fp")[0].alias("a"), F.col("fp")[1].alias("b"))
     met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met(shape.radius(128), ENTRY_ROWS), "key long, node long, a long, b long").select("key", "node")
     met = stage(met.join(classes.select("node", "fp"), "node").select("key", "node", "fp"), "met")
-    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / ENTRY_ROWS).alias("parts"))
-    split = stage(sizes.where("parts > 1"), "long-entries")
-    nodes = met.select("node").distinct()
-    sets = stage(_sets(docs, classes.select("node", F.col("low").alias("id")).join(nodes, "node", "left_semi"), id_col, text_col, shingle_words, seed), "sets")
-
-    tried = links = comp = None
-    for turn in range(NEAREST_ROUNDS + 1):
-        at = met.withColumn("comp", F.col("node")) if comp is None else met.join(comp, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("comp"))
-        at = at.join(F.broadcast(split), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # entries of the tables over ENTRY_ROWS: fewer than their rows by that factor
-        own = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))
-        if turn < NEAREST_ROUNDS:
-            dealt = at.select("key", own.alias("part"), "node", "comp", "fp").repartition("key", "part").sortWithinPartitions("key", "part")
-            near = dealt.mapInArrow(_nearest(shape.radius(bits)), "u long, v long, d int").groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v"))
-            pairs = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        else:
-            # the classes outside of the largest component of an entry ask all classes of the entry
-            main = at.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps"))
-            main = stage(main.where("comps > 1").drop("comps"), "main")
-            mixed = join_spread(at, main, "key", main.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-            asked = mixed.select("key", own.alias("part"), F.lit(False).alias("asks"), "node", "comp", "fp")
-            asks = mixed.where("comp <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node", "comp", "fp")
-            dealt = asked.unionByName(asks).repartition("key", "part").sortWithinPartitions("key", "part")
-            pairs = dealt.mapInArrow(_across(shape.radius(bits)), "u long, v long").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = _verified(pairs, sets, least)
-        links = new if links is None else links.unionByName(new)
-        comp = stage(connected_components(links), "components")
-    root = F.col("node") if comp is None else F.coalesce("root", "node")
-    out = stage((classes if comp is None else classes.join(comp, "node", "left")).select("node", "low", "n", root.alias("root")), "roots")
+
+    n = met.count()
+
+    def near_of(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select("key", "part", "asks", "node", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "asks")
+        return stage(rows.mapInArrow(_near(radius), "u long, v long, d long").groupBy("u", "v").agg(F.max("d").alias("d")), "near")
+
+    with shuffles_for(docs.sparkSession, n, 20_000):
+        near = near_of(_parts(met, "key", "node", F.lit(False), ENTRY_ROWS))
+        long = met.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > ENTRY_ROWS)
+        long = stage(met.join(F.broadcast(long.drop("c")), "key"), "long-entries")  # keys with more than ENTRY_ROWS rows: fewer than the rows by that factor
+        if not long.isEmpty():
+            # parts of an entry were held against themselves; what is outside of the entry's largest group now asks all parts
+            grp = stage(connected_components(near.select("u", "v")), "groups")
+            long = stage(long.join(grp, "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root"), "grouped")
+            main = long.groupBy("key", "grp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"))
+            dealt = _parts(long.join(F.broadcast(main), "key"), "key", "node", F.col("grp") != F.col("main"), ENTRY_ROWS)
+            near = stage(near.unionByName(near_of(dealt)), "near")
+    with shuffles_for(docs.sparkSession, near.count()):
+        groups = stage(connected_components(near.select("u", "v")), "groups")
+        wanted = stage(classes.select("node", F.col("low").alias("id"), "fp").join(groups, "node"), "members")
+        sets = stage(_sets(docs, wanted.select("node", "id"), id_col, text_col, shingle_words, seed), "sets")
+        first = near.where("d >= 0").groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v"))
+        pairs = stage(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        stars = lambda c: c.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        comp = stage(connected_components(_verified(pairs, sets, least)), "components")
+        # groups in several components: what is outside of the largest is held against all
+        at = stage(wanted.withColumnRenamed("root", "grp").join(comp, "node", "left").select("grp", "node", "fp", F.coalesce("root", "node").alias("comp")), "at")
+        main = at.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps"))
+        main = stage(main.where("comps > 1").drop("comps"), "main")
+        mixed = join_spread(at, main, "grp", main.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        dealt = _parts(stage(mixed.join(sets, "node"), "mixed"), "grp", "node", F.col("comp") != F.col("main"), BLOCK).select("grp", "part", "asks", "node", "comp", "fp", "own")
+        more = dealt.repartition("grp", "part").sortWithinPartitions("grp", "part", "asks").mapInArrow(_across(radius, least), "u long, v long")
+        comp = stage(connected_components(stars(comp).unionByName(more)), "components")
+    out = stage(classes.join(comp, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root")), "roots")
     unstage(met, sets)
     return by_doc, out
 

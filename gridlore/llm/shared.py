@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,9 +81,22 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFr
     others are shuffled, and none of them can fill a task. Both tables should be staged: each is read twice.
     """
     limit = max(256, total // SPREAD_KEYS)
-    hot = F.broadcast(one.where(F.col("n") > limit).drop("n"))
-    rest = many.join(F.broadcast(one.where(F.col("n") > limit).select(key)), key, "left_anti")
-    return many.join(hot, key).unionByName(rest.join(one.where(F.col("n") <= limit).drop("n"), key))
+    hot = one.where(F.col("n") > limit).drop("n")
+    if hot.isEmpty():
+        return many.join(one.drop("n"), key)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return many.join(F.broadcast(hot), key).unionByName(rest.join(one.where(F.col("n") <= limit).drop("n"), key))
+
+
+@contextmanager
+def shuffles_for(spark: SparkSession, rows: int, each: int = 4000):
+    """Fewer shuffle partitions for tables of few rows that go through many rounds; never more than the session asks for, four at least."""
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(asked), max(4, rows // each)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
 
 
 class Folder:

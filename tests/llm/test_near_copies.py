@@ -52,7 +52,7 @@ def test_near_copies_from_similarity_08(spark):
 
 def test_long_entries_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "ENTRY_ROWS", 5)
-    monkeypatch.setattr(near_copies, "NEAREST_ROUNDS", 1)
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
     r, rows = random.Random(4), []
     for g in range(3):
         base = [f"w{r.randrange(5000)}" for _ in range(120)]
