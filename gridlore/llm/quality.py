@@ -1,15 +1,16 @@
 """A quality classifier of supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-A word's vector is the mean of rows of one hashed table: the word's own row and those of its character n-grams (with word-boundary marks).
-Word n-grams enter where a word comes back one, two or three words later: the n-gram is hashed with its words replaced by their places, so
-that it stands for any word. A document's vector is the mean of the vectors of its words and these n-grams; a linear layer with softmax gives the class probabilities. Table and layer are learnt
-together on the driver from a bounded sample of labelled documents; every document of the corpus is scored whole.
+A word's vector is the mean of rows of one hashed table: the word's own row and those of its character n-grams (with word-boundary marks). A
+word n-gram (of two words, up to ``Settings.word_ngrams``) has a hashed row of its own, and so has the return of a word after 1, 2, 3 to 4, 5 to 8, ... words, whatever the word.
+A document's vector is the mean of the vectors of all its words, word n-grams and returns; a linear layer with softmax gives the class probabilities. Table and layer are learnt together on the driver from a bounded number of labelled documents, each of them whole;
+every document of the corpus is scored whole.
 
-Because the output is linear in the mean, each distinct word contributes a fixed pair of logits: workers keep these per word in a bounded cache.
+Because the output is linear in the mean, each distinct word contributes a fixed number: workers keep it, and the word's hash, in a bounded cache of the
+last model they scored with; word n-grams are hashed from their words' hashes a whole text at a time.
 
 Defined results: a null or empty text has no words and scores from the bias alone; a null label or a label without a document teaches
 nothing; with no teaching rows at all, or rows of one class, every score is 0.5 or tends to that class; repeated rows score alike; labels, lang, source and ids are never
-inputs of a score; an empty table gives no rows.
+inputs of a score; an input column of the score's name is replaced by it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse, islice
-from operator import eq
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 #: Words and runs of marks, so that marks glued to a word are features of their own.
 _WORD = re.compile(r"\w+|[^\w\s]+")
-#: Words of a document scored at a time, and words kept per worker.
-WORDS_AT_ONCE, CACHE_WORDS = 1 << 18, 600_000
+#: Words kept per worker.
+CACHE_WORDS = 600_000
 #: Characters of a word whose n-grams are told apart at a time, and rows of the table looked up at a time.
 WORD_PIECE, ROWS_AT_ONCE = 4096, 1 << 20
 
@@ -43,20 +45,18 @@ class Settings:
     rows: int = 1 << 16
     min_n: int = 3
     max_n: int = 3
+    word_ngrams: int = 3
     epochs: int = 4
-    rate: float = 0.5
-    sample_words: int = 64
+    rate: float = 1.0
     seed: int = 7
 
 
-#: What stands for a word n-gram whose first and last word are equal, by the distance of the two; no word looks like them.
-AGAIN = {1: " 1 1", 2: " 1 2 1", 3: " 1 2 3 1"}
+#: Odd multipliers of the word n-grams' hashes, by the word's place.
+_TIMES = np.random.default_rng(3).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def features(word: str, s: Settings) -> list[int] | np.ndarray:
     """Rows of the table: the word and its character n-grams, each once in every WORD_PIECE places of the word."""
-    if word in AGAIN.values():
-        return [zlib.crc32(word.encode()) % s.rows]
     own = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % s.rows]
     marked = f"<{word}>"
     if len(marked) <= WORD_PIECE:
@@ -71,10 +71,33 @@ def _grams(piece: str, places: int, s: Settings) -> list[int]:
     return sorted([zlib.crc32(g, 1) % s.rows for g in grams])
 
 
-def parts(text: str | None) -> tuple[list[str], dict[int, int]]:
-    """The words of a text, and how often a word comes back after each distance of AGAIN."""
-    words = _WORD.findall(text or "")
-    return words, {k: sum(map(eq, words, islice(words, k, None))) for k in AGAIN}
+def words(text: str | None) -> list[str]:
+    return _WORD.findall(text or "")
+
+
+def word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"), 2)
+
+
+def ngram_rows(hashes: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
+    """Of each length the rows of the word n-grams at all places of a text, from its words' hashes (uint64)."""
+    h = hashes * _TIMES[0]
+    for n in range(2, s.word_ngrams + 1):
+        if len(hashes) < n:
+            return
+        h = h[:-1] + hashes[n - 1 :] * _TIMES[n - 1]
+        yield ((h ^ h >> np.uint64(29)) * _TIMES[-1] >> np.uint64(32)).astype(np.int64) % s.rows
+
+
+def return_rows(place: np.ndarray, s: Settings) -> np.ndarray:
+    """The rows of the returns in a text, from a number for each word that tells which word it is; by powers of two of the distance."""
+    order = np.argsort(place, kind="stable")
+    apart = np.diff(order)[np.diff(place[order]) == 0]
+    return _RETURNS[np.ceil(np.log2(apart)).astype(np.int64)] % s.rows
+
+
+#: By powers of two; no word holds a blank.
+_RETURNS = np.array([zlib.crc32(f"again after {k}".encode(), 3) for k in range(64)], np.int64)
 
 
 class Model:
@@ -83,15 +106,29 @@ class Model:
         self.s, self.table = s, rng.uniform(-1 / s.dim, 1 / s.dim, (s.rows, s.dim)).astype(np.float32)
         self.weight, self.bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
 
+    def bag(self, text: str | None, rows_of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, shares) of a whole text, each row once: its vector is shares @ table[rows]."""
+        own = words(text)
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        times = Counter(own)
+        for w in times:
+            if w not in rows_of:
+                rows_of[w] = np.array(features(w, self.s), np.int64)
+        hashes = np.fromiter(map(word_hash, own), np.uint64, len(own))
+        grams = [*ngram_rows(hashes, self.s), return_rows(hashes, self.s)]
+        rows = [rows_of[w] for w in times]
+        share = [np.full(len(r), c / len(r)) for r, c in zip(rows, times.values())] + [np.ones(len(g)) for g in grams]
+        rows, share = np.concatenate([*rows, *grams]), np.concatenate(share)
+        rows, at = np.unique(rows, return_inverse=True)
+        return rows.astype(np.int32), (np.bincount(at, share) / (len(own) + sum(map(len, grams)))).astype(np.float32)
+
     def fit(self, texts: list[str], labels: list[int]) -> Model:
-        """SGD, a document a step, the rate falling to zero. Each step averages a fresh draw of a document's words, a whole text if it is short."""
+        """SGD, a whole document a step, the rate falling to zero. A step is divided by the length of the document's shares, so that long texts teach as much as short ones."""
         s, rng = self.s, np.random.default_rng(self.s.seed)
         rows_of: dict[str, np.ndarray] = {}
-        docs = []
-        for t in texts:
-            words, again = parts(t)
-            words += [AGAIN[k] for k, n in again.items() for _ in range(n)]
-            docs.append([rows_of[w] if w in rows_of else rows_of.setdefault(w, np.array(features(w, s))) for w in words])
+        docs = [self.bag(t, rows_of) for t in texts]
+        del rows_of
         if not docs:
             return self
         y = np.asarray(labels)
@@ -101,24 +138,16 @@ class Model:
             for i in rng.permutation(len(docs)):
                 rate = s.rate * (1 - step / steps)
                 step += 1
-                words = docs[i]
-                if not words:
+                rows, share = docs[i]
+                if not len(rows):
                     continue
-                if len(words) > s.sample_words:
-                    words = [words[j] for j in rng.integers(0, len(words), s.sample_words)]
-                rows = np.concatenate(words)
-                share = np.repeat([1 / (len(w) * len(words)) for w in words], [len(w) for w in words]).astype(np.float32)
-                if len(rows) > ROWS_AT_ONCE:  # very long words: each row once
-                    share = np.bincount(rows, share)
-                    rows = np.flatnonzero(share)
-                    share = share[rows].astype(np.float32)
                 x = share @ self.table[rows]
                 p = self._softmax(x @ self.weight + self.bias)
                 p[y[i]] -= 1
                 back = self.weight @ p
                 self.weight -= rate * np.outer(x, p)
                 self.bias -= rate * 0.1 * p
-                np.subtract.at(self.table, rows, (rate * len(words) ** 0.5) * share[:, None] * back[None, :])
+                self.table[rows] -= (rate / np.linalg.norm(share)) * share[:, None] * back[None, :]
         return self
 
     @staticmethod
@@ -136,41 +165,52 @@ class Scorer:
     def __init__(self, logits: np.ndarray, bias: float, s: Settings):
         self.logits, self.bias, self.s = logits, bias, s
 
-    def __call__(self, text: str | None, known: dict[str, float]) -> float:
-        words, again = parts(text)
-        self.learn(set(filterfalse(known.__contains__, AGAIN.values())), known)
-        total, n = sum(known[AGAIN[k]] * c for k, c in again.items()), sum(again.values())
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            part = words[at : at + WORDS_AT_ONCE]
-            new = set(filterfalse(known.__contains__, part))
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(part) | set(AGAIN.values())
-            self.learn(new, known)
-            total += sum(map(known.__getitem__, part))
-            n += len(part)
-        z = self.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-z)))
-
-    def learn(self, words: set[str], known: dict[str, float]) -> None:
-        part, rows, held = [], [], 0
-        for w in words:
-            part.append(w)
-            rows.append(features(w, self.s))
-            held += len(rows[-1])
-            if len(part) == 5000 or held > ROWS_AT_ONCE:
-                self._enter(part, rows, known)
-                part, rows, held = [], [], 0
-        if part:
-            self._enter(part, rows, known)
-
-    def _enter(self, part: list[str], rows: list, known: dict[str, float]) -> None:
-        sizes = np.array([len(r) for r in rows])
-        flat = self.logits[np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))].astype(np.float64)
-        known.update(zip(part, (np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes).tolist()))
-
-
-_KNOWN: dict[str, dict[str, float]] = {}
+    def __call__(self, text: str | None, known: Known | None = None) -> float:
+        known, own = known or Known(), words(text)
+        if not own:
+            return float(1 / (1 + np.exp(-self.bias)))
+        place = known.places(own, self)
+        hashes = known.hash[place]
+        rows = np.concatenate([*ngram_rows(hashes, self.s), return_rows(hashes, self.s)])
+        total = known.logit[place].sum() + self.logits[rows].sum(dtype=np.float64)
+        return float(1 / (1 + np.exp(-self.bias - total / (len(own) + len(rows)))))
+
+
+class Known:
+    """The logits and hashes of at most CACHE_WORDS words of one model."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.logit, self.hash = np.zeros(1 << 12), np.zeros(1 << 12, np.uint64)
+
+    def places(self, part: list[str], model: Scorer) -> np.ndarray:
+        new = set(filterfalse(self.at.__contains__, part))
+        if new:
+            if len(self.at) + len(new) > CACHE_WORDS:
+                self.at.clear()
+                new = set(part)
+            self._learn(sorted(new), model)
+        return np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+
+    def _learn(self, new: list[str], model: Scorer) -> None:
+        first = len(self.at)
+        while len(self.logit) < first + len(new):
+            self.logit, self.hash = np.concatenate([self.logit] * 2), np.concatenate([self.hash] * 2)
+        self.at.update(zip(new, range(first, first + len(new))))
+        self.hash[first : first + len(new)] = np.fromiter(map(word_hash, new), np.uint64, len(new))
+        rows, held, done = [], 0, first
+        for w in [*new, None]:
+            if w is not None:
+                rows.append(features(w, model.s))
+                held += len(rows[-1])
+            if rows and (w is None or len(rows) == 5000 or held > ROWS_AT_ONCE):
+                sizes = np.array([len(r) for r in rows])
+                flat = model.logits[np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))].astype(np.float64)
+                self.logit[done : done + len(rows)] = np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes
+                rows, held, done = [], 0, done + len(rows)
+
+
+_KNOWN: dict[str, Known] = {}
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", teach=None) -> Scorer:
@@ -191,7 +231,10 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str
 
     @F.pandas_udf("double")
     def p(texts: pd.Series) -> pd.Series:
-        model, known = shared.value, _KNOWN.setdefault(key, {})
+        if key not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[key] = Known()
+        model, known = shared.value, _KNOWN[key]
         return pd.Series([model(t, known) for t in texts], dtype="float64")
 
     return docs.withColumn(out_col, p(F.col(text_col).cast("string")))

@@ -156,6 +156,19 @@ def test_warc_records(spark):
     assert warc.read(none, none.folder).count() == 0
 
 
+def test_archives_grow_in_number_and_are_read_by_a_task_each(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    r = random.Random(3)
+    pages = [(i, "u", "" if i % 3 == 0 else str(r.getrandbits(20_000 if i % 5 else 8))) for i in range(400)]
+    m = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    files = m.collect()
+    out = warc.read(m, m.folder)
+    assert len(files) > 20 and max(f["bytes"] for f in files) < 40_000 and out.rdd.getNumPartitions() == len(files)
+    got, last = out.collect(), max(i for i, _, t in pages if not t)
+    assert Counter(r["record_id"] for r in got) == Counter(f"urn:x-page:{i}" for i, *_ in pages)
+    assert {r["refers_to"] for r in got if r["payload_bytes"] == 0} == {None, f"urn:x-page:{last}"}
+
+
 def member(b):
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress(b) + c.flush()
@@ -196,15 +209,64 @@ def test_classifier(spark):
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
 
 
-def test_features_repeat_and_scores_are_the_model():
+def test_scores_are_the_model(monkeypatch):
     s = quality.Settings(epochs=2)
     m = quality.Model(s).fit(["good good words here", "bad %%% bad"] * 20, [1, 0] * 20)
-    text = "good words words %%% new"
-    words, again = quality.parts(text)
-    assert again == {1: 1, 2: 0, 3: 0}
-    own = [m.table[quality.features(w, s)].mean(axis=0) for w in words + [quality.AGAIN[1]]]
-    z = np.mean(own, axis=0) @ m.weight + m.bias
-    assert m.scorer()(text, {}) == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), abs=1e-6)
+    text = "good words words %%% new words"
+    own = quality.words(text)
+    vectors = [m.table[quality.features(w, s)].mean(axis=0) for w in own]
+    times, mask = [int(t) for t in quality._TIMES], (1 << 64) - 1
+    for n in (2, 3):
+        for i in range(len(own) - n + 1):
+            h = sum(quality.word_hash(w) * times[k] for k, w in enumerate(own[i : i + n])) & mask
+            vectors.append(m.table[((((h ^ h >> 29) * times[-1]) & mask) >> 32) % s.rows])
+    vectors += [m.table[quality._RETURNS[k] % s.rows] for k in (0, 2)]  # words: after 1, after 3
+    z = np.mean(vectors, axis=0) @ m.weight + m.bias
+    want = pytest.approx(1 / (1 + np.exp(z[0] - z[1])), abs=1e-6)
+    assert m.scorer()(text) == want
+    monkeypatch.setattr(quality, "CACHE_WORDS", 2)  # the cache turns over
+    known = quality.Known()
+    assert [m.scorer()(t, known) for t in (text, "other", text)][::2] == [want, want] and m.scorer()("") == m.scorer()(None)
+
+
+def test_training_against_a_plain_version():
+    """Steps of a slow version without hashing tricks: one vector for each feature of the whole text."""
+    s = quality.Settings(epochs=1, sample_rows=8)
+    texts, y = ["a b a", "c d", "a c " * 3, "d d d"], [1, 0, 1, 0]
+    fast = quality.Model(s).fit(texts, y)
+    slow = quality.Model(s)
+    slow.bias[:] = np.log((np.bincount(y) + 1) / 6)
+    bags = []
+    for t in texts:
+        own, bag = quality.words(t), Counter()
+        for w in own:
+            for r in quality.features(w, s):
+                bag[r] += 1 / len(quality.features(w, s))
+        h = np.array([quality.word_hash(w) for w in own], np.uint64)
+        extra = [int(r) for x in (*quality.ngram_rows(h, s), quality.return_rows(h, s)) for r in x]
+        bag.update(Counter(extra))
+        n = len(own) + len(extra)
+        bags.append({r: c / n for r, c in bag.items()})
+    for step, i in enumerate(np.random.default_rng(s.seed).permutation(4)):
+        rate, bag = s.rate * (1 - step / 4), bags[i]
+        x = sum(c * slow.table[r] for r, c in bag.items())
+        p = np.exp(x @ slow.weight + slow.bias)
+        p = p / p.sum() - np.eye(2)[y[i]]
+        back = slow.weight @ p
+        slow.weight -= rate * np.outer(x, p)
+        slow.bias -= rate * 0.1 * p
+        norm = sum(c * c for c in bag.values()) ** 0.5
+        for r, c in bag.items():
+            slow.table[r] -= rate / norm * c * back
+    assert np.allclose(fast.table, slow.table, atol=1e-5) and np.allclose(fast.weight, slow.weight, atol=1e-5)
+
+
+def test_rare_words_of_a_long_text_teach():
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["tar", "vel", "mon", "sed", "lin"]) + str(r.randrange(60)) for _ in range(300)) for _ in range(400)]
+    texts = [t if i % 2 else f"{t[:900]} zzqx {t[900:]} end zzqx end zzqx" for i, t in enumerate(texts)]
+    score = quality.Model(quality.Settings(epochs=20)).fit(texts[:340], [i % 2 for i in range(340)]).scorer()
+    assert np.mean([(score(t) >= 0.5) == i % 2 for i, t in enumerate(texts[340:])]) > 0.9
 
 
 def test_entry_has_a_query_for_each_operator():
