@@ -4,10 +4,12 @@ Pieces differ only in length, so the whole table reduces to a histogram of at mo
 histogram by bin completion: patterns of lengths, each used many times. Pieces then take their places from their
 rank among those of equal length. What the driver holds is bounded by the capacity, whatever the input.
 
-Bin completion: best-fit decreasing gives the incumbent; a depth-first search fills a sequence around the largest length left with an
-undominated choice of smaller ones (for each sum the one of fewest, largest lengths, best sums first), uses the filling as often as the counts allow, and goes
-back where the waste so far exceeds what a solution better than the incumbent may waste. It ends at the lower bound or after
-``nodes`` steps; the incumbent is always a whole packing.
+Bin completion: best-fit decreasing gives the incumbent. A depth-first search fills a sequence around the largest length left with each undominated
+choice of smaller ones, best sums first, from as often as the counts allow down to once, and goes
+back where the waste so far exceeds what a solution better than the incumbent may waste. The same search then runs on small windows of the incumbent: the
+emptiest sequence and a few others are filled anew so that the others waste less, until the emptiest is empty. A packing problem can't be
+searched to its end at this size, so both searches end at the lower bound, which is the proof, or after a number of steps;
+the incumbent is always a whole packing, and ``complete`` returns the bound with it, so the gap is known.
 
 Defined results: a null text is empty and has the end id alone; repeated rows are packed like any other; null ids keep their rows;
 an empty table gives no rows. Only the id and text columns are read.
@@ -15,8 +17,9 @@ an empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,79 +98,130 @@ def _reach(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
     return out
 
 
-def fillings(left: dict[int, int], capacity: int, most: int) -> Iterator[tuple[Pattern, int]]:
-    """(pattern, waste) around the largest length, best sums first: of equal sums the one of fewest, largest lengths."""
+def fillings(left: dict[int, int], capacity: int, slack: int) -> Iterator[tuple[Pattern, int]]:
+    """(pattern, waste) around the largest length for all undominated fillings that waste at most slack; best sums first, of equal sums the largest lengths first.
+
+    A filling is dominated if one length left over could stand for one or two of its lengths: what they leave packs wherever it would have gone.
+    """
     top = max(left)
     room = capacity - top
     rest = dict(left)
     rest[top] -= 1
     sizes = sorted(s for s, n in rest.items() if n and s <= room)
     reach = _reach(sizes, rest, room)
-    sums = reach[-1]
-    for _ in range(most):
-        if not sums:
+    there = sum(1 << s for s in sizes)
+
+    def of(sum_: int, i: int) -> Iterator[Pattern]:
+        if not sum_:
+            yield ()
             return
-        t = sums.bit_length() - 1
-        sums ^= 1 << t
-        goal, chosen = t, {top: 1}
-        for i in range(len(sizes), 0, -1):
-            s = sizes[i - 1]
-            if goal == 0:
-                break
-            for m in range(min(rest[s], goal // s), -1, -1):
-                if reach[i - 1] >> goal - m * s & 1:
-                    if m:
-                        chosen[s] = chosen.get(s, 0) + m
-                    goal -= m * s
-                    break
-        yield tuple(sorted(chosen.items(), reverse=True)), room - t
-
-
-def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000, width: int = 16) -> tuple[list[tuple[Pattern, int]], int]:
-    """(patterns with how often each is used, lower bound)."""
-    counts = {int(s): int(n) for s, n in counts.items() if n}
-    if any(not 0 < s <= capacity for s in counts):
-        raise ValueError("lengths are 1 to capacity")
-    total, bound = sum(s * n for s, n in counts.items()), lower_bound(counts, capacity)
-    best = best_fit(counts, capacity)
-    n_best = sum(k for _, k in best)
-    if n_best == bound:
-        return best, bound
-    # depth-first with its own stack: each level holds the fillings not yet tried
-    left, chosen, waste, spent = dict(counts), [], 0, 0
-    stack = [fillings(left, capacity, width)]
-    while stack and spent < nodes and n_best > bound:
-        spent += 1
+        for j in range(i, 0, -1):
+            s = sizes[j - 1]
+            if s > sum_:
+                continue
+            if not reach[j] >> sum_ & 1:
+                return
+            for m in range(min(rest[s], sum_ // s), 0, -1):
+                if reach[j - 1] >> sum_ - m * s & 1:
+                    for more in of(sum_ - m * s, j - 1):
+                        yield ((s, m), *more)
+
+    def dominated(p: Pattern, waste: int) -> bool:
+        free = there
+        for s, m in p:
+            if rest[s] == m:
+                free &= ~(1 << s)
+        one = [s for s, m in p for _ in range(min(m, 2))]
+        window = (1 << waste + 1) - 1
+        return any(free >> y + 1 & window >> 1 for y in {*one}) or any(free >> y & window for y in {x + y for k, x in enumerate(one) for y in one[k + 1 :]})
+
+    for t in range(room, max(0, room - slack) - 1, -1):
+        if reach[-1] >> t & 1:
+            for p in of(t, len(sizes)):
+                if not dominated(p, room - t):
+                    yield (((top, 1 + p[0][1]), *p[1:]) if p and p[0][0] == top else ((top, 1), *p)), room - t
+
+
+def _search(counts: dict[int, int], capacity: int, allowed: int, nodes: int, bins: int | None = None) -> list[tuple[Pattern, int]] | None:
+    """A packing that wastes at most allowed; or, with bins, so many sequences and what is left as one more (whose waste doesn't count). None: there is none, or not found in so many steps."""
+    left, chosen, waste, used = dict(counts), [], 0, 0
+
+    def often() -> Iterator[tuple[Pattern, int, int]]:
+        for p, w in fillings(left, capacity, allowed - waste):
+            most = min(left[s] // m for s, m in p)
+            if w:
+                most = min(most, (allowed - waste) // w)
+            for k in range(most if bins is None else min(most, bins - used), 0, -1):
+                yield p, k, w
+
+    def back() -> None:
+        nonlocal waste, used
+        p, k, w = chosen.pop()
+        waste, used = waste - k * w, used - k
+        for s, m in p:
+            left[s] = left.get(s, 0) + m * k
+
+    stack = [often()]
+    for _ in range(nodes):
+        if not stack:
+            return None
         step = next(stack[-1], None)
-        allowed = (n_best - 1) * capacity - total
-        # a filling that wastes this much wastes it at least once
-        if step is None or waste + step[1] > allowed:
+        if step is None:
             stack.pop()
             if chosen:
-                p, k, w = chosen.pop()
-                waste -= k * w
-                for s, m in p:
-                    left[s] = left.get(s, 0) + m * k
+                back()
             continue
-        p, w = step
-        k = min(left[s] // m for s, m in p)
-        if w:
-            k = min(k, (allowed - waste) // w)
+        p, k, w = step
         for s, m in p:
             left[s] -= m * k
             if not left[s]:
                 del left[s]
-        chosen.append((p, k, w))
-        waste += k * w
-        if not left:
-            best, n_best = [(p, k) for p, k, _ in chosen], sum(k for _, k, _ in chosen)
-            p, k, w = chosen.pop()
-            waste -= k * w
-            for s, m in p:
-                left[s] = left.get(s, 0) + m * k
+        chosen.append(step)
+        waste, used = waste + k * w, used + k
+        if not left or used == bins:
+            if sum(s * n for s, n in left.items()) <= capacity:
+                return [(p, k) for p, k, _ in chosen] + ([(tuple(sorted(left.items(), reverse=True)), 1)] if left else [])
+            back()
         else:
-            stack.append(fillings(left, capacity, width))
-    return best, bound
+            stack.append(often())
+    return None
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 5000, windows: int = 6000, seed: int = 1) -> tuple[list[tuple[Pattern, int]], int]:
+    """(patterns with how often each is used, lower bound)."""
+    counts = {int(s): int(n) for s, n in counts.items() if n}
+    if any(not 0 < s <= capacity for s in counts):
+        raise ValueError("lengths are 1 to capacity")
+    total, bound = sum(s * n for s, n in counts.items()), lower_bound(counts, capacity)
+    best = Counter()
+    for p, k in best_fit(counts, capacity):
+        best[p] += k
+    while sum(best.values()) > bound and (found := _search(counts, capacity, (sum(best.values()) - 1) * capacity - total, nodes)):
+        best = Counter()
+        for p, k in found:
+            best[p] += k
+    wastes = lambda p: capacity - sum(s * m for s, m in p)
+    rng, waste = random.Random(seed), {p: wastes(p) for p in best}
+    loose, full = [p for p in waste if waste[p]], [p for p in waste if not waste[p] and len(p) > 1]
+    for _ in range(windows):
+        if sum(best.values()) == bound or not loose:
+            break
+        emptiest = max(loose, key=waste.__getitem__)
+        others = [p for p in rng.sample(loose, min(len(loose), rng.randint(2, 7))) if p != emptiest]
+        others += rng.sample(full, min(len(full), rng.choice((0, 0, 1, 2))))
+        window = Counter()
+        for p in (emptiest, *others):
+            window.update(dict(p))
+        found = _search(window, capacity, sum(waste[p] for p in others) - 1, 60, len(others)) if others else None
+        if found is None:
+            continue
+        best.subtract([emptiest, *others])
+        for p, k in found:
+            best[p] += k
+        best = +best
+        waste = {p: waste[p] if p in waste else wastes(p) for p in best}
+        loose, full = [p for p in waste if waste[p]], [p for p in waste if not waste[p] and len(p) > 1]
+    return list(best.items()), bound
 
 
 def _runs(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
@@ -206,12 +260,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False, nodes: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]."""
     rows = stage(pieces(docs, id_col, text_col, tokenizer, end_id, capacity, keep_ids), "pieces")
     counts = stage(rows.groupBy("chunk", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    runs = _runs(complete(histogram, capacity, nodes)[0])
+    runs = _runs(complete(histogram, capacity)[0])
     span = 1 + int(max(histogram.values(), default=0))
     starts = runs[:, 0] * span + runs[:, 1]
 
