@@ -3,13 +3,17 @@
 A line's quote level is the number of ``>`` signs before it; lines of one level in a row are a segment. Segments of level 0 are the message's own
 text, without a last line that only introduces a quote ("On ... wrote:"). Quoted segments and their lines are normalised (lower case, single blanks), hashed
 (MD5 of the text) and looked up among the hashes of the own texts, own paragraphs and own lines of earlier turns in the conversation; of several
-messages with one passage the latest before the reply counts. A message replies to the turn that most of its hashes name, of equals the latest; without a
-link, to the turn before it.
+messages with one passage the latest before the reply counts. A message replies to the message that most hashes of its segments of level 1 name, of equals the latest; without such a
+link, to the message before it. Deeper segments are what the answered message quoted itself: they are linked and counted, and never decide.
 
-All is DataFrame functions. Conversations are sorted in ranges of (conversation, turn), so a very long one is spread over tasks, and positions come from
-counts by partition.
+Replies make a tree of each conversation. Its messages come out in reply order (preorder): a message, the replies to it in turn order, each with all that hangs on it.
+Messages that follow each other without a link elsewhere are a run; only runs that branch off are walked, by pointer doubling, so a
+conversation without links costs nothing, and a path has an entry for each branch on the way.
 
-Defined results: a null text is empty; messages with a null conversation or turn are kept, with no links, in a conversation of their own (null), nulls first; equal turns are
+All is DataFrame functions. Conversations are sorted in ranges of (conversation, turn), so a very long one is spread over tasks; numbers that run over them are summed by
+partition first. A line that very many messages of one conversation hold is looked up by ranges of turns, too.
+
+Defined results: a null text is empty; messages with a null conversation are kept, each by itself, without links; a null turn is never linked and comes first; equal turns are
 ordered by role, then text; repeated rows stay; a message that is all quotes has an empty text; an empty table gives no rows. Other columns are not read.
 """
 
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import join_spread, stage
 
 QUOTE = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 INTRODUCES = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
@@ -55,34 +59,95 @@ def parse(messages: DataFrame, text_col: str = "text") -> DataFrame:
     return m.drop("_line", "_level", "_plain", "_start", "_seg")
 
 
+def _running(df: DataFrame, order: str, **exprs: Column) -> DataFrame:
+    """df (part, ..), sorted by order over its parts, with each expr's maximum from the first row to this one; a window is one part, parts are joined by a row of each."""
+    own = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy("part").agg(*[F.max(e).alias(k) for k, e in exprs.items()])
+    ends = ends.select("part", *[F.max(k).over(earlier).alias(f"{k}_before") for k in exprs])
+    df = df.withColumns({k: F.max(e).over(own) for k, e in exprs.items()}).join(F.broadcast(ends), "part")
+    return df.withColumns({k: F.greatest(k, f"{k}_before") for k in exprs}).drop(*[f"{k}_before" for k in exprs])
+
+
+def _linked(placed: DataFrame) -> DataFrame:
+    """(g, to, n_linked, n_deeper) of the messages with links; to: turn and g of the message that is answered."""
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    units = lambda deep: F.flatten(F.transform(F.filter("segments", lambda s: (s["level"] > 1) == F.lit(deep)), lambda s: F.concat(F.array(s["text"]), F.split(s["text"], "\n"))))
+    tagged = lambda deep: F.transform(_hashes(units(deep)), lambda h: F.struct(F.lit(deep).alias("deep"), h.alias("hash")))
+    both = F.concat(tagged(False), tagged(True))
+    quoted = placed.where((F.size("segments") > 0) & known)
+    asked = quoted.select("conv_id", "turn", "range", "g", F.inline(both))
+    own = F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", "\n"))
+    convs = stage(placed.where(known).groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.size("segments")).alias("quotes")).where("quotes > 0").drop("quotes"), "quoting")
+    said = join_spread(placed.where((F.col("text") != "") & known), convs, "conv_id", convs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    said = said.select("conv_id", "turn", "range", "g", F.explode(_hashes(own)).alias("hash"))
+    said = said.groupBy("conv_id", "hash", "range", "turn").agg(F.max("g").alias("source"))
+    rows = asked.withColumn("source", F.lit(None).cast("long")).unionByName(said.withColumns({"g": F.lit(None).cast("long"), "deep": F.lit(None).cast("boolean")}))
+    # the latest earlier turn with the passage: of the same range of turns, else of the ranges before
+    at = F.when(F.col("source").isNotNull(), F.struct("turn", F.col("source").alias("g")))
+    within = Window.partitionBy("conv_id", "hash", "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    rows = stage(rows.withColumn("here", F.max(at).over(within)).withColumn("at", at), "passages")
+    before = Window.partitionBy("conv_id", "hash").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ends = rows.groupBy("conv_id", "hash", "range").agg(F.max("at").alias("last")).withColumn("there", F.max("last").over(before)).where("there is not null").drop("last")
+    found = rows.where("g is not null").join(ends, ["conv_id", "hash", "range"], "left").select("g", "deep", F.coalesce("here", "there").alias("to")).where("to is not null")
+    votes = found.groupBy("g", "to").agg(F.count_if(~F.col("deep")).alias("n"), F.count_if("deep").alias("n_deep"))
+    best = votes.groupBy("g").agg(F.max(F.when(F.col("n") > 0, F.struct("n", "to"))).alias("best"), F.sum("n").alias("n_linked"), F.sum("n_deep").alias("n_deeper"))
+    return best.select("g", F.col("best.to").alias("to"), "n_linked", "n_deeper")
+
+
+def _branches(messages: DataFrame) -> DataFrame:
+    """messages (g, conv_id, head, parent), parent null or elsewhere only in heads of runs -> (head, start, up): the place in reply order, over all conversations, and the depth of each run's head."""
+    runs = stage(messages.groupBy("head").agg(F.first("conv_id").alias("conv_id"), F.count("*").alias("size"), F.max("parent").alias("parent")), "runs")
+    off = runs.where("parent is not null")
+    wanted = off.groupBy(F.col("parent").alias("g")).agg(F.count("*").alias("n"))
+    of_parent = stage(messages.select("g", F.col("head").alias("anc")).join(wanted, "g").withColumnRenamed("g", "parent"), "parents")
+    step = F.array(F.struct((-F.col("parent")).alias("late"), F.col("head").alias("first")))
+    cur = stage(join_spread(off, of_parent, "parent", off.count()).select("head", "anc", step.alias("path"), (F.col("parent") - F.col("anc") + 1).alias("up")), "branches")
+    while total := cur.where("anc is not null").count():
+        wanted = cur.where("anc is not null").groupBy("anc").agg(F.count("*").alias("n"))
+        above = stage(wanted.join(cur.select(F.col("head").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("above"), F.col("up").alias("more")), "anc", "left"), "above")
+        moved = join_spread(cur.where("anc is not null"), above, "anc", total)
+        moved = moved.select("head", F.col("next").alias("anc"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"), (F.col("up") + F.coalesce("more", F.lit(0))).alias("up"))
+        cur = stage(moved.unionByName(cur.where("anc is null")), "branches")
+    runs = runs.join(cur.select("head", "path", "up"), "head", "left").select("head", "conv_id", "size", F.coalesce("path", F.array().cast(cur.schema["path"].dataType)).alias("path"), F.coalesce("up", F.lit(0)).alias("up"))
+    # runs by conversation and path, roots first; where each starts is the sum of the sizes before
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "path", "head")]
+    runs = stage(runs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "head", "size", "up"), "ordered")
+    parts = runs.groupBy("part").agg(F.sum("size").alias("n"))  # a row for each partition
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    so_far = F.sum("size").over(Window.partitionBy("part").orderBy("row")) - F.col("size")
+    return stage(runs.withColumn("so_far", so_far).join(F.broadcast(parts), "part").select("head", (F.col("so_far") + F.col("before")).alias("start"), "up", F.col("size").alias("n")), "starts")
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, position, turn, role, text, reply_to, n_quotes, n_linked), a row for each message in reply order: none comes before what it replies to."""
+    """A row for each message: conv_id, position (place in reply order: none comes before what it replies to), turn, role, text without quotes, reply_to (turn of the
+    message it replies to), root (turn of the conversation's first message), depth (replies from there), n_quotes (segments), n_linked and n_deeper (linked passages of level 1 and deeper)."""
     src = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("raw"))
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "raw")]
     parsed = parse(src.repartitionByRange(*order).sortWithinPartitions(*order), "raw")
     parsed = stage(parsed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", F.col("own").alias("text"), "segments"), "messages")
 
-    # positions: rows before the partition, less the first row of the conversation
-    sizes = parsed.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))  # a row for each partition
-    sizes = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", (F.col("before") - F.col("first")).alias("shift"))
-    placed = parsed.join(F.broadcast(sizes), "part").withColumn("g", F.col("row") + F.col("shift")).drop("part", "shift")
-    first = placed.groupBy("conv_id").agg(F.min("g").alias("g0"))
-
-    # quoted hashes against own hashes of the conversation, in turn order: the latest earlier turn with the passage
-    quoted = placed.where((F.size("segments") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    units = F.flatten(F.transform("segments", lambda s: F.concat(F.array(s["text"]), F.split(s["text"], "\n"))))
-    asked = quoted.select("conv_id", "turn", "g", F.explode(_hashes(units)).alias("hash"))
-    wanted = asked.select("conv_id", "hash").distinct()
-    own = F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", "\n"))
-    said = placed.where((F.col("text") != "") & F.col("turn").isNotNull()).join(quoted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(_hashes(own)).alias("hash"))
-    said = said.join(wanted, ["conv_id", "hash"], "left_semi").distinct()
-    both = asked.select("conv_id", "hash", "turn", "g", F.lit(None).cast("long").alias("source")).unionByName(said.select("conv_id", "hash", "turn", F.lit(None).cast("long").alias("g"), F.col("turn").alias("source")))
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("to", F.max("source").over(earlier)).where("g is not null and to is not null")
-    votes = found.groupBy("g", "to").agg(F.count("*").alias("n"))
-    best = votes.groupBy("g").agg(F.max(F.struct("n", "to")).alias("best"), F.sum("n").alias("n_linked")).select("g", F.col("best.to").alias("linked"), "n_linked")
-
-    before = placed.select((F.col("g") + 1).alias("g"), F.col("conv_id").alias("c"), F.col("turn").alias("t"))
-    out = placed.join(best, "g", "left").join(before, "g", "left").join(first.withColumnRenamed("conv_id", "c0"), F.col("conv_id").eqNullSafe(F.col("c0")), "left")
-    follows = F.when((F.col("c") == F.col("conv_id")), F.col("t"))
-    return out.select("conv_id", (F.col("g") - F.col("g0")).alias("position"), "turn", "role", "text", F.coalesce("linked", follows).alias("reply_to"), F.size("segments").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
+    # places: rows before the partition, and its first row's neighbour
+    sizes = parsed.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max_by(F.struct("conv_id", "turn"), "row").alias("last"))  # a row for each partition
+    by_part = Window.orderBy("part")
+    sizes = sizes.select("part", (F.sum("n").over(by_part) - F.col("n") - F.col("first")).alias("shift"), F.lag("last").over(by_part).alias("neighbour"))
+    placed = parsed.join(F.broadcast(sizes), "part").withColumn("g", F.col("row") + F.col("shift"))
+    before = F.coalesce(F.lag(F.struct("conv_id", "turn")).over(Window.partitionBy("part").orderBy("row")), "neighbour")
+    placed = placed.withColumn("before", before)
+    starts = F.col("before").isNull() | ~F.col("before.conv_id").eqNullSafe(F.col("conv_id"))
+    turns = starts | ~F.col("before.turn").eqNullSafe(F.col("turn"))
+    placed = placed.withColumns({"starts": starts, "of": F.when(turns, F.struct("g", "part"))})
+    placed = _running(placed, "g", turn_start=F.col("of"), conv_start=F.when(F.col("starts"), F.struct("g", "turn")))
+    # equal turns of a conversation share a range: the partition of the first of them
+    placed = stage(placed.select("part", "g", "conv_id", "turn", "role", "text", "segments", "before", "starts", F.col("turn_start.part").alias("range"), F.col("conv_start.g").alias("g0"), F.col("conv_start.turn").alias("root")), "placed")
+
+    joined = placed.join(_linked(placed), "g", "left").withColumn("alone", F.col("starts") | F.col("conv_id").isNull())
+    elsewhere = F.col("to").isNotNull() & (F.col("to.g") != F.col("g") - 1)
+    joined = _running(joined.withColumn("elsewhere", elsewhere), "g", head=F.when(F.col("alone") | F.col("elsewhere"), F.col("g")))
+    reply_to = F.when(~F.col("alone"), F.coalesce("to.turn", "before.turn"))
+    out = stage(joined.select("g", "g0", "head", F.when(F.col("elsewhere"), F.col("to.g")).alias("parent"), "conv_id", "turn", "role", "text", reply_to.alias("reply_to"), F.when(F.col("conv_id").isNull(), F.col("turn")).otherwise(F.col("root")).alias("root"), F.size("segments").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("n_deeper", F.lit(0)).alias("n_deeper")), "linked")
+    if out.where("parent is not null").isEmpty():
+        out = out.withColumns({"position": F.col("g") - F.col("g0"), "depth": F.col("g") - F.col("head")})
+    else:
+        out = join_spread(out, _branches(out), "head", out.count()).withColumns({"position": F.col("start") + F.col("g") - F.col("head") - F.col("g0"), "depth": F.col("up") + F.col("g") - F.col("head")})
+    return out.select("conv_id", "position", "turn", "role", "text", "reply_to", "root", "depth", "n_quotes", "n_linked", "n_deeper")

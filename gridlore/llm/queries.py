@@ -71,7 +71,8 @@ _NORMAL = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 _QUOTE = chat.QUOTE
 
 #: Quotation linking in DuckDB's SQL, on the passages themselves instead of their hashes.
-CHAT_SQL = f"""with m as (select conv_id, turn, role, text as raw, row_number() over (order by conv_id nulls first, turn nulls first, role nulls first, text nulls first) as g from conversations),
+CHAT_SQL = f"""with recursive
+m as (select conv_id, turn, role, text as raw, row_number() over (order by conv_id nulls first, turn nulls first, role nulls first, text nulls first) - 1 as g from conversations),
 a as (select g, string_split(regexp_replace(coalesce(raw, ''), '\\r\\n?', chr(10), 'g'), chr(10)) as ls from m),
 l as (select g, unnest(ls) as line, generate_subscripts(ls, 1) as i from a),
 v as (select *, length(regexp_replace(regexp_extract(line, '{_QUOTE}', 1), '[^>]', '', 'g')) as lev, regexp_replace(line, '{_QUOTE}', '') as plain from l),
@@ -80,15 +81,30 @@ s as (select *, sum(chg) over (partition by g order by i) as seg from c),
 x as (select *, max(i) over (partition by g, seg) as e, max(i) over (partition by g) as n from s),
 st as (select g, seg, coalesce(string_agg(plain, chr(10) order by i) filter (not (i = e and e < n and regexp_matches(plain, '{chat.INTRODUCES}'))), '') as t from x where lev = 0 group by g, seg),
 o as (select m.g, coalesce(trim(string_agg(st.t, chr(10) order by st.seg), ' ' || chr(10) || chr(9)), '') as own from m left join st using (g) group by m.g),
-q as (select g, seg, string_agg(plain, chr(10) order by i) as t from x where lev > 0 group by g, seg),
-asked as (select distinct g, {_NORMAL.format("u")} as u from (select g, t as u from q union all select g, unnest(string_split(t, chr(10))) from q)),
-said as (select distinct g, {_NORMAL.format("u")} as u from (select g, own as u from o union all select g, unnest(regexp_split_to_array(own, '\\n\\s*\\n')) from o union all select g, unnest(string_split(own, chr(10))) from o)),
-f as (select asked.g, asked.u, max(b.turn) as t from asked join m on m.g = asked.g join said on said.u = asked.u join m b on b.g = said.g and b.conv_id = m.conv_id and b.turn < m.turn where asked.u <> '' group by 1, 2),
-w as (select g, t, count(*) as n from f group by 1, 2),
-k as (select g, t, sum(n) over (partition by g) as n_linked, row_number() over (partition by g order by n desc, t desc) as j from w)
-select m.conv_id, m.g - min(m.g) over (partition by m.conv_id) as position, m.turn, m.role, o.own as text, coalesce(k.t, case when p.conv_id = m.conv_id then p.turn end) as reply_to,
- cast((select count(*) from q where q.g = m.g) as int) as n_quotes, cast(coalesce(k.n_linked, 0) as bigint) as n_linked
-from m join o using (g) left join k on k.g = m.g and k.j = 1 left join m p on p.g = m.g - 1"""
+q as (select g, seg, any_value(lev) > 1 as deep, string_agg(plain, chr(10) order by i) as t from x where lev > 0 group by g, seg),
+asked as (
+  select distinct g, deep, {_NORMAL.format("u")} as u
+  from (select g, deep, t as u from q union all select g, deep, unnest(string_split(t, chr(10))) from q)),
+said as (
+  select distinct g, {_NORMAL.format("u")} as u
+  from (select g, own as u from o union all select g, unnest(regexp_split_to_array(own, '\\n\\s*\\n')) from o union all select g, unnest(string_split(own, chr(10))) from o)),
+f as (
+  select asked.g, asked.deep, asked.u, max(b.g) as t
+  from asked join m on m.g = asked.g join said on said.u = asked.u join m b on b.g = said.g and b.conv_id = m.conv_id and b.turn < m.turn
+  where asked.u <> '' group by 1, 2, 3),
+w as (select g, t, count(*) filter (not deep) as n, count(*) filter (deep) as d from f group by 1, 2),
+k as (select g, max(struct_pack(n := n, t := t)) filter (n > 0) as best, sum(n) as n_linked, sum(d) as n_deeper from w group by 1),
+p as (
+  select m.*, min(m.g) over (partition by m.conv_id) as g0,
+    case when m.conv_id is null then null when k.best is not null then k.best.t when b.conv_id = m.conv_id then b.g end as parent,
+    coalesce(k.n_linked, 0) as n_linked, coalesce(k.n_deeper, 0) as n_deeper
+  from m left join k using (g) left join m b on b.g = m.g - 1),
+walk as (
+  select g, g as top, 0 as depth, [g] as path from p where parent is null
+  union all select p.g, walk.top, walk.depth + 1, list_append(walk.path, p.g) from walk join p on p.parent = walk.g)
+select p.conv_id, row_number() over (partition by p.conv_id order by walk.path) - 1 as position, p.turn, p.role, o.own as text, b.turn as reply_to, r.turn as root, cast(walk.depth as bigint) as depth,
+  cast((select count(*) from q where q.g = p.g) as int) as n_quotes, cast(p.n_linked as bigint) as n_linked, cast(p.n_deeper as bigint) as n_deeper
+from p join o using (g) join walk using (g) join m r on r.g = walk.top left join m b on b.g = p.parent"""
 
 #: All pairs of one label, in double precision; components as a closure.
 EMBEDDINGS_SQL = """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),

@@ -115,13 +115,36 @@ def test_licence_scan_is_native(spark, licence_model):
 def test_quotes(spark):
     rows = [(1, 0, "a", "Hello there\nHow are you?\n\nSecond para"), (1, 1, "b", "> Hello there\n> How are you?\n\nFine"), (1, 2, "a", "On Monday b wrote:\n>> Hello there\n> Fine\nok\n"), (1, 3, "c", "> second   PARA\nyes"), (2, 0, "a", None), (2, 1, "b", "> Hello there"), (None, 1, "x", "> hi\nho"), (1, 3, "c", "> second   PARA\nyes"), (3, None, "q", "t")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, g int, hash int")
-    got = [(r["conv_id"], r["position"], r["turn"], r["text"], r["reply_to"], r["n_quotes"]) for r in chat.link(df).orderBy(F.col("conv_id").asc_nulls_first(), "position").collect()]
+    got = [(r["conv_id"], r["position"], r["turn"], r["text"], r["reply_to"], r["depth"], r["n_quotes"]) for r in chat.link(df).orderBy(F.col("conv_id").asc_nulls_first(), "position").collect()]
     assert got == [
-        (None, 0, 1, "ho", None, 1), (1, 0, 0, "Hello there\nHow are you?\n\nSecond para", None, 0), (1, 1, 1, "Fine", 0, 1), (1, 2, 2, "ok", 1, 2), (1, 3, 3, "yes", 0, 1), (1, 4, 3, "yes", 0, 1), (2, 0, 0, "", None, 0), (2, 1, 1, "", 0, 1), (3, 0, None, "t", None, 0),
+        (None, 0, 1, "ho", None, 0, 1), (1, 0, 0, "Hello there\nHow are you?\n\nSecond para", None, 0, 0), (1, 1, 1, "Fine", 0, 1, 1), (1, 2, 2, "ok", 1, 2, 2), (1, 3, 3, "yes", 0, 1, 1), (1, 4, 3, "yes", 0, 1, 1), (2, 0, 0, "", None, 0, 0), (2, 1, 1, "", 0, 1, 1), (3, 0, None, "t", None, 0, 0),
     ]
     assert chat.link(df.where("false")).count() == 0
 
 
+def test_the_first_level_decides(spark):
+    rows = [(1, 0, "a", "one\ntwo\nthree"), (1, 1, "b", "> one\nmine"), (1, 2, "a", ">> one\n>> two\n>> three\n> mine\nlast"), (1, 3, "c", "> one\n> two\nelse"), (1, 4, "c", "> last\nend"), (1, 5, "c", ">> mine\nno first level")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: (r["reply_to"], r["depth"], r["n_linked"], r["n_deeper"], r["position"]) for r in chat.link(df).collect()}
+    # 5 has no link of the first level: it replies to the message before it
+    assert got == {0: (None, 0, 0, 0, 0), 1: (0, 1, 1, 0, 1), 2: (1, 2, 1, 4, 2), 4: (2, 3, 1, 0, 3), 5: (4, 4, 0, 1, 4), 3: (0, 1, 2, 0, 5)}
+
+
+def test_long_trees(spark):
+    """Reply order and depth of one long conversation against a plain walk."""
+    r, rows, up = random.Random(3), [], {}
+    for i in range(700):
+        up[i] = None if not i else r.choice([i - 1, i - 1, r.randrange(i), max(0, i - 2)])
+        rows.append((4, i, "u", f"message number {i}" if up[i] in (None, i - 1) else f"> message number {up[i]}\nmessage number {i}"))
+    got = {x["turn"]: (x["position"], x["depth"], x["reply_to"]) for x in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want, stack = {}, [(0, 0)]
+    while stack:
+        i, d = stack.pop()
+        want[i] = (len(want), d, up[i])
+        stack += [(k, d + 1) for k in sorted((k for k in up if up[k] == i), reverse=True)]
+    assert got == want
+
+
 def test_quotes_against_sql(spark):
     import duckdb
 
@@ -132,7 +155,7 @@ def test_quotes_against_sql(spark):
     rows = [(None if r.random() < 0.05 else r.randrange(6), None if r.random() < 0.05 else r.randrange(8), r.choice("ab"), None if r.random() < 0.05 else "\n".join(r.choice(parts) for _ in range(r.randint(0, 6)))) for _ in range(150)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     conversations = df.toArrow()  # noqa: F841  read by name
-    cols = ["conv_id", "position", "turn", "role", "text", "reply_to", "n_quotes", "n_linked"]
+    cols = ["conv_id", "position", "turn", "role", "text", "reply_to", "root", "depth", "n_quotes", "n_linked", "n_deeper"]
     got = Counter(tuple(x[c] for c in cols) for x in chat.link(df).collect())
     want = Counter(duckdb.sql(f"select {', '.join(cols)} from ({CHAT_SQL})").fetchall())
     assert got == want
@@ -227,6 +250,23 @@ def test_token_files(spark, bpe):
     assert token_files.read(token_files.write(frame(spark, []))).count() == 0
 
 
+def test_files_grow_in_number_and_are_read_by_a_task_each(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 4000)
+    monkeypatch.setattr(token_files, "FILE_TOKENS", 300)
+    r = random.Random(6)
+    # half the rows have one id, a tenth none
+    rows = [(None if i % 10 == 0 else 7 if i % 2 else r.randrange(1000), " ".join(r.choice("one two three".split()) for _ in range(r.randint(0, 60)))) for i in range(500)]
+    m = token_files.write(frame(spark, rows))
+    files = m.collect()
+    assert len(files) > 40 and len({f["part"] for f in files}) > 6 and max(f["docs"] for f in files) < 60
+    out = token_files.read(m, with_ids=True)
+    assert out.rdd.getNumPartitions() == len(files)
+    got = out.orderBy("start", "n_tokens").collect()
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and Counter(ids) == Counter(i for i, _ in rows)
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
 def optimum(sizes, room):
     best = len(sizes)
 
@@ -257,6 +297,40 @@ def test_packing_reaches_the_optimum_of_small_cases():
         assert bound <= optimum(sizes, room) == sum(k for _, k in found), (room, sizes)
 
 
+def test_search_improves_on_best_fit():
+    import pyarrow.parquet as pq
+
+    texts_ = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    counts = Counter(n for raw in tokens.encode(texts_, tokens.default_path()) for _, n in packing.spans(len(raw) // 4 + 1, packing.CAPACITY))
+    found, bound = packing.complete(counts)
+    got = Counter()
+    for p, k in found:
+        assert sum(s * m for s, m in p) <= packing.CAPACITY
+        for s, m in p:
+            got[s] += k * m
+    assert got == counts
+    assert bound <= sum(k for _, k in found) <= 963 < sum(k for _, k in packing.best_fit(counts, packing.CAPACITY))
+
+
+def test_fillings_are_the_undominated_ones():
+    from itertools import combinations
+
+    r = random.Random(4)
+    for _ in range(60):
+        sizes = [r.randint(1, 20) for _ in range(r.randint(1, 8))]
+        room, top = 20, max(sizes)
+        rest = sizes.copy()
+        rest.remove(top)
+        every = {tuple(sorted((top, *c), reverse=True)) for n in range(len(rest) + 1) for c in combinations(rest, n) if top + sum(c) <= room}
+        got = [tuple(x for x, m in p for _ in range(m)) for p, _ in packing.fillings(Counter(sizes), room, room)]
+        assert len(set(got)) == len(got) and set(got) <= every
+        for f in every - set(got):  # one length left over stands for one or two of the filling
+            left, own, waste = Counter(sizes) - Counter(f), list(f), room - sum(f)
+            own.remove(top)
+            sums = {x for x in own} | {x + y for i, x in enumerate(own) for y in own[i + 1 :]}
+            assert any(y <= x <= y + waste and x not in (y,) * (y in own) for x in left for y in sums)
+
+
 def test_pack(spark, bpe):
     rows = list(enumerate(texts(60))) + [(500, None), (7, "again"), (7, "again"), (None, "null id")]
     got = packing.pack(frame(spark, rows), capacity=256, keep_ids=True).toPandas()
