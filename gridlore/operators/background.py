@@ -13,21 +13,26 @@ def sample_rows(df: DataFrame, n: int, key: str = "rid") -> DataFrame:
     return df.orderBy(hashed_uniform(F.col(key)), key).limit(n).orderBy(key)
 
 
+#: Equal stretches of the hashed uniforms by which ranks are cut.
+STRETCHES = 4096
+
+
 def target_group(occ: DataFrame, most: int = 25_000) -> DataFrame:
     """For each species, records of other species outside its presence cells, duplicates kept: as many as it has presence cells, at most ``most``.
 
-    The pool isn't multiplied by the species: every record draws a hashed rank of its own, candidates for a species are taken from the head of that
-    order, long enough for what can be lost to the species' own records and cells.
+    Every record draws a hashed uniform of its own. Counts by stretches of it, less those of the species' own cells, tell how far a species has to read
+    to find what it wants; it is joined with the records of these stretches only, by the stretch.
     """
+    drawn = occ.select("rid", "cell_id", hashed_uniform(F.col("rid")).alias("u")).withColumn("b", F.least(F.floor(F.col("u") * STRETCHES).cast("int"), F.lit(STRETCHES - 1)))
     presence = occ.select("species", "cell_id").distinct()
     wanted = presence.groupBy("species").agg(F.count("*").alias("n")).select("species", F.least("n", F.lit(most)).alias("n"))
-    own = occ.join(presence.withColumnRenamed("species", "sp"), "cell_id").groupBy("sp").agg(F.count("*").alias("lost"))
-    need = wanted.join(own.withColumnRenamed("sp", "species"), "species", "left").select("species", "n", (F.col("n") + F.coalesce("lost", F.lit(0))).alias("reach"))
-    head = need.agg(F.max("reach")).first()[0] or 0
-    order = occ.select("rid", "cell_id", hashed_uniform(F.col("rid")).alias("u")).orderBy("u", "rid").limit(int(head))
-    ranked = order.withColumn("k", F.row_number().over(Window.orderBy("u", "rid")))
-    cand = ranked.join(F.broadcast(need), F.col("k") <= F.col("reach"))  # a row for each species
-    cand = cand.join(presence, ["species", "cell_id"], "left_anti")
+    whole = drawn.groupBy("b").agg(F.count("*").alias("c"))  # a row for each stretch
+    by_cell = drawn.groupBy("cell_id", "b").agg(F.count("*").alias("c"))
+    own = presence.join(by_cell, "cell_id").groupBy("species", "b").agg(F.sum("c").alias("own"))
+    free = wanted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(STRETCHES - 1)))).join(F.broadcast(whole), "b").join(own, ["species", "b"], "left")  # STRETCHES rows for each species
+    upto = F.sum(F.col("c") - F.coalesce("own", F.lit(0))).over(Window.partitionBy("species").orderBy("b"))
+    reach = free.withColumn("before", upto - (F.col("c") - F.coalesce("own", F.lit(0)))).where("before < n").select("species", "n", "b")
+    cand = drawn.join(reach, "b").join(presence, ["species", "cell_id"], "left_anti")
     pick = cand.withColumn("j", F.row_number().over(Window.partitionBy("species").orderBy("u", "rid"))).where("j <= n")
     return pick.select("species", "rid", "cell_id")
 
@@ -63,11 +68,22 @@ def weighted_without(df: DataFrame, n: int, key: str = "cell_id", weight: str =
 
 def weighted_with(df: DataFrame, n: int, key: str = "cell_id", weight: str = "weight") -> DataFrame:
     """n draws with replacement: each row owns a stretch of the cumulated weight, systematic draws fall into it; times = draws of a row."""
-    total = F.sum(weight).over(Window.partitionBy())
-    upto = F.sum(weight).over(Window.orderBy(key))
-    share = df.where(F.col(weight) > 0).withColumns({"_b": F.round(upto / total * n, 9), "_a": F.round((upto - F.col(weight)) / total * n, 9)})
+    share = running_sum(df.where(F.col(weight) > 0), weight, key)
+    total = share.agg(F.sum(weight).alias("_total"))
+    share = share.join(F.broadcast(total)).withColumns({"_b": F.round(F.col("_upto") / F.col("_total") * n, 9), "_a": F.round((F.col("_upto") - F.col(weight)) / F.col("_total") * n, 9)})
     times = (F.floor(F.col("_b") + 0.5) - F.floor(F.col("_a") + 0.5)).cast("int")
-    return share.withColumn("times", times).where("times > 0").drop("_a", "_b")
+    return share.withColumn("times", times).where("times > 0").drop("_a", "_b", "_upto", "_total")
+
+
+def running_sum(df: DataFrame, value: str, key: str, parts: int = 1000, out: str = "_upto") -> DataFrame:
+    """df with the sum of value over all rows up to this one by a number key (ties together): sums of ranges of the key first, then within a range. No window holds more than a range."""
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    ends = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    ranged = df.withColumn("_part", F.size(F.filter(ends, lambda e: e < F.col(key))) if cuts else F.lit(0))
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each range
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(key))
+    return ranged.withColumn(out, within).join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
 
 
 def choose_source(distinct_file_cells: int, presence_cells: int, has_effort: bool) -> str:

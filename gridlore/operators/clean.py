@@ -39,6 +39,19 @@ def usable_uncertainty(c: str = "uncertainty", most: float = 10_000.0) -> Column
     return F.col(c).isNull() | (F.col(c) <= most)
 
 
+def select_occurrences(df: DataFrame, countries: Sequence[str] | None = None, bbox: tuple[float, float, float, float] | None = None, least: int = 0) -> DataFrame:
+    """Rows with finite coordinates in the countries (case and blanks aside) and the box (edges included), of species that keep at least ``least`` of them."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    out = df.where(finite("latitude") & finite("longitude"))
+    if countries is not None:
+        out = out.where(F.upper(F.trim("country")).isin(*[c.strip().upper() for c in countries]))
+    if bbox is not None:
+        out = out.where(~outside(bbox, 0.0))
+    if least > 1:
+        out = out.join(out.groupBy("species").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("species"), "species", "left_semi")
+    return out
+
+
 def tree_binomial(name: Column, genera: Sequence[str]) -> Column:
     """Two words at least, the genus known, the epithet none of the placeholders."""
     part = F.split(F.trim(name), r"\s+")
@@ -48,7 +61,8 @@ def tree_binomial(name: Column, genera: Sequence[str]) -> Column:
 
 def duplicates(df: DataFrame, keys: Sequence[str] = ("species", "latitude", "longitude"), order: str = "rid", out: str = "is_duplicate") -> DataFrame:
     """Every row after the first of its keys in input order."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)) > 1)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
+    return df.withColumn(out, ~first)
 
 
 def not_listed(df: DataFrame, species: DataFrame, out: str = "not_listed") -> DataFrame:

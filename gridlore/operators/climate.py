@@ -144,11 +144,19 @@ def water_deficit(prec: Column, pet: Column) -> Column:
     return F.aggregate(F.zip_with(pet, prec, lambda e, p: F.greatest(e - p, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
 
 
-def compare_windows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Over rows valid in all windows: mean, population deviation, median, 5th and 95th percentile of each, and its mean shift from the first."""
+def compare_windows(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Over rows valid in all windows, in each group of by: mean, population deviation, median, 5th and 95th percentile of each window, its mean shift from the first, and how often it lies above it at all and by more than 1."""
     whole = df.dropna(subset=list(columns))
-    long = whole.select(F.col(columns[0]).alias("_f"), F.stack(F.lit(len(columns)), *[x for c in columns for x in (F.lit(c), F.col(c))]).alias("window", "v"))
-    return long.groupBy("window").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.median("v").alias("median"), F.percentile("v", F.lit(0.05)).alias("p05"), F.percentile("v", F.lit(0.95)).alias("p95"), F.avg(F.col("v") - F.col("_f")).alias("shift"), F.avg((F.col("v") - F.col("_f") > 1).cast("double")).alias("share_over_1"))
+    long = whole.select(*by, F.col(columns[0]).alias("_f"), F.stack(F.lit(len(columns)), *[x for c in columns for x in (F.lit(c), F.col(c))]).alias("window", "v"))
+    return long.groupBy(*by, "window").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.median("v").alias("median"), F.percentile("v", F.lit(0.05)).alias("p05"), F.percentile("v", F.lit(0.95)).alias("p95"), F.avg(F.col("v") - F.col("_f")).alias("shift"), F.avg((F.col("v") > F.col("_f")).cast("double")).alias("share_over_0"), F.avg((F.col("v") - F.col("_f") > 1).cast("double")).alias("share_over_1"))
+
+
+def period(year: Column, edges: Sequence[int]) -> Column:
+    """The period of a record's year: before the first edge, from each edge to the next, from the last on, or no year."""
+    name = F.when(year.isNull(), "no year").when(year < edges[0], f"before {edges[0]}")
+    for a, b in zip(edges, edges[1:]):
+        name = name.when(year < b, f"{a} to {b - 1}")
+    return name.otherwise(f"from {edges[-1]}")
 
 
 def coverage_loss(cells: DataFrame, old: str, new: str, key: str, top: int = 10) -> DataFrame:

@@ -45,6 +45,28 @@ def greedy_folds(counts: dict[int, int], folds: int = 5) -> dict[int, int]:
     return out
 
 
+def stratified_folds(counts: dict[int, tuple[int, int]], folds: int = 5) -> dict[int, int]:
+    """Folds of whole blocks with like shares of absences and presences. counts: (absences, presences) of each block.
+
+    The most uneven and largest blocks go first, each to the fold where the folds' shares of both classes then differ least; ties to the fold of fewer rows, then the lower.
+    """
+    folds = min(folds, len(counts))
+    if folds < 2:
+        return {}
+    total = [max(1, sum(c[k] for c in counts.values())) for k in (0, 1)]
+    load, out = [[0, 0] for _ in range(folds)], {}
+
+    def spread(f: int, c: tuple[int, int]) -> float:
+        shares = [[(load[i][k] + (c[k] if i == f else 0)) / total[k] for i in range(folds)] for k in (0, 1)]
+        return sum(sum((v - sum(s) / folds) ** 2 for v in s) for s in shares)
+
+    for b in sorted(counts, key=lambda b: (-abs(counts[b][0] / total[0] - counts[b][1] / total[1]), -sum(counts[b]), b)):
+        f = min(range(folds), key=lambda i: (spread(i, counts[b]), sum(load[i]), i))
+        out[b] = f
+        load[f] = [load[f][k] + counts[b][k] for k in (0, 1)]
+    return out
+
+
 def assign_folds(df: DataFrame, block: str = "block", folds: int = 5, most_blocks: int = 10_000) -> DataFrame:
     """df with fold; the blocks (a few tens as a rule, ``most_blocks`` at most) are counted on the cluster and dealt on the driver."""
     rows = df.groupBy(block).count().limit(most_blocks + 1).collect()

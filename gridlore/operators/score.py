@@ -31,8 +31,18 @@ class Booster:
         names = list(features or learner.get("feature_names") or [f"f{i}" for i in range(int(learner["learner_model_param"]["num_feature"]))])
         return cls(names, float(np.log(p / (1 - p))), trees)
 
+    def to_json(self) -> str:
+        """The text that from_json reads."""
+        trees = [{"left_children": t["left"].tolist(), "right_children": t["right"].tolist(), "split_indices": t["feature"].tolist(), "split_conditions": [float(v) for v in t["at"]], "default_left": [int(v) for v in t["default_left"]], "loss_changes": [float(v) for v in t["gain"]]} for t in self.trees]
+        base = 1 / (1 + np.exp(-self.margin))
+        return json.dumps({"learner": {"learner_model_param": {"base_score": repr(float(base)), "num_feature": str(len(self.features))}, "feature_names": self.features, "gradient_booster": {"model": {"trees": trees}}}})
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of rows (float32, NaN missing): all rows walk a tree together."""
+        """Probabilities of rows (float32, NaN missing)."""
+        return 1 / (1 + np.exp(-self.margins(x)))
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Log odds: all rows walk a tree together."""
         x = np.asarray(x, np.float32)
         out = np.full(len(x), self.margin)
         for t in self.trees:
@@ -43,7 +53,7 @@ class Booster:
                 left = np.where(np.isnan(v), t["default_left"][n], v < t["at"][n])
                 node[go] = np.where(left, t["left"][n], t["right"][n])
             out += t["at"][node]
-        return 1 / (1 + np.exp(-out))
+        return out
 
     def importance(self) -> dict[str, float]:
         """Total gain by feature."""
@@ -68,6 +78,19 @@ class Network:
     species: list[str]
     log_z: np.ndarray
 
+    def to_json(self) -> str:
+        """One text with all parameters, which from_json reads."""
+        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
+        return json.dumps({"format": 1, **{k: plain(v) for k, v in vars(self).items()}})
+
+    @classmethod
+    def from_json(cls, text: str) -> Network:
+        d = json.loads(text)
+        if d.pop("format", None) != 1:
+            raise ValueError("not a network of this format")
+        pair = lambda p: (np.array(p[0], float), np.array(p[1], float))
+        return cls(d["features"], np.array(d["mean"]), np.array(d["sd"]), pair(d["first"]), [pair(h) for h in d["hidden"]], pair(d["last"]), d["species"], np.array(d["log_z"]))
+
     def standardise(self, x: np.ndarray) -> np.ndarray:
         """Missing values become zero, the mean."""
         z = (np.asarray(x, np.float64) - self.mean) / self.sd

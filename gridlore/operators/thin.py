@@ -13,18 +13,29 @@ def on_grid(df: DataFrame, grid: Grid) -> DataFrame:
 
 
 def thin(df: DataFrame, grid: Grid, newest: bool = True) -> DataFrame:
-    """One row of each (species, cell): the newest year (null oldest), ties the earliest input row; with n_records of the cell."""
-    keys = Window.partitionBy("species", "grid_row", "grid_col")
-    order = [F.coalesce("year", F.lit(-1)).desc(), F.col("rid")] if newest else [F.col("rid")]
-    ranked = on_grid(df, grid).withColumns({"_k": F.row_number().over(keys.orderBy(*order)), "n_records": F.count("*").over(keys)})
-    return ranked.where("_k = 1").drop("_k")
+    """One row of each (species, cell): the newest year (null oldest), ties the earliest input row; with n_records of the cell. Combined before the shuffle."""
+    year = F.coalesce("year", F.lit(-1)) if newest else F.lit(0)
+    own = F.max_by(F.struct(*df.columns), F.struct(year, -F.col("rid")))
+    kept = on_grid(df, grid).groupBy(F.col("species").alias("_s"), "grid_row", "grid_col").agg(own.alias("_own"), F.count("*").alias("n_records"))
+    return kept.select("_own.*", "grid_row", "grid_col", "n_records")
 
 
 def first_per_cell(df: DataFrame, grid: Grid) -> DataFrame:
     """The first row of each cell in input order, only on the grid."""
     placed = on_grid(df, grid).where(grid.inside(F.col("grid_row"), F.col("grid_col")))
     cell = grid.cell_id(F.col("grid_row"), F.col("grid_col"))
-    return placed.withColumn("cell_id", cell).withColumn("_k", F.row_number().over(Window.partitionBy("cell_id").orderBy("rid"))).where("_k = 1").drop("_k")
+    first = placed.groupBy(cell.alias("cell_id")).agg(F.min_by(F.struct(*placed.columns), "rid").alias("_own"))
+    return first.select("_own.*", "cell_id")
+
+
+def in_output_order(thinned: DataFrame) -> DataFrame:
+    """The order in which thinned records are written."""
+    return thinned.orderBy("species", "grid_row", "grid_col")
+
+
+def most_recorded(df: DataFrame, most: int) -> DataFrame:
+    """The species of most records and their counts, ties by name; most is the caller's cap on a run."""
+    return df.groupBy("species").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "species").limit(most)
 
 
 def cells_per_species(df: DataFrame, gate: int = 0) -> DataFrame:

@@ -94,10 +94,10 @@ def _cell_merge(s, d):
 
 
 def _target_group(s, d):
-    return B.target_group(_points(s, d).select("rid", "species", "cell_id"), 200)
+    return B.target_group(_points(s, d).select("rid", "species", "cell_id"))
 
 
-_TG = _PTS + """, pr as (select distinct species, cell_id from pts), n as (select species, least(count(*), 200) n from pr group by 1),
+_TG = _PTS + """, pr as (select distinct species, cell_id from pts), n as (select species, least(count(*), 25000) n from pr group by 1),
  pool as (select rid, cell_id, (((rid * 2654435761) % 1000003) + 1) / 1000004.0 u from pts),
  cand as (select n.species, n.n, pool.* from pool, n where not exists (select 1 from pr where pr.species = n.species and pr.cell_id = pool.cell_id)),
  k as (select *, row_number() over (partition by species order by u, rid) j from cand) select species, rid, cell_id from k where j <= n"""

@@ -9,7 +9,7 @@ from ..functions.grid import GLOBAL_10M, USA_30S
 from ..operators import clean, thin
 from ..sources.tables import OCC_SQL, occ
 
-BBOX = (-100.0, 30.0, -95.2, 34.8)
+BBOX = (-125.0, 24.0, -60.0, 50.0)
 _OCC = f"with occ as ({OCC_SQL.format(events='events')})"
 _CLEAN = _OCC + """, dup as (select *, row_number() over (partition by species, latitude, longitude order by rid) > 1 as is_dup from occ),
 mag as (select round_even(latitude, 5) la, round_even(longitude, 5) lo, count(*) n, count(distinct species) s from occ where latitude is not null and longitude is not null group by 1, 2 having count(*) >= 25 and count(distinct species) >= 8),
@@ -21,7 +21,7 @@ flags as (select far.*, mag.s is not null and (mag.s >= 30 or (round_even(abs(fa
   coalesce(n_species >= 20 and km > greatest(mad.med + 8 * 1.4826 * mad.mad, 3000), false) as outlier
   from far left join mag on round_even(far.latitude, 5) = mag.la and round_even(far.longitude, 5) = mag.lo left join mad using (species)),
 cleaned as (select rid, species, latitude, longitude, year, case when latitude is null or longitude is null then 'bad_coordinate' when is_dup then 'duplicate' when abs(latitude) < 0.01 and abs(longitude) < 0.01 then 'null_island'
-  when abs(abs(latitude) - abs(longitude)) <= 1e-6 + 1e-5 * abs(longitude) and abs(latitude) > 0.01 then 'lat_equals_lon' when not (latitude between 29.5 and 35.3 and longitude between -100.5 and -94.7) then 'outside'
+  when abs(abs(latitude) - abs(longitude)) <= 1e-6 + 1e-5 * abs(longitude) and abs(latitude) > 0.01 then 'lat_equals_lon' when not (latitude between 23.5 and 50.5 and longitude between -125.5 and -59.5) then 'outside'
   when magnet then 'magnet' when outlier then 'outlier' end as drop_reason from flags)"""
 _GRID = "cast(floor((latitude - 90.0) / (-1.0 / 6.0)) as int) as grid_row, cast(floor((longitude + 180.0) / (1.0 / 6.0)) as int) as grid_col"
 _THIN = _CLEAN + f""", g as (select *, {_GRID} from cleaned where drop_reason is null),

@@ -105,19 +105,25 @@ def _soil(s, d):
 
 
 def _grid_values(s, d):
-    return s.range(24 * 30).select(F.floor(F.col("id") / 30).cast("int").alias("grid_row"), (F.col("id") % 30).cast("int").alias("grid_col"), ((F.col("id") * 7919) % 23).cast("double").alias("v"))
+    i = F.col("c_custkey")  # rows of 30 cells, as many as there are customers
+    return view(s, d, "customer").select(F.floor(i / 30).cast("int").alias("grid_row"), (i % 30).cast("int").alias("grid_col"), F.col("c_acctbal").cast("double").alias("v"))
 
 
-_GV = "with g as (select cast(i // 30 as int) grid_row, cast(i % 30 as int) grid_col, cast((i * 7919) % 23 as double) v from range(720) r(i))"
+def _smoothed(s, d):
+    rows = view(s, d, "customer").count() // 30
+    return _r(L.box_smooth(_grid_values(s, d), "v", 2, 3, rows, 30, 2), "v", n=6)
+
+
+_GV = "with g as (select cast(c_custkey // 30 as int) grid_row, cast(c_custkey % 30 as int) grid_col, cast(c_acctbal as double) v from customer)"
 
 
 def _smooth_sql(half_r, half_c, passes):
     out, k = _GV + ", s0 as (select * from g)", 0
     for _ in range(passes):
-        for key, other, half, n in (("grid_row", "grid_col", half_r, 24), ("grid_col", "grid_row", half_c, 30)):
-            out += f", s{k + 1} as (select a.grid_row, a.grid_col, (select sum(b.v) from s{k} b, range(-{half}, {half + 1}) o(o) where b.{other} = a.{other} and b.{key} = greatest(least(a.{key} + o, {n - 1}), 0)) / {2 * half + 1} v from s{k} a)"
+        for key, other, half in (("grid_row", "grid_col", half_r), ("grid_col", "grid_row", half_c)):
+            out += f", s{k + 1} as (select a.grid_row, a.grid_col, (select sum(b.v) from s{k} b, range(-{half}, {half + 1}) o(o) where b.{other} = a.{other} and b.{key} = greatest(least(a.{key} + o, (select max({key}) from g)), 0)) / {2 * half + 1} v from s{k} a)"
             k += 1
-    return out + f" select grid_row, grid_col, round(v, 8) as v from s{k}"
+    return out + f" select grid_row, grid_col, round(v, 6) as v from s{k}"
 
 
 def _horn(s, d):
@@ -147,7 +153,7 @@ QUERIES = {
     "climatology": (lambda s, d: _r(K.climatology(_climatology(s, d)), "value"), "with m as (select user_id % 50 cell_id, ['tmin', 'tmax', 'prec'][event_id % 3 + 1] as var, cast(event_id % 12 + 1 as int) as month, case when event_id % 7 <> 0 then cast(event_id % 100 as double) end as value from events) select cell_id, var, month, round(avg(value), 6) as value from m group by all"),
     "climate_anomaly": (_anom, _CELLS + ", x as (select cell_id, bio_1 a, bio_1 + 1 b, bio_1 + tree f, bio_12 p, bio_12 / 100 q, aspect r from cells) select cell_id, round(case when f is not null then a + (f - b) end, 6) as bio_1, round(case when p is not null then greatest(p * greatest(least(r / greatest(q, 1), 20), 0.05), 0) end, 6) as bio_12, round(case when p is null then null when q < 1 then greatest(p + (r - q), 0) else p * greatest(least(r / greatest(q, 1), 5), 0.2) end, 6) as prec from x"),
     "evaporation": (_pet, _PET_SQL),
-    "window_comparison": (lambda s, d: _r(K.compare_windows(cells(s, d).withColumn("w2", F.col("bio_1") + F.col("tree") * 3), ["bio_1", "w2"]), "mean", "sd", "median", "p05", "p95", "shift", "share_over_1"), _CELLS + ", c as (select bio_1 a, bio_1 + tree * 3 b from cells where bio_1 is not null and tree is not null), l as (select 'bio_1' w, a v, a from c union all select 'w2', b, a from c) select w as \"window\", round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd, round(median(v), 6) as median, round(quantile_cont(v, 0.05), 6) as p05, round(quantile_cont(v, 0.95), 6) as p95, round(avg(v - a), 6) as shift, round(avg(cast(v - a > 1 as int)), 6) as share_over_1 from l group by w"),
+    "window_comparison": (lambda s, d: _r(K.compare_windows(cells(s, d).withColumn("w2", F.col("bio_1") + F.col("tree") * 3), ["bio_1", "w2"]), "mean", "sd", "median", "p05", "p95", "shift", "share_over_0", "share_over_1"), _CELLS + ", c as (select bio_1 a, bio_1 + tree * 3 b from cells where bio_1 is not null and tree is not null), l as (select 'bio_1' w, a v, a from c union all select 'w2', b, a from c) select w as \"window\", round(avg(v), 6) as mean, round(stddev_pop(v), 6) as sd, round(median(v), 6) as median, round(quantile_cont(v, 0.05), 6) as p05, round(quantile_cont(v, 0.95), 6) as p95, round(avg(v - a), 6) as shift, round(avg(cast(v > a as int)), 6) as share_over_0, round(avg(cast(v - a > 1 as int)), 6) as share_over_1 from l group by w"),
     "coverage_loss": (lambda s, d: K.coverage_loss(cells(s, d), "bio_1", "bio_12", "grid_row"), _CELLS + " select grid_row, count(bio_1) as n_old, count(*) filter (bio_1 is not null and bio_12 is null) as n_lost from cells group by 1 having count(*) filter (bio_1 is not null and bio_12 is null) > 0 order by n_lost desc, grid_row limit 10"),
     "class_fractions": (_fractions, _PX + ", f as (select grid_row, grid_col, avg(case when code <> 0 then cast(code = 1 as int) end) w, avg(case when code <> 0 then cast(code in (2, 3) as int) end) t, avg(case when code <> 0 then cast(code = 5 as int) end) c, count(nullif(code, 0)) n from px group by 1, 2) select grid_row, grid_col, round(w, 6) as water, round(t, 6) as tree, round(c, 6) as crop, n as n_pixels, case when w >= t and w >= c then 10 when t >= c then 20 when c is not null then 30 end as major, round(greatest(w, t, c), 6) as purity from f"),
     "exclusions": (_masked, _mask_sql()),
@@ -157,7 +163,7 @@ QUERIES = {
     "soil_depth_mean": (_soil, "with l as (select l_orderkey % 500 cell_id, case when l_linenumber <> 3 then cast(l_quantity as double) end v, l_linenumber * 5.0 t from lineitem), a as (select cell_id, sum(v * t) / sum(case when v is not null then t end) v from l group by 1) select cell_id, round(v, 6) as value, round(1 + 6 * greatest(least((v - 20 + 100) / 200, 1), 0), 6) as drainage from a"),
     "terrain": (lambda s, d: _r(L.terrain(_pixels(s, d), ["grid_row", "grid_col"]), "mean", "least", "most", "sd", "slope_q3", "northness", "eastness", "range", "strength", n=9), _PX + ", a as (select grid_row, grid_col, avg(z) me, min(z) mi, max(z) ma, sqrt(greatest(avg(z * z) - avg(z) * avg(z), 0)) sd, quantile_cont(slope, 0.75) q3, max(slope) sm, sum(cos(radians(aspect)) * slope) / nullif(sum(slope), 0) n, sum(sin(radians(aspect)) * slope) / nullif(sum(slope), 0) e from px group by 1, 2) select grid_row, grid_col, round(me, 9) as mean, round(mi, 9) as least, round(ma, 9) as most, round(sd, 9) as sd, round(q3, 9) as slope_q3, sm as slope_max, round(n, 9) as northness, round(e, 9) as eastness, round(ma - mi, 9) as range, round(sqrt(n * n + e * e), 9) as strength from a"),
     "block_mean": (lambda s, d: _r(C.block_mean(cells(s, d), 3, ["bio_1", "bio_12"]), "bio_1", "bio_12"), _CELLS + " select cast(floor(grid_row / 3.0) as int) as grid_row, cast(floor(grid_col / 3.0) as int) as grid_col, round(avg(bio_1), 6) as bio_1, round(avg(bio_12), 6) as bio_12 from cells group by 1, 2"),
-    "box_smooth": (lambda s, d: _r(L.box_smooth(_grid_values(s, d), "v", 2, 3, 24, 30, 2), "v", n=8), _smooth_sql(2, 3, 2)),
+    "box_smooth": (_smoothed, _smooth_sql(2, 3, 2)),
     "horn_slope": (_horn, _HORN),
     "effort_concentration": (lambda s, d: _r(L.concentration(occ(s, d).groupBy("latitude", "longitude").agg((F.count("*") - 1).alias("effort"))), "top_share", "zero_share"), f"with occ as ({OCC_SQL.format(events='events')}), e as (select count(*) - 1 as effort from occ group by latitude, longitude), r as (select effort, row_number() over (order by effort desc) k, count(*) over () n from e) select round(cast(sum(effort) filter (k <= greatest(floor(n / 100), 1)) as double) / sum(effort), 6) as top_share, round(avg(cast(effort = 0 as int)), 6) as zero_share from r"),
     "layer_ranges": (lambda s, d: _r(L.ranges(cells(s, d), {"bio_1": (-5, 30), "bio_12": (0, 3000)}), "coverage", "least", "most", "mean", "median", "within"), _CELLS + ", l as (select 'bio_1' layer, bio_1 v, -5 lo, 30 hi from cells union all select 'bio_12', bio_12, 0, 3000 from cells) select layer, count(v) as n, round(avg(cast(v is not null as int)), 6) as coverage, round(min(v), 6) as least, round(max(v), 6) as most, round(avg(v), 6) as mean, round(median(v), 6) as median, round(avg(cast(v between lo and hi as int)), 6) as within, avg(cast(v between lo and hi as int)) = 1 as ok from l group by 1"),

@@ -43,7 +43,7 @@ _RUNS = _FS + ", " + ", ".join(f"r{i} as (select *, rank() over (partition by fo
 
 def _ref_pct(s, d):
     f = _fs(s, d)
-    return M.reference_percentile(f.where("rid % 11 = 0").select("rid", "sp", "score"), f.where("y = 0").select("sp", "score"), "sp").select("rid", F.round("percentile", 8).alias("percentile"))
+    return M.reference_percentile(f.select("rid", "sp", "score"), f.where("y = 0").select("sp", "score"), "sp").select("rid", F.round("percentile", 8).alias("percentile"))
 
 
 def _cv(s, d):
@@ -88,7 +88,9 @@ QUERIES = {
     "max_tss": (lambda s, d: _r(M.max_tss(_fs(s, d), ["sp"]), "tss_max"), _FS + _TSS + " select sp, round(tss, 8) as tss_max, score as threshold from b where k = 1"),
     "boyce": (lambda s, d: _r(M.boyce(_fs(s, d), ["sp"]), "boyce", n=6), _BOYCE),
     "tenth_percentile": (lambda s, d: _r(M.tenth_percentile(_fs(s, d), ["sp"]), "p10"), _FS + " select sp, round(quantile_cont(score, 0.1), 8) as p10 from fs where y = 1 group by 1"),
-    "reference_percentile": (_ref_pct, _FS + ", q as (select rid, sp, score from fs where rid % 11 = 0) select rid, round((select avg(case when r.score < q.score then 1.0 else 0.0 end) * 100 from fs r where r.sp = q.sp and r.y = 0), 8) as percentile from q"),
+    "reference_percentile": (_ref_pct, _FS + ", g as (select sp, score, sum(1 - y) c from fs group by 1, 2), "
+    "p as (select sp, score, coalesce(sum(c) over (partition by sp order by score rows between unbounded preceding and 1 preceding), 0) * 100.0 / sum(c) over (partition by sp) pct from g) "
+    "select rid, round(pct, 8) as percentile from fs join p using (sp, score)"),
     "cv_summary": (_cv, _FS + _AUC.format(k="fold, sp") + " select sp, round(avg(auc), 8) as auc, count(auc) as n_folds_usable, count(*) as n_folds, cast(greatest(floor(median(n_pos % 40 + 1)), 10) as int) as n_trees from a group by 1"),
     "status": (_status, "with a as (select c_custkey k from customer) select k as c_custkey, case when k % 17 = 0 or k % 400 = 0 then 'skip_no_records' when k % 400 < 150 then 'skip_few_cells' when k % 13 = 0 then 'skip_no_background' when k % 19 = 0 then 'skip_train_error' when k % 6 = 0 then 'skip_no_folds' when k % 6 < 3 then 'skip_few_folds' else 'saved' end as status from a"),
     "feature_scaler": (_scaled, _CELLS + _SC + " select cell_id, round(greatest(least((coalesce(bio_1, m1) - a1) / s1, 5), -5), 8) as bio_1, round(greatest(least((coalesce(bio_12, m2) - a2) / s2, 5), -5), 8) as bio_12 from cells, f"),

@@ -104,21 +104,30 @@ def _toy_booster() -> SC.Booster:
 
 
 def _scores(s, d):
-    out = SC.score(cells(s, d), _toy_booster(), ["bio_1", "bio_12"])
+    model = SC.Booster.from_json(_toy_booster().to_json())  # as it was saved
+    out = SC.score(cells(s, d), model, ["bio_1", "bio_12"])
     return out.select("cell_id", F.round("p", 6).alias("p"))
 
 
 _SCORE_SQL = _CELLS + ", m as (select cell_id, (case when bio_1 is null or bio_1 < 10 then 0.5 when bio_12 is not null and bio_12 < 1000 then -0.25 else 0.75 end) + (case when bio_1 < 20 then -0.125 when bio_12 is null or bio_12 < 500 then 0.5 else 0.25 end) z from cells) select cell_id, round(1 / (1 + exp(-z)), 6) as p from m"
 
 
+def _toy_network() -> SC.Network:
+    a = lambda *v: np.array(v, float)
+    return SC.Network(["bio_1", "bio_12"], a(10, 1000), a(5, 500), (a([0.5, -0.25], [0.125, 1.0]), a(0.1, -0.2)), [(a([1.0, 0.5], [-0.5, 0.25]), a(0.05, 0.3))], (a([0.75, -1.0], [0.5, 0.25]), a(0.2, -0.1)), ["warm", "wet"], a(0.4, -0.3))
+
+
 def _network(s, d):
-    """A network trained on the driver on a small table, scored in batches: AUC of its own presences."""
-    c = cells(s, d).where("cell_id % 2 = 0")
-    own = c.select("bio_1", "bio_12").toPandas().to_numpy(float)
-    y = np.column_stack([(np.nan_to_num(own[:, 0]) > 15), (np.nan_to_num(own[:, 1]) > 1500)]).astype(float)
-    net = SC.train_network(own, y, ["bio_1", "bio_12"], ["warm", "wet"], hidden=8, epochs=60)
+    """A saved network scored in batches."""
+    net = SC.Network.from_json(_toy_network().to_json())
     p = SC.score(cells(s, d), net, ["bio_1", "bio_12"])
-    return p.select("cell_id", F.size("p").alias("n"), (F.get("p", 0).between(0, 1) & F.get("p", 1).between(0, 1)).alias("ok"))
+    return p.select("cell_id", *[F.round(F.get("p", i), 8).alias(n) for i, n in enumerate(net.species)])
+
+
+_NETWORK_SQL = _CELLS + """, z as (select cell_id, coalesce((bio_1 - 10) / 5, 0) a, coalesce((bio_12 - 1000) / 500, 0) b from cells),
+h as (select cell_id, 0.5 * a + 0.125 * b + 0.1 a, -0.25 * a + b - 0.2 b from z),
+r as (select cell_id, a + greatest(a - 0.5 * b + 0.05, 0) a, b + greatest(0.5 * a + 0.25 * b + 0.3, 0) b from h)
+select cell_id, round(1 / (1 + exp(-(0.75 * a + 0.5 * b + 0.2 - 0.4))), 8) as warm, round(1 / (1 + exp(-(-a + 0.25 * b - 0.1 + 0.3))), 8) as wet from r"""
 
 
 def _gbt(s, d):
@@ -141,7 +150,7 @@ QUERIES = {
     "incomplete_checkpoints": (_incomplete, "with n as (select o_custkey % 100 species, count(*) n from orders group by 1), m as (select i species, case when i % 3 = 0 then 150 when i >= 100 then 0 else i end claimed from range(10, 110) r(i)), j as (select species, coalesce(n, 0) n_rows, claimed from n full outer join m using (species)) select species, n_rows, claimed, case when claimed is null then 'no meta' when n_rows = 0 then 'empty' else 'rows differ' end as reason from j where claimed is null or n_rows = 0 or n_rows <> claimed"),
     "rank_countries": (_countries, "with c as (select o_custkey % 7 country, o_orderkey % 60 species, count(*) n from orders group by 1, 2), k as (select *, row_number() over (partition by country order by n desc, species) k from c) select country, count(*) filter (n >= 30) as n_usable, median(n) as median_n, cast(sum(least(n, 40)) as bigint) as capped, round(cast(sum(n) filter (k <= 5) as double) / sum(n), 8) as top5_share from k group by 1"),
     "booster_scores": (_scores, _SCORE_SQL),
-    "network_scores": (_network, _CELLS + " select cell_id, 2 as n, true as ok from cells"),
+    "network_scores": (_network, _NETWORK_SQL),
     "gbt_importance": (_gbt, None),
     "weighted_key": (lambda s, d: cells(s, d).select("cell_id", F.round(S.weighted_key(S.hashed_uniform(F.col("cell_id")), F.col("tree")), 8).alias("key")), _CELLS + " select cell_id, case when tree > 0 then round(-ln((((cell_id * 2654435761) % 1000003) + 1) / 1000004.0) / tree, 8) end as key from cells"),
 }

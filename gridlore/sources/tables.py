@@ -116,8 +116,14 @@ def parse_manifest(df: DataFrame, column: str, schema: str) -> DataFrame:
 #: The occurrence stand-in over the events table; the same text runs in Spark SQL and DuckDB.
 OCC_SQL = """select event_id as rid, concat('species_', cast(user_id % 12 as string)) as species,
   case when event_id % 97 = 0 then null when event_id % 101 = 0 then cast(0 as double) when event_id % 53 = 0 then cast(30 as double)
+       when event_id % 107 = 0 then cast(31 as double) + cast((event_id * 17) % 300 as double) / cast(100 as double)
+       when event_id % 131 = 0 then cast(55 as double) + cast((event_id * 7919) % 500 as double) / cast(100 as double)
+       when event_id % 89 = 0 then cast(46 as double) + cast((event_id * 37) % 300 as double) / cast(100 as double)
        else cast(30 as double) + cast((event_id * 7919) % 500 as double) / cast(100 as double) end as latitude,
   case when event_id % 97 = 0 then null when event_id % 101 = 0 then cast(0 as double) when event_id % 53 = 0 then cast(-97 as double)
+       when event_id % 107 = 0 then cast(-31 as double) - cast((event_id * 17) % 300 as double) / cast(100 as double)
+       when event_id % 131 = 0 then cast(-120 as double) + cast((event_id * 104729) % 500 as double) / cast(100 as double)
+       when event_id % 89 = 0 then cast(-62 as double) + cast((event_id * 41) % 200 as double) / cast(100 as double)
        else cast(-100 as double) + cast((event_id * 104729 + user_id * 613) % 500 as double) / cast(100 as double) end as longitude,
   case when event_id % 11 = 0 then null else cast(1980 + (event_id * 31) % 45 as int) end as year,
   'US' as country, event_type as basis

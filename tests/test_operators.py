@@ -174,6 +174,13 @@ def test_common_names(spark):
 def test_guards(spark):
     with pytest.raises(ValueError):
         guards.assert_trainable(["x/ndvi_mean.tif"])
+    for name in ("country/treecover_2020.tif", "sat/ndvi2020.tif", "land_cover/lc.tif", "Satellite2/a.tif"):
+        with pytest.raises(ValueError):
+            guards.assert_trainable([name])
+    guards.assert_trainable(["climate/bio_1.tif", "soil/ph_h2o.tif"])
+    guards.assert_inside(30.0, -100.0, (-100.0, 30.0, -90.0, 40.0))
+    with pytest.raises(ValueError):
+        guards.assert_inside(29.9, -100.0, (-100.0, 30.0, -90.0, 40.0))
     with guards.allow_vegetation("a test"):
         guards.assert_trainable(["ndvi"])
     with pytest.raises(ValueError):
