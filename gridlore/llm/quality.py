@@ -19,12 +19,13 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,14 +122,15 @@ class Model:
         share = [np.full(len(r), c / len(r)) for r, c in zip(rows, times.values())] + [np.ones(len(g)) for g in grams]
         rows, share = np.concatenate([*rows, *grams]), np.concatenate(share)
         rows, at = np.unique(rows, return_inverse=True)
-        return rows.astype(np.int32), (np.bincount(at, share) / (len(own) + sum(map(len, grams)))).astype(np.float32)
+        return rows.astype(np.min_scalar_type(self.s.rows - 1)), (np.bincount(at, share) / (len(own) + sum(map(len, grams)))).astype(np.float32)
 
-    def fit(self, texts: list[str], labels: list[int]) -> Model:
+    def fit(self, texts: Sequence[str | None] | pa.ChunkedArray, labels: Sequence[int]) -> Model:
         """SGD, a whole document a step, the rate falling to zero. A step is divided by the length of the document's shares, so that long texts teach as much as short ones."""
         s, rng = self.s, np.random.default_rng(self.s.seed)
-        rows_of: dict[str, np.ndarray] = {}
-        docs = [self.bag(t, rows_of) for t in texts]
-        del rows_of
+        docs = []
+        for at in range(0, len(texts), 1000):  # a word's rows are kept for some texts at a time
+            rows_of: dict[str, np.ndarray] = {}
+            docs += [self.bag(t.as_py() if isinstance(t, pa.Scalar) else t, rows_of) for t in texts[at : at + 1000]]
         if not docs:
             return self
         y = np.asarray(labels)
@@ -221,8 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(s.seed))
     chosen = own.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"), order.alias("_h")).groupBy("_id").agg(F.min("_y").alias("_y"), F.first("_h").alias("_h")).orderBy("_h", "_id").limit(s.sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")  # sample_rows short rows
-    rows = rows.orderBy("_h", "_id", "_t").limit(s.sample_rows).select("_t", "_y").collect()
-    return Model(s).fit([r["_t"] for r in rows], [r["_y"] for r in rows]).scorer()
+    rows = rows.orderBy("_h", "_id", "_t").limit(s.sample_rows).select("_t", "_y").toArrow()
+    return Model(s).fit(rows.column(0), rows.column(1).to_pylist()).scorer()
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:
