@@ -1,13 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of lower-case words. Word windows of ``min_match`` words are hashed with a running Karp-Rabin hash; windows that
-a document shares with a benchmark item are seeds, and seeds on one diagonal join to matches. Of the matches the longest whose words are
-all unmarked is marked as a tile (ties: first in the item, then in the document), overlapping ones are cut down to their unmarked parts, and so
-on until none of ``min_match`` words is left. Tiles may stand in any order, so reordered passages are found too. An item is leaked by a document if its tiles
-cover at least ``threshold`` of the item's words.
+Texts are sequences of lower-case words. Windows of ``min_match`` words have a running Karp-Rabin hash, a seed. Seeds of documents and of the benchmark are
+joined, and each document and item that share one are tiled: of the common runs of words the longest is marked as a tile (ties: first in the item, then in the
+document), then the longest of what is unmarked, until none of ``min_match`` words is left. The length of the longest is found by hashing windows
+of a trial length at all unmarked places of both, so words that come back a thousand times cost no more than others. Tiles may stand in any order, so reordered passages are
+found too. An item is leaked by a document if its tiles cover at least ``threshold`` of its words, or if a tile has ``long_match`` words.
 
-The benchmark is indexed in blocks of a fixed number of words; each block goes to all tasks and is matched against all documents. A larger
-benchmark only has more blocks.
+An item needs a number of seeds to be leaked, so that many of its most common ones, less one, aren't joined (what all items begin with joins nothing). Documents
+are filtered on the way in by a bit set of the benchmark's seeds, ``BITS`` bits whatever its size: only documents with a seed, and the seeds that count, are shuffled.
 
 Defined results: null or empty texts and items without a word match nothing; items shorter than ``min_match`` match as a whole; equal items
 are each reported; repeated documents are each reported; an empty benchmark or an empty table gives no rows.
@@ -15,160 +15,228 @@ are each reported; repeated documents are each reported; an empty benchmark or a
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import join_spread, stage
+
 _WORD = re.compile(r"\w+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-MIN_MATCH, THRESHOLD = 5, 0.6
-#: Words of the benchmark in a block, items whole: what every task holds.
-BLOCK_WORDS = 2_000_000
+_BASE = 0x9E3779B97F4A7C15
+MIN_MATCH, THRESHOLD, LONG_MATCH = 5, 0.6, 50
+#: Bits of the set of seeds that goes to all tasks, as a power of two: 8 MB.
+BITS = 26
+#: Hashes of words kept per worker.
+CACHE_WORDS = 500_000
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def running_hash(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hash, modulo 2^64, of each window of k ids."""
-    h = np.zeros(max(0, len(ids) - k + 1), np.uint64)
-    for t in range(k if len(h) else 0):
-        h = h * _BASE + ids[t : t + len(h)]
-    return h
-
-
-def tile(matches: list[tuple[int, int, int]], n_item: int, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of maximal matches (document position, item position, length)."""
-    heap = [(-n, q, p) for p, q, n in matches]
-    heapq.heapify(heap)
-    in_item, in_doc, out, left = bytearray(n_item), set(), [], n_item
-    while heap and left >= min_match:
-        n, q, p = heapq.heappop(heap)
-        free = [not in_item[q + i] and p + i not in in_doc for i in range(-n)]
-        if all(free):
-            out.append((p, q, -n))
-            in_item[q : q - n] = b"\1" * -n
-            in_doc.update(range(p, p - n))
-            left += n
-            continue
-        i = 0
-        while i < -n:
-            if free[i]:
-                e = i
-                while e < -n and free[e]:
-                    e += 1
-                if e - i >= min_match:
-                    heapq.heappush(heap, (i - e, q + i, p + i))
-                i = e
-            i += 1
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_KNOWN = _Hashes()
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(2 * n, b, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.multiply.accumulate(p)
+    return _POWERS
+
+
+class Running:
+    """Karp-Rabin hashes, modulo 2^64, of windows of any length: a window's hash follows from two sums, whatever its length."""
+
+    def __init__(self, own: list[str]):
+        self.ids = np.fromiter(map(_KNOWN.__getitem__, own), np.uint64, len(own))
+        self.up, down = _powers(len(own) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.ids * down[: len(own)], dtype=np.uint64)])
+
+    def windows(self, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the windows of n words at places, or at all."""
+        if at is None:
+            at = np.arange(max(0, len(self.ids) - n + 1))
+        return (self.sums[at + n] - self.sums[at]) * self.up[at]  # as if every window stood at the text's beginning
+
+
+def seeds(own: Running, k: int) -> np.ndarray:
+    """The hashes of all windows of k words, mixed with k."""
+    h = own.windows(k) + np.uint64(k)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+def _room(free: np.ndarray) -> np.ndarray:
+    """Unmarked words from each place on."""
+    stop = np.where(free, len(free), np.arange(len(free)))
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(len(free))
+
+
+def tile(doc: list[str], item: list[str], min_match: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document position, item position, length), in the order in which they are marked."""
+    both = Running(item + doc)
+    n = len(item)
+    ids, out = both.ids, []
+    free_i, free_d, top = np.ones(n, bool), np.ones(len(doc), bool), min(n, len(doc))
+    while top >= min_match:
+        room_i, room_d = _room(free_i), _room(free_d)
+
+        def at(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            q, p = np.flatnonzero(room_i >= length), np.flatnonzero(room_d >= length)
+            return q, p, both.windows(length, q), both.windows(length, p + n)
+
+        low, high = min_match - 1, min(top, int(room_i.max(initial=0)), int(room_d.max(initial=0)))
+        while low < high:  # the longest common run
+            mid = (low + high + 1) // 2
+            q, p, hq, hp = at(mid)
+            if np.isin(hq, hp, assume_unique=False).any():
+                low = mid
+            else:
+                high = mid - 1
+        if low < min_match:
+            break
+        q, p, hq, hp = at(low)
+        hit = np.isin(hp, hq)
+        p, hp = p[hit], hp[hit]
+        order = np.argsort(hp, kind="stable")
+        p, hp = p[order], hp[order]
+        ends = dict(zip(*(x.tolist() for x in (hp[np.r_[hp[1:] != hp[:-1], True]], np.flatnonzero(np.r_[hp[1:] != hp[:-1], True])))))
+        next_ = dict(zip(*(x.tolist() for x in (hp[np.r_[True, hp[1:] != hp[:-1]]], np.flatnonzero(np.r_[True, hp[1:] != hp[:-1]])))))
+        for place, h in zip(q.tolist(), hq.tolist()):
+            if h not in next_ or not (free_i[place] and free_i[place + low - 1]):
+                continue
+            k = next_[h]
+            while k <= ends[h] and not (free_d[p[k]] and free_d[p[k] + low - 1]):  # marks of this round are as long as the run
+                k += 1
+            next_[h] = k
+            if k <= ends[h] and np.array_equal(ids[place : place + low], ids[n + p[k] : n + p[k] + low]):
+                out.append((int(p[k]), place, low))
+                free_i[place : place + low] = False
+                free_d[p[k] : p[k] + low] = False
+        top = low - 1
     return out
 
 
-class Index:
-    """The windows of some benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH, threshold: float = THRESHOLD):
-        self.min_match, self.threshold = min_match, threshold
-        self.vocab: dict[str, int] = {}
-        self.items = []  # id, word ids
-        at = defaultdict(list)
-        for i, text in items:
-            if own := words(text):
-                ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in own], np.uint64)
-                k = min(min_match, len(ids))
-                for q, h in enumerate(running_hash(ids, k).tolist()):
-                    at[k, h].append((len(self.items), q))
-                self.items.append((i, ids))
-        self.at = dict(at)
-        self.keys = {k: np.array(sorted(h for n, h in self.at if n == k), np.uint64) for k in {n for n, _ in self.at}}
-
-    def matches(self, text: str | None) -> dict[int, list[tuple[int, int, int]]]:
-        """Item's place -> maximal matches with the text."""
-        ids = np.array(list(map(self.vocab.get, words(text), _zeros())), np.uint64)
-        known = np.concatenate([[0], np.cumsum(ids == 0)])
-        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, keys in self.keys.items():
-            if len(ids) < k:
-                continue
-            at = np.flatnonzero(known[k:] == known[:-k])
-            if not len(at):
-                continue
-            h = running_hash(ids, k)[at]
-            hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            open_: dict[tuple[int, int], list[int]] = {}  # (item, diagonal) -> first, last position
-            for p, x in zip(at[hit].tolist(), h[hit].tolist()):
-                for i, q in self.at[k, x]:
-                    if not np.array_equal(ids[p : p + k], self.items[i][1][q : q + k]):
-                        continue
-                    run = open_.get((i, p - q))
-                    if run and run[1] == p - 1:
-                        run[1] = p
-                        continue
-                    if run:
-                        out[i].append((run[0], run[0] - (p - q), run[1] - run[0] + k))
-                    open_[i, p - q] = [p, p]
-            for (i, d), (a, b) in open_.items():
-                out[i].append((a, a - d, b - a + k))
-        return out
-
-    def leaks(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
-        """(item id, share of its words under tiles, tiles) of the items that the text leaks."""
-        out = []
-        for i, found in self.matches(text).items():
-            item, ids = self.items[i]
-            n = len(ids)
-            tiles = tile(found, n, min(self.min_match, n))
-            if (share := sum(t[2] for t in tiles) / n) >= self.threshold:
-                out.append((item, share, sorted(tiles)))
-        return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0))
-
-
-def _zeros():
-    while True:
-        yield 0
-
-
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> list:
-    """The benchmark's blocks as broadcast indexes; one block is on the driver at a time."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n = 1 + size // (4 * block_words)  # a word and its blank have four characters or more on average; shorter words only make a block longer in words, not in characters
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Index([(r["i"], r["t"]) for r in items.where(part == b).collect()], min_match, threshold)) for b in range(n)]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, item_id, coverage, tiles) of every document and item that it leaks."""
-    blocks = indexes(benchmark, **how)
-    tiles_type = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
+def leak(doc: list[str], item: list[str], min_match: int = MIN_MATCH, threshold: float = THRESHOLD, long_match: int = LONG_MATCH) -> tuple[float, list[tuple[int, int, int]]] | None:
+    """(share of the item's words under tiles, tiles in the document's order) if the document leaks the item."""
+    if not item:
+        return None
+    tiles = tile(doc, item, min(min_match, len(item)))
+    share = sum(t[2] for t in tiles) / len(item)
+    return (share, sorted(tiles)) if share >= threshold or any(t[2] >= long_match for t in tiles) else None
+
 
-    def run(batches):
+def _indexed(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, threshold: float, long_match: int) -> tuple[DataFrame, DataFrame]:
+    """(items, seeds): item, item_id, text of each item with a word; hash, item of the seeds that are joined."""
+
+    def cut(batches):
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for x in blocks:
-                    rows += [(i, item, share, [dict(zip(("doc_start", "item_start", "length"), t)) for t in tiles]) for item, share, tiles in x.value.leaks(text)]
+                own = words(text)
+                if own:
+                    k = min(min_match, len(own))
+                    h, c = np.unique(seeds(Running(own), k), return_counts=True)
+                    needed = -(-min(max(k, int(np.ceil(threshold * len(own) - 1e-9))), max(k, long_match)) // k)
+                    rows += [(i, int(x), int(n), needed, k) for x, n in zip(h.view(np.int64), c)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), tiles_type))], names=["doc_id", "item_id", "coverage", "tiles"])
-
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return src.mapInArrow(run, "doc_id long, item_id long, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>")
-
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["item", "hash", "c", "needed", "k"])
+
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    items = stage(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    own = stage(items.select("item", "text").mapInArrow(cut, "item long, hash long, c long, needed long, k long"), "item-seeds")
+    common = own.groupBy("hash").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("item").orderBy(F.col("f").desc(), "hash")  # the seeds of one item
+    kept = own.join(common, "hash").withColumn("upto", F.sum("c").over(order)).where("upto >= needed")
+    return items, stage(kept.select("hash", "item", "k"), "seeds")
+
+
+def _bits(found: DataFrame) -> np.ndarray:
+    """The bit set of the seeds; its 64-bit words come from the cluster, 2^(BITS - 6) at most."""
+    bit = f"shiftrightunsigned(hash, {64 - BITS})"
+    word = found.selectExpr(f"shiftright({bit}, 6) as w", f"shiftleft(1L, cast({bit} & 63 as int)) as v")
+    rows = word.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    out = np.zeros(1 << BITS - 6, np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, doc_text: str, id_col: str, text_col: str, min_match: int, threshold: float, long_match: int) -> DataFrame:
+    """(doc_id, doc_text, item_id, coverage, tiles) of every document and item that it leaks."""
+    items, joined = _indexed(benchmark, id_col, text_col, min_match, threshold, long_match)
+    lengths = sorted(r["k"] for r in joined.select("k").distinct().collect())  # min_match numbers at most
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(joined))
+
+    def meet(batches):
+        """Documents with a seed of the benchmark, and those seeds."""
+        for b in batches:
+            own_bits, keep, hashes = bits.value, [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if not text:
+                    continue
+                own, hit = Running(words(text)), []
+                for k in lengths:
+                    h = seeds(own, k)
+                    hit.append(h[own_bits[h >> np.uint64(70 - BITS)] >> (h >> np.uint64(64 - BITS) & np.uint64(63)) & np.uint64(1) > 0])
+                if len(hit := np.unique(np.concatenate(hit)) if hit else ()):
+                    keep.append(i)
+                    hashes.append(hit.view(np.int64))
+            if keep:
+                rows = b.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "doc_text", "hashes"])
+
+    src = docs.select(F.col(doc_id).cast("long"), F.col(doc_text).cast("string"))
+    met = stage(src.mapInArrow(meet, "doc_id long, doc_text string, hashes array<long>").withColumn("doc", F.monotonically_increasing_id()), "met")
+    asked = met.select("doc", F.explode("hashes").alias("hash"))
+    counts = asked.groupBy("hash").agg(F.count("*").alias("n"))
+    of_seed = stage(joined.groupBy("hash").agg(F.collect_list("item").alias("items")).join(counts, "hash"), "asked-seeds")  # items that share a seed they can't do without
+    total = of_seed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = stage(join_spread(asked, of_seed, "hash", total).select("doc", F.explode("items").alias("item")).distinct(), "pairs")
+    texts = stage(pairs.groupBy("item").agg(F.count("*").alias("n")).join(items, "item"), "asked-items")
+    of_doc = stage(pairs.groupBy("doc").agg(F.count("*").alias("n")).join(met.drop("hashes"), "doc"), "asked-docs")
+    n = pairs.count()
+    both = join_spread(join_spread(pairs, of_doc, "doc", n), texts, "item", n)
+
+    def tiled(batches):
+        kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
+        for b in batches:
+            rows = []
+            for i, doc, item_id, item in zip(*(c.to_pylist() for c in b.columns)):
+                if found := leak(words(doc), words(item), min_match, threshold, long_match):
+                    rows.append((i, doc, item_id, found[0], [dict(zip(("doc_start", "item_start", "length"), t)) for t in found[1]]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64(), kind))], names=["doc_id", "doc_text", "item_id", "coverage", "tiles"])
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The documents that leak no item, all columns; no shuffle."""
-    blocks = indexes(benchmark, **how)
+    out = both.select("doc_id", "doc_text", "item_id", "text").mapInArrow(tiled, "doc_id long, doc_text string, item_id long, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>")
+    return out
 
-    @F.pandas_udf("boolean")
-    def leaked(texts: pd.Series) -> pd.Series:
-        return pd.Series([any(x.value.leaks(t) for x in blocks) for t in texts], dtype=bool)
 
-    return docs.where(~leaked(F.col(text_col).cast("string")))
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, long_match: int = LONG_MATCH) -> DataFrame:
+    """(doc_id, item_id, coverage, tiles) of every document and item that it leaks."""
+    return _found(docs, benchmark, doc_id, doc_text, id_col, text_col, min_match, threshold, long_match).drop("doc_text")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, long_match: int = LONG_MATCH) -> DataFrame:
+    """The documents that leak no item, all columns. What a document leaks depends on its text alone, so leaking texts are told by a 128-bit hash."""
+    numbered = docs.select(F.lit(0).alias("_id"), F.col(doc_text).cast("string").alias("_text"))
+    found = _found(numbered, benchmark, "_id", "_text", id_col, text_col, min_match, threshold, long_match)
+    wide = "_h" + "_" * max(map(len, docs.columns))  # no column of docs
+    both = lambda c: {f"{wide}1": F.xxhash64(c), f"{wide}2": F.xxhash64(c, F.lit(1))}
+    bad = stage(found.select(*[h.alias(k) for k, h in both("doc_text").items()]).distinct(), "leaking")
+    text = F.col(doc_text).cast("string")
+    return docs.withColumns(both(text)).join(bad, list(both(text)), "left_anti").drop(*both(text))

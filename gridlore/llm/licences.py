@@ -1,16 +1,16 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, its predictions confirmed against templates.
 
 Training (on the driver, from the templates below and variations of them): softmax regression over presence of word 1- to 3-grams with an L1 penalty,
-against ordinary sentences; then on held-out variations a temperature and the least probability at which a family is named, so that of texts of no known
-family at most ``wrong_share`` are named. Scanning (DataFrame functions only): texts are cut into paragraphs, those that hold a key word of the
+against ordinary sentences; on held-out variations a temperature. The unknown class is calibrated on licences that the model hasn't seen: families are left out by turns, kin together, and
+the least probability at which a family is named is set so that at most ``wrong_share`` of the texts of left-out families and of ordinary text are both named and confirmed. Scanning (DataFrame functions only): texts are cut into paragraphs, those that hold a key word of the
 model are scored, a family is named if it is likeliest and likely enough, and confirmed if the paragraph holds enough of a template's n-grams. What
 is likelier a licence than not but isn't named or not confirmed is ``unknown``.
 
 Every n-gram of the model holds a key word (a word of a template that is no filler), so paragraphs without one score as ordinary text exactly and
-needn't be scored. The model has at most ``Settings.most_features`` n-grams.
+needn't be scored. The penalty alone decides which n-grams stay.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are each reported; null ids keep their findings; an
-empty table gives no rows. Paragraphs end at blank lines and at line ends after a full stop or other closing mark. Only the id and text columns are read.
+empty table gives no rows. Paragraphs end at blank lines and at line ends after a full stop, an exclamation or a question mark, so a notice that is wrapped or lists its conditions stays whole. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,8 @@ TEMPLATES = {
         "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ),
 }
+#: Families whose texts share most of their words; they are left out together when the unknown class is calibrated.
+KIN = (("GPL", "LGPL", "AGPL"), ("CC-BY", "CC-BY-SA", "CC-BY-NC"), ("Apache", "MPL"), ("MIT", "BSD"), ("Public domain", "Proprietary"))
 #: Ordinary sentences that use words of the templates.
 ORDINARY = (
     "The software was slow and the files were lost when the program closed.",
@@ -112,7 +115,7 @@ ORDINARY = (
 #: Words that say nothing by themselves.
 FILLERS = frozenset("a all an and any are as at be been being but by can charge for form forms from has have here hereby http in into is it its may met must no not of on only or other out part person should such that the there this to was were which will with without work you your above after along along following found later later list near obtain obtaining person prior program project received see terms use used via www com org".split())
 
-PARAGRAPH = r"\n[ \t]*\n\s*|(?<=[.!?:;])[ \t]*\n"
+PARAGRAPH = r"\n[ \t]*\n\s*|(?<=[.!?])[ \t]*\n"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -124,7 +127,8 @@ class Settings:
     l1: float = 4e-4
     wrong_share: float = 0.01
     similarity: float = 0.6
-    most_features: int = 4000
+    most_least: float = 0.97  # beyond it known families would go unnamed; the templates have the last word
+    left_out_steps: int = 80
     seed: int = 5
 
 
@@ -148,6 +152,7 @@ class Model:
     similarity: float
 
 
+@cache
 def train(s: Settings = Settings()) -> Model:
     rng = np.random.default_rng(s.seed)
     families = tuple(TEMPLATES)
@@ -177,35 +182,46 @@ def train(s: Settings = Settings()) -> Model:
         y += [ordinary] * (1 + s.variations // 2 + s.variations)
     held = rng.random(len(rows)) < 0.25
     y = np.array(y)
-    counts: dict[str, int] = {}
-    for w, out in zip(rows, held):
-        if not out:
-            for g in set(ngrams(w)):
-                if not keyed.isdisjoint(g.split()):
-                    counts[g] = counts.get(g, 0) + 1
-    grams = sorted(counts, key=lambda g: (-counts[g], g))[: s.most_features]
+    own = [{g for g in ngrams(w) if not keyed.isdisjoint(g.split())} for w in rows]
+    grams = sorted({g for w, out in zip(own, held) if not out for g in w})
     at = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(rows), len(grams)))
-    for i, w in enumerate(rows):
-        x[i, [at[g] for g in set(ngrams(w)) if g in at]] = 1
-    own, target = x[~held], np.eye(ordinary + 1)[y[~held]]
-    weight, bias = np.zeros((len(grams), ordinary + 1)), np.zeros(ordinary + 1)
-    norm = np.maximum(1, own.sum(axis=1).mean())
+    x = np.zeros((len(rows), len(grams)), np.float32)
+    for i, w in enumerate(own):
+        x[i, [at[g] for g in w if g in at]] = 1
     soft = lambda z: (e := np.exp(z - z.max(axis=1, keepdims=True))) / e.sum(axis=1, keepdims=True)
-    for step in range(s.steps):
-        rate = s.rate / (1 + 3 * step / s.steps)
-        back = (soft(own @ weight + bias) - target) / len(own)
-        weight -= rate * (own.T @ back) * (len(own) / norm) ** 0.5
-        weight = np.sign(weight) * np.maximum(0, np.abs(weight) - rate * s.l1)
-        bias -= rate * back.sum(axis=0)
-    weight, bias = weight - weight[:, -1:], bias - bias[-1]
+
+    def descend(own: np.ndarray, target: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        weight, bias = np.zeros((own.shape[1], target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
+        scale = (len(own) / np.maximum(1, own.sum(axis=1).mean())) ** 0.5
+        for step in range(steps):
+            rate = s.rate / (1 + 3 * step / steps)
+            back = (soft(own @ weight + bias) - target) / len(own)
+            weight -= rate * (own.T @ back) * scale
+            weight = np.sign(weight) * np.maximum(0, np.abs(weight) - rate * s.l1)
+            bias -= rate * back.sum(axis=0)
+        return weight - weight[:, -1:], bias - bias[-1]
+
+    known = np.eye(ordinary + 1, dtype=np.float32)[y]
+    weight, bias = descend(x[~held], known[~held], s.steps)
     z, truth = x[held] @ weight + bias, y[held]
     temperature = min(np.geomspace(0.25, 4, 33), key=lambda t: -np.log(soft(z / t)[np.arange(len(truth)), truth] + 1e-12).sum())
-    p = soft(z / temperature)
-    wrong = np.sort(p[(truth == ordinary), :-1].max(axis=1))
-    least = max(0.5, float(wrong[int(np.ceil(len(wrong) * (1 - s.wrong_share))) - 1])) if len(wrong) else 0.5
-    kept = np.flatnonzero(np.abs(weight).max(axis=1) > 0)
     templates = tuple((f, tuple(sorted({g for g in ngrams(words(t)) if not keyed.isdisjoint(g.split())}))) for f in families for t in TEMPLATES[f])
+
+    def confirmed(p: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """The likeliest family's probability, zero where none of its templates confirms it."""
+        top = p[:, :-1].argmax(axis=1)
+        sure = [max(len(own[i].intersection(t)) / len(t) for f, t in templates if f == families[k]) >= s.similarity for i, k in zip(texts, top)]
+        return np.where(sure, p[np.arange(len(top)), top], 0.0)
+
+    plain = np.flatnonzero(held & (y == ordinary))
+    wrong = [confirmed(soft((x[plain] @ weight + bias) / temperature), plain)]
+    for kin in KIN:
+        out = np.isin(y, [families.index(f) for f in kin])
+        w, b = descend(x[~held & ~out], known[~held & ~out], s.left_out_steps)
+        wrong.append(confirmed(soft((x[out] @ w + b) / temperature), np.flatnonzero(out)))
+    wrong = np.sort(np.concatenate(wrong))
+    least = float(np.clip(wrong[int(np.ceil(len(wrong) * (1 - s.wrong_share))) - 1], 0.5, s.most_least))
+    kept = np.flatnonzero(np.abs(weight).max(axis=1) > 0)
     return Model(families, {grams[i]: [round(float(v), 6) for v in weight[i, :-1]] for i in kept}, [round(float(v), 6) for v in bias[:-1]], float(round(temperature, 6)), round(least, 6), keys, templates, s.similarity)
 
 

@@ -82,7 +82,7 @@ def brute_licence(m, text):
     import re
 
     out = []
-    for k, p in enumerate(re.split(r"\n[ \t]*\n\s*|(?<=[.!?:;])[ \t]*\n", text.lower())):
+    for k, p in enumerate(re.split(r"\n[ \t]*\n\s*|(?<=[.!?])[ \t]*\n", text.lower())):
         w = [x for x in re.split(r"[\W_]+", p) if x]
         if not set(w) & set(m.keys):
             continue
@@ -192,10 +192,44 @@ def test_tiling_against_naive():
         item = [r.choice("abcde") for _ in range(r.randint(3, 25))]
         doc = [r.choice("abcdef") for _ in range(r.randint(0, 20))] + item[r.randint(0, 9) :] + [r.choice("abcdef") for _ in range(r.randint(0, 20))] + item[:9]
         k = min(3, len(item))
-        index = decontamination.Index([(1, " ".join(item))], min_match=3, threshold=0.0001)
-        found = index.leaks(" ".join(doc))
-        want = naive_tiling(doc, item, k)
-        assert (found[0][2] if found else []) == want
+        assert sorted(decontamination.tile(doc, item, k)) == naive_tiling(doc, item, k)
+
+
+def test_words_that_come_back_cost_no_more():
+    import time
+
+    began = time.time()
+    assert decontamination.tile(["x"] * 40_000, ["x"] * 400, 5) == [(0, 0, 400)]
+    assert len(decontamination.tile((["x"] * 7 + ["y"]) * 5000, ["x"] * 400, 5)) == 57
+    assert time.time() - began < 5
+
+
+def test_seeds_do_not_depend_on_their_place():
+    r = random.Random(4)
+    text = [r.choice("abcdef") for _ in range(300)]
+    h = decontamination.seeds(decontamination.Running(text), 4)
+    by_words = {}
+    for i, x in enumerate(h.tolist()):
+        by_words.setdefault(tuple(text[i : i + 4]), set()).add(x)
+    assert all(len(v) == 1 for v in by_words.values()) and len({x for v in by_words.values() for x in v}) == len(by_words)
+    assert set(decontamination.seeds(decontamination.Running(text[7:90]), 4).tolist()) <= set(h.tolist())
+
+
+def test_common_seeds_and_parts_of_long_items(spark):
+    """Items that all begin alike, against every pair; an item of which a document has a long part."""
+    r = random.Random(9)
+    head = "answer the following question with one of these words".split()
+    items = [(i, " ".join(head + [f"w{r.randrange(400)}" for _ in range(r.randint(1, 40))])) for i in range(60)] + [(90, " ".join(f"v{i}" for i in range(180)))]
+    docs = [(i, " ".join(head + [f"w{r.randrange(400)}" for _ in range(50)])) for i in range(30)]
+    docs += [(100 + i, f"so {t} end" if i % 2 else " ".join(t.split()[len(t.split()) // 3 :])) for i, t in items]
+    docs += [(500, " ".join(f"v{i}" for i in range(60, 112))), (501, " ".join(f"v{i}" for i in range(60, 105)))]
+    want = {(d, i): round(found[0], 9) for d, t in docs for i, u in items if (found := decontamination.leak(decontamination.words(t), decontamination.words(u)))}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = frame(spark, docs)
+    got = {(x["doc_id"], x["item_id"]): round(x["coverage"], 9) for x in decontamination.leaks(df, bench).collect()}
+    assert got == want and (500, 90) in got and (501, 90) not in got and len(want) > 50
+    kept = decontamination.clean(df, bench)
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted({d for d, _ in docs} - {d for d, _ in want}) and kept.columns == df.columns
 
 
 def test_leaks(spark):
@@ -205,8 +239,6 @@ def test_leaks(spark):
     bench = spark.createDataFrame([(1, item, 1), (2, None, 1), (3, "", 1), (4, "yes no", 1), (5, item, 1)], "item_id long, text string, doc_id int")
     got = Counter((r["doc_id"], r["item_id"], len(r["tiles"])) for r in decontamination.leaks(docs, bench).collect())
     assert got == Counter({(d, i, n): c for d, n, c in ((1, 1, 2), (2, 2, 1), (None, 1, 1), (7, 1, 1)) for i in (1, 5)} | {(6, 4, 1): 1})
-    blocks = decontamination.leaks(docs, bench, block_words=5)
-    assert Counter((r["doc_id"], r["item_id"], len(r["tiles"])) for r in blocks.collect()) == got
     kept = decontamination.clean(docs, bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5] and kept.columns == docs.columns
     assert decontamination.leaks(docs, bench.where("false")).count() == 0 and decontamination.leaks(docs.where("false"), bench).count() == 0
