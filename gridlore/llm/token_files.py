@@ -10,6 +10,9 @@ of a block may have fewer, so a block also says how many ids it has. The index h
 offset and id count, then each document's id and token count. The footer is three longs: blocks, documents, byte offset of the index.
 A block is decoded by gathering all words of one selector at once.
 
+The number of parts follows from the bytes of the texts, and a part that grows beyond ``FILE_TOKENS`` is written as several files, so no file
+grows with the data. An id with more rows than a part holds is dealt over several. Each file is read back in a task of its own.
+
 Defined results: a null text is empty and has the end id alone; rows with equal ids follow each other in any order; rows with a
 null id come first; an empty table gives no files and no rows. Only the id and text columns are read.
 """
@@ -35,6 +38,8 @@ WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
 #: Ids that are coded or decoded at a time.
 IDS_AT_ONCE = 1 << 19
+#: Bytes of text that make a part, most parts (the bound of the list of their ends), and token ids beyond which a part's next document begins a new file.
+PART_BYTES, MOST_PARTS, FILE_TOKENS = 32 << 20, 50_000, 1 << 26
 NULL_ID = -(1 << 63)
 
 
@@ -193,10 +198,32 @@ def read_file(f) -> Iterator[tuple[int | None, np.ndarray]]:
         held, n_held = [ids[n:]], n_held - n
 
 
+class Parts:
+    """The part of each id. Parts ascend with the ids; an id that fills several parts is dealt over all of them."""
+
+    def __init__(self, ends: list[int], nulls: int):
+        """ends: quantiles of the ids at equal steps; nulls: parts of rows without an id."""
+        self.nulls = nulls
+        self.distinct, times = np.unique(np.array(ends, np.int64), return_counts=True)
+        # for each distinct end a part of the ids up to it, or, if it came several times, of the ids before it and then as many parts of its own
+        self.own = np.where(times > 1, times, 0)
+        self.base = self.nulls + np.cumsum(1 + self.own) - (1 + self.own)
+        self.n = self.nulls + 1 + len(self.distinct) + int(self.own.sum())
+
+    def __call__(self, i: int | None, salt: int) -> int:
+        if i is None:
+            return salt % self.nulls if self.nulls else 0
+        k = int(np.searchsorted(self.distinct, i, "left"))
+        if k == len(self.distinct):
+            return self.n - 1
+        own = int(self.own[k])
+        return int(self.base[k]) + (1 + salt % own if own and self.distinct[k] == i else 0)
+
+
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 0, folder: str | None = None) -> DataFrame:
-    """Write files of all documents in ascending id order -> manifest (file, part, docs, tokens, bytes), staged.
+    """Write files of all documents in ascending id order -> manifest (file, part, seq, docs, tokens, bytes), staged.
 
-    Quantiles of the ids cut the order into parts of about as many documents, and a file holds a part. File names carry the
+    Quantiles of the ids cut the order into parts of about as many documents, and a task writes a part. File names carry the
     attempt that wrote them; only files of the manifest count, so a task that runs twice does no harm.
     """
     from tokenizers import Tokenizer
@@ -207,14 +234,16 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     kind = "<u2" if small else "<u4"
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(sorted(set(src.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or [])), np.int64)
+    n, n_null, size = src.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    steps = max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
+    ends = (src.agg(F.percentile_approx("id", [i / steps for i in range(1, steps)], 20 * steps)).first()[0] or []) if steps > 1 else []
+    parts = Parts(ends, -(-n_null * steps // max(1, n)))
 
     def tokenise(batches):
         for b in batches:
             raw = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in encode(b.column(1).to_pylist(), tokenizer)]
-            part = [0 if i is None else 1 + int(np.searchsorted(bounds, i)) for i in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column(0), pa.array(raw, pa.binary())], names=["part", "id", "raw"])
+            part = [parts(i, zlib.crc32(x)) for i, x in zip(b.column(0).to_pylist(), raw)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), pa.array(raw, pa.binary())], names=["part", "id", "raw"])
 
     def save(batches):
         from pyspark import TaskContext
@@ -222,21 +251,35 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
         attempt = TaskContext.get().taskAttemptId()
         rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
         for part, group in groupby(rows, lambda x: x[0]):
-            name, told = f"ids-{part:06d}-{attempt}.s8b", {}
-            size = Folder(folder).write(name, file_chunks(((i, np.frombuffer(r, kind).astype("<u4").tobytes()) for _, i, r in group), told))
-            yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "docs": [told["docs"]], "tokens": [told["tokens"]], "bytes": [size]})
-
-    ids = src.mapInArrow(tokenise, "part long, id long, raw binary")
-    kept = ids.repartition(parts, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first())
-    manifest = stage(kept.mapInArrow(save, "file string, part long, docs long, tokens long, bytes long"), "manifest")
+            held, seq = next(group, None), 0
+            while held is not None:
+
+                def some():
+                    nonlocal held
+                    tokens = 0
+                    while held is not None and tokens < FILE_TOKENS:
+                        i, raw = held[1], np.frombuffer(held[2], kind).astype("<u4")
+                        held = next(group, None)
+                        tokens += len(raw)
+                        yield i, raw.tobytes()
+
+                name, told = f"ids-{part:06d}-{seq:05d}-{attempt}.s8b", {}
+                size = Folder(folder).write(name, file_chunks(some(), told))
+                yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "docs": [told["docs"]], "tokens": [told["tokens"]], "bytes": [size]})
+                seq += 1
+
+    ids = src.mapInArrow(tokenise, "part int, id long, raw binary")
+    kept = ids.repartitionById(parts.n, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first())
+    manifest = stage(kept.mapInArrow(save, "file string, part long, seq long, docs long, tokens long, bytes long"), "manifest")
     manifest.folder = folder
     return manifest
 
 
 def read(manifest: DataFrame, folder: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, from the files; start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document, from the files, a task for each; start counts the ids of all documents before it."""
     folder = folder or manifest.folder
-    starts = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.orderBy("part", "seq")  # a row for each file
+    starts = manifest.select("file", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), (F.row_number().over(order) - 1).alias("task"))
 
     def load(batches):
         for b in batches:
@@ -259,4 +302,4 @@ def read(manifest: DataFrame, folder: str | None = None, with_ids: bool = False)
                         yield batch()
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return starts.select("file", "start", "part").repartition("part").select("file", "start").mapInArrow(load, schema)
+    return starts.repartitionById(max(1, manifest.count()), "task").select("file", "start").mapInArrow(load, schema)
