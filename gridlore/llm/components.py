@@ -55,7 +55,7 @@ def _round(e: DataFrame, n: int) -> DataFrame:
     # large star: every larger neighbour goes to the smallest of the neighbourhood
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
-    large = join_spread(both.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    large = join_spread(both.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     # small star: every smaller neighbour, and the node, go to the smallest of them
     mid = stage(large, "large")
     down = stage(mid.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
