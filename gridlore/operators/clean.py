@@ -60,9 +60,9 @@ def tree_binomial(name: Column, genera: Sequence[str]) -> Column:
 
 
 def duplicates(df: DataFrame, keys: Sequence[str] = ("species", "latitude", "longitude"), order: str = "rid", out: str = "is_duplicate") -> DataFrame:
-    """Every row after the first of its keys in input order."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
-    return df.withColumn(out, ~first)
+    """Every row after the first of its keys in input order. Rows that lack a coordinate are told by another test and are no duplicates, so they don't meet in one window."""
+    alone = F.when(bad_coordinate(), F.col(order))
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, alone).orderBy(order)) > 1)
 
 
 def not_listed(df: DataFrame, species: DataFrame, out: str = "not_listed") -> DataFrame:
