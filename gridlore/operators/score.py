@@ -119,8 +119,8 @@ class Network:
         return np.abs(g @ self.first[0].T)
 
 
-def _losses(z: np.ndarray, y: np.ndarray, kind: str) -> tuple[float, np.ndarray]:
-    """Loss and its gradient by the log intensities (cells x species)."""
+def _losses(z: np.ndarray, y: np.ndarray, kind: str, mask: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Loss and its gradient by the log intensities (cells x species); with a mask (bce only) over the known pairs of cell and species."""
     if kind == "deepmaxent":
         e = np.exp(z - z.max(axis=0))
         p = e / e.sum(axis=0)
@@ -134,11 +134,29 @@ def _losses(z: np.ndarray, y: np.ndarray, kind: str) -> tuple[float, np.ndarray]
         return float(-(y * np.log(p + 1e-300)).sum(axis=1).mean()), (p * y.sum(axis=1, keepdims=True) - y) / len(y)
     y = (y > 0).astype(float)
     p = 1 / (1 + np.exp(-z))
-    return float(-(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean()), (p - y) / y.size
+    known = np.ones_like(y) if mask is None else mask.astype(float)
+    n = max(1.0, known.sum())
+    return float(-(known * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))).sum() / n), known * (p - y) / n
 
 
-def train_network(x: np.ndarray, y: np.ndarray, features: Sequence[str], species: Sequence[str], hidden: int = 32, layers: int = 1, epochs: int = 100, rate: float = 1e-2, decay: float = 2e-5, kind: str = "deepmaxent", seed: int = 0) -> Network:
-    """Adam with decoupled decay on the whole table of one task; the epoch of the least training loss is kept."""
+def mean_auc(y: np.ndarray, z: np.ndarray, mask: np.ndarray | None = None) -> float:
+    """Mean over species with both classes among the known cells; 0.5 if there is none."""
+    out = []
+    for k in range(y.shape[1]):
+        known = np.ones(len(y), bool) if mask is None else mask[:, k].astype(bool)
+        pos = y[known, k] > 0
+        if 0 < pos.sum() < len(pos):
+            ranks = pd.Series(z[known, k]).rank().to_numpy()
+            out.append((ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()))
+    return float(np.mean(out)) if out else 0.5
+
+
+def train_network(x: np.ndarray, y: np.ndarray, features: Sequence[str], species: Sequence[str], hidden: int = 32, layers: int = 1, epochs: int = 100, rate: float = 1e-2, decay: float = 2e-5, kind: str = "deepmaxent", seed: int = 0, mask: np.ndarray | None = None, held: tuple | None = None, patience: int = 10) -> Network:
+    """Adam with decoupled decay on the whole table of one task; the epoch of the least training loss is kept.
+
+    mask: pairs of cell and species that are known (kind bce). held: (x, y, mask or None) to stop by: the epoch of the best mean AUC there is kept, and training
+    ends when it hasn't grown for ``patience`` epochs.
+    """
     rng = np.random.default_rng(seed)
     mean, sd = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
     sd = np.where(sd < 1e-8, 1.0, sd)
@@ -147,16 +165,21 @@ def train_network(x: np.ndarray, y: np.ndarray, features: Sequence[str], species
     flat = [p for pair in parts for p in pair]
     m, v = [np.zeros_like(p) for p in flat], [np.zeros_like(p) for p in flat]
     z0 = np.where(np.isfinite(q := (x - mean) / sd), q, 0.0)
-    best, kept = np.inf, [p.copy() for p in flat]
+    best, kept, since = np.inf, [p.copy() for p in flat], 0
     for step in range(1, epochs + 1):
         hs, acts = [z0 @ flat[0] + flat[1]], []
         for k in range(layers):
             a = hs[-1] @ flat[2 + 2 * k] + flat[3 + 2 * k]
             acts.append(a > 0)
             hs.append(hs[-1] + np.maximum(a, 0))
-        loss, g = _losses(hs[-1] @ flat[-2] + flat[-1], y, kind)
+        loss, g = _losses(hs[-1] @ flat[-2] + flat[-1], y, kind, mask)
+        if held:
+            now = Network(list(features), mean, sd, (flat[0], flat[1]), [(flat[2 + 2 * k], flat[3 + 2 * k]) for k in range(layers)], (flat[-2], flat[-1]), list(species), np.zeros(y.shape[1]))
+            loss = -mean_auc(held[1], now.intensity(held[0]), held[2])
         if loss < best:
-            best, kept = loss, [p.copy() for p in flat]
+            best, kept, since = loss, [p.copy() for p in flat], 0
+        elif held and (since := since + 1) >= patience:
+            break
         grads = [None] * len(flat)
         grads[-2], grads[-1] = hs[-1].T @ g, g.sum(axis=0)
         g = g @ flat[-2].T

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from gridlore.operators import folds, training
-from gridlore.operators.score import Booster, Network
+from gridlore.operators.score import Booster, Network, _losses, mean_auc, train_network
 from gridlore.plans import q_recommend
 from gridlore.sources import models
 
@@ -94,3 +94,17 @@ def test_train_species(spark):
     assert got["one"]["auc"] > 0.85 and got["one"]["n_usable"] == 5 and got["one"]["n_trees"] >= 10 and len(Booster.from_json(got["one"]["model"]).trees) == got["one"]["n_trees"]
     assert got["flat"]["model"] is None and got["flat"]["auc"] is None and got["flat"]["n_rows"] == 600
     assert pd.notna(got["one"]["auc"]) and training.train_species(df.where("false"), ["a", "b", "c"]).count() == 0
+
+
+def test_masked_network_stops_by_the_held_out_auc():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3))
+    y = np.column_stack([x[:, 0] > 0, x[:, 1] > 0.5]).astype(float)
+    mask = rng.random(y.shape) < 0.6
+    wrong = np.where(mask, y, 1 - y)  # what the mask hides is never learnt
+    held = (x[400:], y[400:], None)
+    net = train_network(x[:400], wrong[:400], ["a", "b", "c"], ["s", "t"], hidden=8, epochs=300, kind="bce", mask=mask[:400], held=held, patience=5)
+    assert mean_auc(y[400:], net.intensity(x[400:])) > 0.95
+    loss, g = _losses(np.zeros((4, 1)), np.array([[1.0], [0], [1], [0]]), "bce", np.array([[1], [0], [0], [1]]))
+    assert loss == pytest.approx(np.log(2), abs=1e-6) and g.ravel().tolist() == [-0.25, 0, 0, 0.25]
+    assert mean_auc(np.ones((3, 1)), np.zeros((3, 1))) == 0.5
