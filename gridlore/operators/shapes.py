@@ -33,17 +33,21 @@ def largest_parts(areas: DataFrame, share: float) -> DataFrame:
     return areas.withColumn("_b", before).withColumn("_t", F.sum("area").over(Window.partitionBy("shape"))).where(F.col("_b") < share * F.col("_t")).drop("_b", "_t")
 
 
-def cluster_parts(boxes: list[tuple], most_gap: float = 5.0) -> list[int]:
-    """Of one shape's part boxes (west, south, east, north), the largest first: those reached from the first by gaps of at most most_gap from the box gathered so far."""
-    if not boxes:
-        return []
-    gap = lambda a, b: math.hypot(max(a[0] - b[2], b[0] - a[2], 0), max(a[1] - b[3], b[1] - a[3], 0))
-    chosen, box = {0}, boxes[0]
-    while near := [i for i, b in enumerate(boxes) if i not in chosen and gap(box, b) <= most_gap]:
-        chosen |= {near[0]}
-        b = boxes[near[0]]
-        box = min(box[0], b[0]), min(box[1], b[1]), max(box[2], b[2]), max(box[3], b[3])
-    return sorted(chosen)
+def cluster_parts(parts: DataFrame, most_gap: float = 10.0) -> DataFrame:
+    """Of each shape the parts (shape, part, area, west, south, east, north) that hang together with its largest: in rounds, parts whose box lies at most most_gap from the box around those
+    gathered so far join them, until none does. A round is one aggregate of a row for each shape, which is sent to the parts; there are as many rounds as the longest chain of parts."""
+    sides = ("west", "south", "east", "north")
+    first = parts.groupBy("shape").agg(F.max_by(F.struct(*sides), F.struct("area", -F.col("part"))).alias("_b"))
+    box, before = first.select("shape", *[F.col(f"_b.{c}").alias(f"_{c}") for c in sides]), None
+    apart = lambda low, high: F.greatest(F.col(f"_{low}") - F.col(high), F.col(low) - F.col(f"_{high}"), F.lit(0.0))
+    while True:
+        near = parts.join(F.broadcast(box), "shape").where(F.hypot(apart("west", "east"), apart("south", "north")) <= most_gap)
+        grown = near.groupBy("shape").agg(*[(F.min if c in ("west", "south") else F.max)(c).alias(f"_{c}") for c in sides], F.count("*").alias("_n"))
+        rows = grown.collect()  # a row for each shape
+        if (now := sorted((r["shape"], r["_n"]) for r in rows)) == before:
+            return near.drop(*[f"_{c}" for c in sides])
+        before = now
+        box = parts.sparkSession.createDataFrame(rows, grown.schema).drop("_n")
 
 
 def touched_cells(rings: list[list[tuple[float, float]]], grid: Grid) -> np.ndarray:

@@ -197,6 +197,20 @@ def test_latest_row(spark):
     assert upsert.latest(df, ["k"], "t").first()["v"] == "y"
 
 
+def test_streams(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [(1, "a", "2024-01-01 00:10:00"), (2, "b", "2024-01-01 00:20:00"), (2, "b", "2024-01-01 00:20:00"), (3, "a", "2024-01-01 01:05:00")]
+    spark.createDataFrame(rows, "id int, k string, t string").selectExpr("id", "k", "cast(t as timestamp) t").write.parquet(src)
+    stream = lambda: spark.readStream.schema("id int, k string, t timestamp").parquet(src)
+    for _ in range(2):  # a second start finds nothing new
+        upsert.append_stream(stream(), str(tmp_path / "out"), str(tmp_path / "cp"), ["id"]).start().awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+    q = upsert.windowed_counts(stream(), "t", "k").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["k"], r["window"].start.hour): r["n"] for r in spark.table("counts").collect()}
+    assert got == {("a", 0): 1, ("b", 0): 2, ("a", 1): 1}
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 

@@ -80,8 +80,12 @@ def test_sinks(spark, tmp_path):
     assert sinks.data_uri(sinks.window_png(pic, (0, 1), (0, 1))).startswith("data:image/png;base64,")
 
 
-def test_shapes():
-    assert shapes.cluster_parts([(0, 0, 5, 5), (20, 0, 21, 1), (8, 0, 9, 1), (12, 0, 13, 1)], 3.5) == [0, 2, 3]
+def test_shapes(spark):
+    boxes = [(0, 0, 5, 5), (20, 0, 21, 1), (8, 0, 9, 1), (12, 0, 13, 1)]
+    parts = spark.createDataFrame([(k, i, 9.0 - i, *map(float, b)) for k in (1, 2) for i, b in enumerate(boxes) if k == 1 or i < 2], "shape int, part int, area double, west double, south double, east double, north double")
+    got = shapes.cluster_parts(parts, 3.5)
+    assert sorted((r["shape"], r["part"]) for r in got.collect()) == [(1, 0), (1, 2), (1, 3), (2, 0)] and got.columns == parts.columns
+    assert shapes.cluster_parts(parts.where("false")).count() == 0
     g = Grid("t", 10, 10, 0.0, 1.0, 10.0, -1.0)
     square = [[(1.5, 8.5), (3.5, 8.5), (3.5, 6.5), (1.5, 6.5)]]
     assert {tuple(x) for x in shapes.touched_cells(square, g).tolist()} == {(r, c) for r in (1, 2, 3) for c in (1, 2, 3)}
