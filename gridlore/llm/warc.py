@@ -23,10 +23,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Folder, fresh_path, stage
+from .shared import Folder, fresh_path, join_spread, stage
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r$")
@@ -34,6 +34,8 @@ _END = b"\r\n\r\n"
 _MEMBER = b"\x1f\x8b\x08"
 #: Bytes read or searched at a time.
 STEP = 1 << 20
+#: Bytes beyond which a task begins a new archive.
+FILE_BYTES = 1 << 28
 NO_END = "header has no end"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,37 +64,48 @@ def record(kind: str, name: str, uri: str, date: str, payload: bytes, payload_di
 
 
 def write(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 4, folder: str | None = None) -> DataFrame:
-    """Write all pages -> manifest (file, records, bytes), staged; a task writes one file under a name of its own attempt."""
+    """Write all pages -> manifest (file, records, bytes), staged; a task writes files of about ``FILE_BYTES`` under names of its own attempt.
+
+    Digests of equal payloads are found on ids and digests alone; pages of a very common payload then stay in the tasks that read them.
+    """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     src = src.withColumns({"sha1": F.unhex(F.sha1("payload")), "size": F.octet_length("payload")})
-    same = src.where(F.col("size") >= revisit_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = src.join(same, ["sha1", "size"], "left").select("page_id", "uri", "payload", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    src = src.withColumn("key", F.concat("sha1", F.col("size").cast("string").cast("binary")))
+    one = F.when(F.first("size") >= revisit_bytes, F.max("page_id")).alias("first")
+    same = stage(src.select("key", "size", "page_id").groupBy("key").agg(one, F.count("*").alias("n")), "digests")
+    total = same.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = join_spread(src, same, "key", total).select("page_id", "uri", "payload", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches):
         from pyspark import TaskContext
 
-        tc = TaskContext.get()
-        name, n = f"pages-{tc.partitionId():06d}-{tc.taskAttemptId()}.warc.gz", 0
-
-        def members():
-            nonlocal n
-            for b in batches:
-                for i, uri, body, sha1, refers_to in zip(*(b.column(k).to_pylist() for k in range(5))):
-                    own = f"urn:x-page:{i}" if i is not None else f"urn:uuid:{uuid.uuid4()}"
-                    kind, to = ("response", None) if refers_to is None else ("revisit", f"urn:x-page:{refers_to}")
-                    raw = record(kind, own, uri or own, date, body, base64.b32encode(sha1).decode(), len(body), to)
-                    c = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    n += 1
-                    yield c.compress(raw) + c.flush()
-
-        it = members()
-        if (one := next(it, None)) is None:
-            return
-        size = Folder(folder).write(name, (x for part in ([one], it) for x in part))
-        yield pa.RecordBatch.from_pydict({"file": [name], "records": [n], "bytes": [size]})
+        tc, made = TaskContext.get(), []
+
+        def member(i, uri, body, sha1, refers_to) -> bytes:
+            own = f"urn:x-page:{i}" if i is not None else f"urn:uuid:{uuid.uuid4()}"
+            kind, to = ("response", None) if refers_to is None else ("revisit", f"urn:x-page:{refers_to}")
+            c = zlib.compressobj(level, zlib.DEFLATED, 31)
+            return c.compress(record(kind, own, uri or own, date, body, base64.b32encode(sha1).decode(), len(body), to)) + c.flush()
+
+        members = (member(*x) for b in batches for x in zip(*(b.column(k).to_pylist() for k in range(5))))
+        held = next(members, None)
+        while held is not None:
+            n, size = 0, 0
+
+            def some():
+                nonlocal held, n, size
+                while held is not None and size < FILE_BYTES:
+                    n, size = n + 1, size + len(held)
+                    yield held
+                    held = next(members, None)
+
+            name = f"pages-{tc.partitionId():06d}-{len(made):05d}-{tc.taskAttemptId()}.warc.gz"
+            made.append(name)
+            Folder(folder).write(name, some())
+            yield pa.RecordBatch.from_pydict({"file": [name], "records": [n], "bytes": [size]})
 
     manifest = stage(rows.mapInArrow(run, "file string, records long, bytes long"), "warc-manifest")
     manifest.folder = folder
@@ -231,7 +244,7 @@ _SCHEMA = "file string, start long, end long, gap string, record_type string, re
 
 
 def read(files: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """A row for each record and each gap of the files (file); gap has the reason, records have none."""
+    """A row for each record and each gap of the files (file), a task for each file; gap has the reason, records have none."""
 
     def run(batches):
         for b in batches:
@@ -265,4 +278,5 @@ def read(files: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names[: len(rows[0])])
 
-    return files.select("file").repartition("file").mapInArrow(run, _SCHEMA + ", payload binary" * with_payload)
+    task = (F.row_number().over(Window.orderBy("file")) - 1).alias("task")  # a row for each file
+    return files.select("file", task).repartitionById(max(1, files.count()), "task").select("file").mapInArrow(run, _SCHEMA + ", payload binary" * with_payload)
