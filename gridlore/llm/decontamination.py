@@ -31,7 +31,7 @@ MIN_MATCH, THRESHOLD, LONG_MATCH = 5, 0.6, 50
 #: Bits of the set of seeds that goes to all tasks, as a power of two: 8 MB.
 BITS = 26
 #: Hashes of words kept per worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def words(text: str | None) -> list[str]:

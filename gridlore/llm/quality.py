@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Words and runs of marks, so that marks glued to a word are features of their own.
 _WORD = re.compile(r"\w+|[^\w\s]+")
 #: Words kept per worker.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 #: Characters of a word whose n-grams are told apart at a time, and rows of the table looked up at a time.
 WORD_PIECE, ROWS_AT_ONCE = 4096, 1 << 20
 
