@@ -11,7 +11,7 @@ from . import guards
 
 _OCC = f"with occ as ({OCC_SQL.format(events='events')})"
 _CELLS = _OCC + f", cells as ({CELLS_SQL.format(occ='occ')})"
-_PX = "with px as (select o_orderkey % 40 grid_row, o_custkey % 30 grid_col, cast((o_orderkey * 7 + o_custkey) % 6 as int) code, o_totalprice / 1000 z, o_orderkey % 4 part from orders)"
+_PX = "with px as (select o_orderkey % 40 grid_row, o_custkey % 30 grid_col, cast((o_orderkey * 7 + o_custkey) % 6 as int) code, o_totalprice / 997 z, o_orderkey % 4 part from orders)"
 _GRID = "with g as (select cast(c_custkey // 30 as int) grid_row, cast(c_custkey % 30 as int) grid_col, cast(c_acctbal as double) v from customer)"
 
 
@@ -21,7 +21,7 @@ def _pixels(s, d):
         (F.col("o_orderkey") % 40).alias("grid_row"),
         (F.col("o_custkey") % 30).alias("grid_col"),
         ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 6).cast("int").alias("code"),
-        (F.col("o_totalprice") / 1000).alias("z"),
+        (F.col("o_totalprice") / 997).alias("z"),
         (F.col("o_orderkey") % 4).alias("part"),
     )
 
