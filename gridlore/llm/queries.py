@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, licences, packing, quality, simhash, token_counts, token_files, warc
+from . import chat, decontamination, embeddings, licences, packing, quality, queries_more, simhash, token_counts, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_chat_quotation_links, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_chat_quotation_links, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_best_fit_packing, op7_token_files, op8_quality_classifier, op9_embedding_near_dedup, op10_warc)} | queries_more.QUERIES
 _NORMAL = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 _QUOTE = chat.QUOTE
 
@@ -120,4 +120,4 @@ b as (select *, list_transform(range(0, 8), lambda i: cast('0x' || substr(h, cas
 select page_id, cast(n as bigint) as payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((w[k // 4 + 1] >> cast(15 - 5 * (k % 4) as int)) & 31) + 1, 1)), '') as payload_digest,
  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from b"""
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_quotation_links": CHAT_SQL, "op9_embedding_near_dedup": EMBEDDINGS_SQL, "op10_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_quotation_links": CHAT_SQL, "op9_embedding_near_dedup": EMBEDDINGS_SQL, "op10_warc": WARC_SQL} | queries_more.ORACLE_SQL

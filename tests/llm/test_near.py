@@ -159,7 +159,7 @@ def test_warc_records(spark):
 def test_archives_grow_in_number_and_are_read_by_a_task_each(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
     r = random.Random(3)
-    pages = [(i, "u", "" if i % 3 == 0 else str(r.getrandbits(20_000 if i % 5 else 8))) for i in range(400)]
+    pages = [(i, "u", "" if i % 3 == 0 else format(r.getrandbits(20_000 if i % 5 else 8), "x")) for i in range(400)]
     m = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"))
     files = m.collect()
     out = warc.read(m, m.folder)
