@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import audit
+from . import audit, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +41,42 @@ select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast
   cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(coalesce(sum(removed) over (partition by part, letter), 0) as bigint) as shapley
 from r"""
 
-QUERIES = {f.__name__: f for f in (op11_filter_interaction_audit,)}
-ORACLE_SQL: dict[str, str] = {"op11_filter_interaction_audit": AUDIT_SQL}
+
+def rebuilt_trie(conversations: DataFrame) -> DataFrame:
+    """The trie of conversations whose first 0 to 3 turns, by CRC-32 of the id, are those of the twentieth conversation before or at them."""
+    turns, ids = trie.ordered(conversations)
+    n_head = F.expr("crc32(cast(cast(conv_id as string) as binary)) % 4")
+    return trie.trie(trie.grafted(turns, ids, F.expr("conv_id - conv_id % 20"), n_head, most=3), ids)
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: Every prefix of every rebuilt conversation as a list of turns; the CRC-32 is worked out bit by bit.
+TRIE_SQL = """with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, '')) as pos from conversations where conv_id is not null),
+c as (
+  select conv_id, conv_id - conv_id % 20 as head, cast(list_reduce([cast(4294967295 as bigint)] || list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+    lambda a, x: list_reduce([xor(a, x)] || list_transform(range(8), lambda i: i), lambda b, i: xor(b // 2, (b % 2) * 3988292384))) as bigint) as crc
+  from (select distinct conv_id from t)),
+h as (select conv_id, head, xor(crc, 4294967295) % 4 as h from c),
+b as (
+  select h.conv_id, t.pos, t.role, t.text from h join t on t.conv_id = h.head and t.pos <= h.h
+  union all select h.conv_id, t.pos, t.role, t.text from h join t on t.conv_id = h.conv_id and t.pos > h.h),
+g as (
+  select conv_id, 0 as depth, [] :: struct(r varchar, x varchar)[] as path, '' as text from h
+  union all select conv_id, row_number() over w as depth, list(struct_pack(r := role, x := text)) over w as path, text from b window w as (partition by conv_id order by pos)),
+n as (select depth, path, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * len(list_filter(string_split_regex(min(text), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as own from g group by 1, 2),
+m as (select g.conv_id as member, n.* from g join n using (depth, path)),
+e as (select conv_id, max(depth) as last from g group by 1),
+p as (select c.depth, c.conv_id, p.conv_id as parent from n c join m p on p.member = c.conv_id and p.depth = c.depth - 1),
+k as (select depth - 1 as depth, parent as conv_id, count(*) as n_children from p group by 1, 2),
+f as (select n.*, coalesce(k.n_children, 0) as n_children, p.parent from n left join k using (depth, conv_id) left join p using (depth, conv_id)),
+s as (select m.depth, m.conv_id, sum(f.own) as saved, count(*) filter (f.n_children = 0) as n_leaves from f join m on m.member = f.conv_id and m.depth <= f.depth group by 1, 2),
+x as (select m.depth, m.conv_id, sha256(string_agg(cast(m.member as varchar), ',' order by m.member)) as sha from m join e on e.conv_id = m.member and e.last = m.depth group by 1, 2)
+select f.conv_id, cast(f.depth as bigint) as depth, f.parent as parent_conv_id, cast(f.n_convs as bigint) as n_convs, cast(f.n_children as bigint) as n_children, cast(s.n_leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens,
+  coalesce(x.sha, sha256('')) as ends_sha256
+from f join s using (depth, conv_id) left join x using (depth, conv_id)"""
+
+QUERIES = {f.__name__: f for f in (op11_filter_interaction_audit, op13_conversation_prefix_trie)}
+ORACLE_SQL: dict[str, str] = {"op11_filter_interaction_audit": AUDIT_SQL, "op13_conversation_prefix_trie": TRIE_SQL}
