@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, trie
+from . import audit, pii, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast
 from r"""
 
 
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs)).drop("text")
+
+
 def rebuilt_trie(conversations: DataFrame) -> DataFrame:
     """The trie of conversations whose first 0 to 3 turns, by CRC-32 of the id, are those of the twentieth conversation before or at them."""
     turns, ids = trie.ordered(conversations)
@@ -78,5 +83,5 @@ select f.conv_id, cast(f.depth as bigint) as depth, f.parent as parent_conv_id,
   coalesce(x.sha, sha256('')) as ends_sha256
 from f join s using (depth, conv_id) left join x using (depth, conv_id)"""
 
-QUERIES = {f.__name__: f for f in (op11_filter_interaction_audit, op13_conversation_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op11_filter_interaction_audit, op12_pii_spans, op13_conversation_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {"op11_filter_interaction_audit": AUDIT_SQL, "op13_conversation_prefix_trie": TRIE_SQL}

@@ -82,12 +82,12 @@ def test_equals_plain_sets_of_prefixes(spark, monkeypatch, most):
 
 
 def test_copies_a_hot_turn_and_long_conversations(spark, monkeypatch):
-    monkeypatch.setattr(trie, "CLASS_ROWS", 2010)  # the long ones are one class below that
+    monkeypatch.setattr(trie, "CLASS_ROWS", 250)  # the long ones are one class below that
     monkeypatch.setattr(trie, "IDS_AT_ONCE", 7)
     monkeypatch.setattr(shared, "SPREAD_KEYS", 2)
     rows = [(c, t, "user", f"w{t} " * t, 0, "") for c in range(100, 400) for t in range(3)]  # one group of copies
     rows += [(c, t, "user", "w0" if t == 0 else f"{c} {t}", 0, "") for c in range(400, 440) for t in range(4)]
-    rows += [(c, t, "user", f"long {t}", 0, "") for c in (1, 2, 900, 901) for t in range(500 + c // 900)] + [(901, 600, "user", "other", 0, "")]
+    rows += [(c, t, "user", f"long {t}", 0, "") for c in (1, 2, 900, 901) for t in range(60 + c // 900)] + [(901, 600, "user", "other", 0, "")]
     got, want = rows_of(trie.of_conversations(spark.createDataFrame(rows, ROWS).repartition(5))), plain(in_order(rows))
     assert got == want
 
@@ -97,10 +97,10 @@ def test_a_conversation_over_several_ranges(spark):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rows = [(7, t, "user", "w " * (t % 5), 0, "") for t in range(3000)] + [(c, t, "bot", "x y", 0, "") for c in (3, 9) for t in range(20)]
+        rows = [(7, t, "user", "w " * (t % 5), 0, "") for t in range(150)] + [(c, t, "bot", "x y", 0, "") for c in (3, 9) for t in range(20)]
         turns, ids = trie.ordered(spark.createDataFrame(rows, ROWS))
         seven = [r for r in turns.where("conv_id = 7").orderBy("pos").collect()]
-        assert ids.count() == 3 and [r.pos for r in seven] == list(range(3000)) and [r.before for r in seven] == [sum(i % 5 for i in range(t % 5)) + t // 5 * 10 for t in range(3000)]
+        assert ids.count() == 3 and [r.pos for r in seven] == list(range(150)) and [r.before for r in seven] == [sum(i % 5 for i in range(t % 5)) + t // 5 * 10 for t in range(150)]
         assert rows_of(trie.of_conversations(spark.createDataFrame(rows, ROWS))) == plain(in_order(rows))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
