@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import decimals, haversine_km
+from ..sources.work import staged
+from .prefix import group_medians
 
 SCHEMA = ("species", "latitude", "longitude", "year", "country", "basis")
 
@@ -89,15 +91,17 @@ def magnets(df: DataFrame, least_records: int = 25, least_species: int = 8, sure
 def range_outliers(df: DataFrame, least: int = 20, sigmas: float = 8.0, floor_km: float = 3000.0, out: str = "outlier") -> DataFrame:
     """Distance from the species' median point beyond the larger of floor_km and median + sigmas * 1.4826 MAD.
 
-    Medians are per-species aggregates joined back, so a widespread species is never sorted in one window. Nulls are left out of the medians.
+    Medians are exact and found in rounds, without a buffer of a species' values; the three small tables of them (a row for each species) are written, and the rows are joined once. Nulls are left out of
+    the medians.
     """
-    centre = df.groupBy("species").agg(F.median("latitude").alias("_cla"), F.median("longitude").alias("_clo"), F.count("*").alias("_n"))
-    far = df.join(centre, "species", "left").withColumn("_km", haversine_km(F.col("_cla"), F.col("_clo"), F.col("latitude"), F.col("longitude")))
-    med = far.groupBy("species").agg(F.median("_km").alias("_med"))
-    dev = far.join(med, "species", "left")
-    mad = dev.groupBy("species").agg(F.median(F.abs(F.col("_km") - F.col("_med"))).alias("_mad"))
+    km = haversine_km(F.col("_cla"), F.col("_clo"), F.col("latitude"), F.col("longitude"))
+    centre = staged(group_medians(df.select("species", F.col("latitude").alias("_cla"), F.col("longitude").alias("_clo")), "species", ["_cla", "_clo"]).withColumnRenamed("n", "_n"), "centres")
+    far = df.select("species", "latitude", "longitude").join(centre, "species").withColumn("_km", km)
+    med = staged(group_medians(far, "species", ["_km"]).drop("n").withColumnRenamed("_km", "_med").join(centre, "species"), "medians")
+    dev = df.select("species", "latitude", "longitude").join(med, "species").select("species", F.abs(km - F.col("_med")).alias("_mad"))
+    mad = staged(group_medians(dev, "species", ["_mad"]).drop("n").join(med, "species"), "deviations")
     limit = F.greatest(F.col("_med") + F.lit(sigmas * 1.4826) * F.col("_mad"), F.lit(floor_km))
-    return dev.join(mad, "species", "left").withColumn(out, F.coalesce((F.col("_n") >= least) & (F.col("_km") > limit), F.lit(False))).drop("_cla", "_clo", "_n", "_km", "_med", "_mad")
+    return df.join(mad, "species", "left").withColumn(out, F.coalesce((F.col("_n") >= least) & (km > limit), F.lit(False))).drop("_cla", "_clo", "_n", "_med", "_mad")
 
 
 def attribute(df: DataFrame, tests: Sequence[tuple[str, Column]], out: str = "drop_reason") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .background import running_sum
+
 # Bits of the exclusion mask, lowest first, and its nodata value.
 MASK_BITS = (("ocean", 1), ("inland_water", 2), ("snow_ice", 4), ("built_up", 8), ("closed_forest", 16), ("cropland", 32))
 MASK_NODATA, HARD_BITS, UNKNOWN_MASK = 255, 15, 15
@@ -160,11 +162,10 @@ def half_widths(km: float, cell_deg: float, mid_lat: float, passes: int = 3) ->
 
 def concentration(effort: DataFrame, column: str = "effort") -> DataFrame:
     """One row: share of the total in the top hundredth of the cells, and share of cells with nothing."""
-    # over distinct values with their counts: the window sees one row for each value
     v = effort.groupBy(column).agg(F.count("*").alias("c"))
-    n = F.sum("c").over(Window.partitionBy())
-    upto = F.sum("c").over(Window.orderBy(F.col(column).desc()))
-    k = F.greatest(F.floor(n / 100), F.lit(1))
+    n = v.agg(F.sum("c")).first()[0] or 0
+    v = running_sum(v, "c", column)  # no window over all values
+    upto, k = n - F.col("_upto") + F.col("c"), F.lit(max(n // 100, 1))
     used = F.greatest(F.least(F.col("c"), k - (upto - F.col("c"))), F.lit(0))
     v = v.withColumn("_top", used * F.col(column))
     return v.agg(F.try_divide(F.sum("_top"), F.sum(F.col("c") * F.col(column))).alias("top_share"), F.try_divide(F.sum(F.when(F.col(column) == 0, F.col("c")).otherwise(0)), F.sum("c")).alias("zero_share"))

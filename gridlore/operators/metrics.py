@@ -1,6 +1,6 @@
 """Model metrics by group: rank statistics, thresholds, calibration curves, scalers and comparisons of runs.
 
-Rank statistics work on counts of distinct scores by group, so the windows see one row for each distinct score.
+Rank statistics work on counts of distinct scores by group, run over in two levels, so no window holds a group's scores.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from .prefix import running_by_key
 
 
 def _steps(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
@@ -21,23 +22,24 @@ def _steps(df: DataFrame, keys: Sequence[str], score: str, y: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "avg_rank") -> DataFrame:
     """Ranks with ties averaged, joined back by value."""
-    c = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value))
-    r = c.withColumn(out, upto - F.col("_c") + (F.col("_c") + 1) / 2).drop("_c")
+    c = running_by_key(df.groupBy(*keys, value).agg(F.count("*").alias("_c")), keys, value, ["_c"])
+    r = c.select(*keys, value, (F.col("upto__c") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out))
     return df.join(r, [*keys, value], "left")
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
     """Probability that a presence outscores another row, ties half; null for one-class groups."""
-    s = _steps(df, keys, score, y)
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    s = running_by_key(_steps(df, keys, score, y), keys, "score", ["n"])
+    s = s.withColumn("won", F.col("p") * (F.col("upto_n") - F.col("n") + F.col("n") / 2))
     return s.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum("won").alias("_w")).select(*keys, "n_pos", "n_neg", F.try_divide("_w", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"))
 
 
 def auc_ordinal(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y", mask: str = "mask", order: str = "rid") -> DataFrame:
-    """The quick form for early stopping: ordinal ranks over all rows, only masked-in rows counted."""
-    r = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(score, order)))
+    """The quick form for early stopping: ordinal ranks over all rows, only masked-in rows counted. A window holds the rows of one score."""
+    tied = running_by_key(df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count("*").alias("_c")), keys, "_s", ["_c"])
+    nulls = df.where(F.col(score).isNull()).groupBy(*keys).agg(F.count("*").alias("_n"))  # ranked first
+    below = tied.join(nulls, [*keys], "left").select(*keys, F.col("_s").alias(score), (F.col("upto__c") - F.col("_c") + F.coalesce("_n", F.lit(0))).alias("_below"))
+    r = df.join(below, [*keys, score], "left").withColumn("_r", F.coalesce("_below", F.lit(0)) + F.row_number().over(Window.partitionBy(*keys, score).orderBy(order)))
     pos = (F.col(mask) > 0) & (F.col(y) > 0)
     a = r.groupBy(*keys).agg(F.sum(pos.cast("double")).alias("n_pos"), F.sum(((F.col(mask) > 0) & (F.col(y) <= 0)).cast("double")).alias("n_neg"), F.sum(F.when(pos, F.col("_r"))).alias("_s"))
     return a.select(*keys, "n_pos", F.try_divide(F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auc"))
@@ -54,9 +56,9 @@ def confusion(df: DataFrame, keys: Sequence[str], threshold: Column, score: str
 
 def max_tss(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
     """The best TSS and its threshold: cut points between distinct scores from the top, the first (highest) of equal ones."""
-    s = _steps(df, keys, score, y)
-    down, all_ = Window.partitionBy(*keys).orderBy(F.col("score").desc()), Window.partitionBy(*keys)
-    s = s.withColumn("tss", F.try_divide(F.sum("p").over(down), F.sum("p").over(all_)) - F.try_divide(F.sum("n").over(down), F.sum("n").over(all_)))
+    s = running_by_key(_steps(df, keys, score, y), keys, "score", ["p", "n"])
+    over = lambda c: F.try_divide(F.col(f"all_{c}") - F.col(f"upto_{c}") + F.col(c), F.col(f"all_{c}"))  # noqa: E731  share at the score or above
+    s = s.withColumn("tss", over("p") - over("n"))
     best = F.max(F.when(F.col("tss").isNotNull(), F.struct("tss", "score"))).alias("b")
     return s.groupBy(*keys).agg(best).select(*keys, F.col("b.tss").alias("tss_max"), F.col("b.score").alias("threshold"))
 
@@ -99,9 +101,8 @@ def reference_percentile(scores: DataFrame, reference: DataFrame, key: str = "sp
     Both sides are merged by score and counted cumulatively: no pair of a score and a reference score is formed.
     """
     both = scores.select(key, F.col(score).alias("_s"), F.lit(0).alias("_r")).distinct().unionByName(reference.select(key, F.col(score).alias("_s"), F.lit(1).alias("_r")))
-    per = both.groupBy(key, "_s").agg(F.sum("_r").alias("_c"), F.max(1 - F.col("_r")).alias("_asked"))
-    below = F.coalesce(F.sum("_c").over(Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("percentile", F.try_divide(100.0 * below, F.sum("_c").over(Window.partitionBy(key)))).where("_asked = 1")
+    per = running_by_key(both.groupBy(key, "_s").agg(F.sum("_r").alias("_c"), F.max(1 - F.col("_r")).alias("_asked")), [key], "_s", ["_c"])
+    per = per.withColumn("percentile", F.try_divide(100.0 * (F.col("upto__c") - F.col("_c")), F.col("all__c"))).where("_asked = 1")
     return scores.join(per.select(key, F.col("_s").alias(score), "percentile"), [key, score], "left")
 
 

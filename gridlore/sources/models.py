@@ -37,7 +37,7 @@ def reference_scores(spark: SparkSession, folder: str, version: str, build: Call
     path = f"{folder.rstrip('/')}/reference-{version}"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        build().sortWithinPartitions("species", "score").write.mode("overwrite").parquet(path)
+        build().repartitionByRange("species", "score").sortWithinPartitions("species", "score").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
