@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
-from ..operators import deepnet, polygons, warp
+from ..operators import ablation, deepnet, metrics, polygons, training, warp
 from ..operators.score import score
 from ..sources.tables import cells, view
+from ..sources.work import work_path
 
 _GRID = Grid("scan", 60, 50, 0.0, 0.5, 25.0, -0.5)
 # A star with a hole, in eighths of a degree around a supplier's point: fixed corners, outline and hole.
@@ -94,9 +95,20 @@ def _network(s, d):
     return score(c, net, ["bio_1", "bio_12", "tree"], "suitability", ["cell_id"])
 
 
+def _ablation(s, d):
+    """Two feature sets on three made species over all cells, paired by stratum, fold and species: metrics only, as trees can't be trained in SQL."""
+    c = cells(s, d).withColumns({"fold": (F.floor(F.col("cell_id") / 40) % 5).cast("int"), "tree_pct": F.col("tree") * 100, "crop_pct": F.lit(60.0) - F.col("tree") * 60})
+    y = F.when(F.col("species") == 0, F.col("bio_1") > 15).when(F.col("species") == 1, F.col("bio_12") > 1200).otherwise(F.col("tree") > 0.5)
+    rows = c.withColumn("species", F.explode(F.array(*map(F.lit, range(3))))).withColumn("y", F.coalesce(y, F.lit(False)).cast("int"))
+    arms = {"env": ["bio_1", "bio_12"], "env_satellite": ["bio_1", "bio_12", "tree"]}
+    found = ablation.run(rows, arms, work_path(s, "ablation"), batches=2, rounds=15, s=training.Settings(depth=3))
+    return metrics.paired_deltas(found.where("stratum is not null"), "env", ["auc", "tss"])
+
+
 QUERIES = {
     "covered_cells": (_covered, _COVERED_SQL),
     "clip_to_shape": (_clip, _CLIP_SQL),
     "area_average": (_average, _AVERAGE_SQL),
     "network_over_partitions": (_network, None),
+    "ablation_runs": (_ablation, None),
 }
