@@ -39,6 +39,8 @@ ENTRY_CLASSES, LEAST_WIDTH = 64, 16
 ENTRY_ROWS, BLOCK = 4096, 512
 #: Standard deviations beyond the mean distance at the least similarity that the fingerprints may differ.
 SLACK = 3.5
+#: In sets of a few shingles ties of the majority move the fingerprint more than p says, most of all from four to five: 3 of 8 bits are ties there, of which the fifth turns half.
+SMALL_P = 3 / 16
 #: Shingles stretched at a time, and pairs compared at a time.
 SHINGLES_AT_ONCE, PAIRS_AT_ONCE = 255, 1 << 20
 
@@ -62,7 +64,9 @@ class Shape:
         return max(2, -(-self.width * self.segments // 64))
 
     def radius(self, bits: int) -> int:
-        return math.floor(bits * self.p + SLACK * math.sqrt(bits * self.p * (1 - self.p)))
+        """Most bits in which a pair of the least similarity differs, surely enough; whole sets decide later, so a wide one loses nothing."""
+        p = max(self.p, SMALL_P)
+        return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
     def key(self, i: int, fp: Column) -> Column:
         """Segment i of the lanes and its number, as one long."""
