@@ -118,8 +118,17 @@ _W = _PTS + ", e as (select cell_id, cast(count(*) as double) effort from pts gr
 
 
 def _overlap_tiles(s, d):
-    t = s.range(360).selectExpr("cast(id as int) as tile", "cast((id % 36) * 10 - 180 as double) as west", "cast((id div 36) * 10 - 50 as double) as south")
-    return C.tiles_in(t.selectExpr("*", "west + 10 as east", "south + 10 as north"), (-100.0, 30.0, -90.0, 35.0)).select("tile")
+    """A tile for each customer, of a side by its nation, and the tiles that meet each of two extents."""
+    k, side = F.col("c_custkey"), (F.col("c_nationkey") % 4 + 1) * 2.5
+    west, south = (k % 36 * 10 - 180).cast("double"), (F.floor(k / 36) % 14 * 10 - 50).cast("double")
+    t = view(s, d, "customer").select(k.alias("tile"), west.alias("west"), south.alias("south"), (west + side).alias("east"), (south + side).alias("north"))
+    both = [C.tiles_in(t, box).select(F.lit(i).alias("extent"), "tile") for i, box in enumerate(((-100.0, 30.0, -90.0, 35.0), (-13.0, 12.5, 44.0, 41.0)))]
+    return both[0].unionByName(both[1])
+
+
+_TILES_SQL = """with t as (select c_custkey as tile, c_custkey % 36 * 10 - 180 as w, c_custkey // 36 % 14 * 10 - 50 as s, (c_nationkey % 4 + 1) * 2.5 as side from customer),
+x(extent, w0, s0, w1, s1) as (values (0, -100, 30, -90, 35), (1, -13, 12.5, 44, 41))
+select extent, tile from t join x on w < w1 and w + side > w0 and s < s1 and s + side > s0"""
 
 
 def _dedupe(s, d):
@@ -145,7 +154,7 @@ QUERIES = {
     "ring_fallback": (_ring, _PTS + ", o as (select i - 2 dr, j - 2 dc, greatest(abs(i - 2), abs(j - 2)) ring from range(5) a(i), range(5) b(j)), h as (select p.rid, c.bio_1, o.ring, row_number() over (partition by p.rid order by o.ring, c.grid_row, c.grid_col) k from pts p, o, cells c where c.grid_row = p.grid_row + o.dr and c.grid_col = p.grid_col + o.dc and c.bio_1 is not null) select pts.rid, h.bio_1, cast(h.ring as int) as ring from pts left join h on pts.rid = h.rid and h.k = 1"),
     "nearest_cells": (_nearest, _CELLS + ", k as (select cell_id, grid_row, grid_col, sqrt(pow((-180.0 + (grid_col + 0.5) / 6.0 + 97.0) * 111.32 * cos(radians((90.0 - (grid_row + 0.5) / 6.0 + 32.0) / 2)), 2) + pow((90.0 - (grid_row + 0.5) / 6.0 - 32.0) * 110.574, 2)) km from cells) select cell_id, round(km, 6) as km from k where km <= 60 order by k.km, grid_row, grid_col limit 48"),
     "tile_accumulate": (_accumulate, _ACC),
-    "tiles_in_extent": (_overlap_tiles, "with t as (select cast(i as int) tile, (i % 36) * 10 - 180 w, (i // 36) * 10 - 50 s from range(360) r(i)) select tile from t where w < -90 and w + 10 > -100 and s < 35 and s + 10 > 30"),
+    "tiles_in_extent": (_overlap_tiles, _TILES_SQL),
     "bilinear": (_bilinear, _PTS + ", p as (select rid, (latitude - 90.0) * -6.0 - 0.5 y, (longitude + 180.0) * 6.0 - 0.5 x from pts), q as (select p.*, i.i, j.j from p, (values (0), (1)) i(i), (values (0), (1)) j(j)), h as (select rid, c.bio_12, (case when i = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when j = 1 then x - floor(x) else 1 - (x - floor(x)) end) w from q join cells c on c.grid_row = cast(floor(y) as int) + i and c.grid_col = cast(floor(x) as int) + j where c.bio_12 is not null) select pts.rid, round(g.v, 5) as bio_12 from pts left join (select rid, case when sum(w) <> 0 then sum(bio_12 * w) / sum(w) end v from h group by 1) g using (rid)"),
     "bilinear_filled": (_bilinear_filled, _FILLED),
     "pad_to_grid": (lambda s, d: C.pad_to(C.shift_clip(cells(s, d), (340, 349), (485, 496)), 12, 14).agg(F.count("*").alias("n"), F.count("cell_id").alias("n_cells"), F.sum("grid_row").alias("rows")), _CELLS + " select cast(168 as bigint) as n, count(*) as n_cells, cast(924 as bigint) as rows from cells where grid_row between 340 and 349 and grid_col between 485 and 496"),
