@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +69,21 @@ def stratified_folds(counts: dict[int, tuple[int, int]], folds: int = 5) -> dict
 
 
 def assign_folds(df: DataFrame, block: str = "block", folds: int = 5, most_blocks: int = 10_000) -> DataFrame:
-    """df with fold; the blocks (a few tens as a rule, ``most_blocks`` at most) are counted on the cluster and dealt on the driver."""
-    rows = df.groupBy(block).count().limit(most_blocks + 1).collect()
+    """df with fold; the blocks (a few tens as a rule) are counted on the cluster and dealt on the driver.
+
+    More than ``most_blocks`` are dealt in a task, as the rule takes one after another, and joined back: a block and a number each are all that it holds.
+    """
+    counts = df.groupBy(block).count()
+    rows = counts.limit(most_blocks + 1).collect()
     if len(rows) > most_blocks:
-        raise ValueError("too many blocks to deal")
+        kind = df.schema[block].dataType.simpleString()
+
+        def deal(c: pd.DataFrame) -> pd.DataFrame:
+            own = greedy_folds(dict(zip(c[block], c["count"])), folds)
+            return pd.DataFrame({block: list(own), "fold": list(own.values())})
+
+        of = counts.where(F.col(block).isNotNull()).groupBy().applyInPandas(deal, f"{block} {kind}, fold int")
+        return df.join(of, block, "left")
     of = greedy_folds({r[block]: r["count"] for r in rows if r[block] is not None}, folds)
     if not of:
         return df.withColumn("fold", F.lit(None).cast("int"))

@@ -79,6 +79,17 @@ def _assigned(s, d):
     return FO.fold_sizes(FO.assign_folds(o))
 
 
+_GREEDY_SQL = _OCC.replace("with occ", "with recursive occ", 1) + """,
+b as (select cast(floor(latitude + 90) as bigint) * 360 + cast(floor(longitude + 180) as bigint) as block, count(*) as n from occ where latitude is not null group by 1),
+o as (select *, row_number() over (order by n desc, block) as k, least(5, count(*) over ()) as folds from b),
+w as (
+  select cast(0 as bigint) as k, cast(null as bigint) as block, cast(0 as bigint) as n, cast(null as bigint) as fold, list_transform(range(cast((select max(folds) from o) as bigint)), lambda x: cast(0 as bigint)) as load
+  union all
+  select o.k, o.block, o.n, list_position(load, list_min(load)) - 1, list_transform(load, lambda x, i: x + case when i = list_position(load, list_min(load)) then o.n else 0 end)
+  from w join o on o.k = w.k + 1)
+select cast(fold as int) as fold, cast(sum(n) as bigint) as n, count(*) as n_blocks from w where k > 0 group by 1"""
+
+
 QUERIES = {
     "average_ranks": (lambda s, d: M.average_ranks(_fs(s, d), ["sp"], "score").select("rid", "avg_rank"), _FS + " select rid, cast(rank() over (partition by sp order by score) + (count(*) over (partition by sp, score) - 1) / 2.0 as double) as avg_rank from fs"),
     "auc_by_species": (lambda s, d: _r(M.auc(_fs(s, d), ["sp"]), "auc"), _FS + _AUC.format(k="sp") + " select sp, n_pos, n_neg, round(auc, 8) as auc from a"),
@@ -104,6 +115,6 @@ QUERIES = {
     "metric_terciles": (lambda s, d: _r(M.by_tercile(M.auc(_fs(s, d), ["fold", "sp"]), "auc", "n_pos"), "mean"), _FS + _AUC.format(k="fold, sp") + ", e as (select quantile_cont(n_pos, 0.33) lo, quantile_cont(n_pos, 0.67) hi from a) select case when n_pos <= lo then 1 when n_pos <= hi then 2 else 3 end as tercile, round(avg(auc), 8) as mean, count(*) as n from a, e group by 1"),
     "fold_evaluation": (_fold_eval, None),
     "grid_folds": (lambda s, d: occ(s, d).where("latitude is not null").select("rid", FO.grid_fold(F.col("latitude"), F.col("longitude")).alias("fold")), _OCC + " select rid, ((cast(floor(latitude / 10) as int) * 7 + cast(floor(longitude / 10) as int) * 13) % 5 + 5) % 5 as fold from occ where latitude is not null"),
-    "greedy_folds": (_assigned, None),
+    "greedy_folds": (_assigned, _GREEDY_SQL),
     "kmeans_blocks": (lambda s, d: FO.kmeans_blocks(occ(s, d).where("latitude is not null"), 8).groupBy("block").agg(F.count("*").alias("n")), None),
 }

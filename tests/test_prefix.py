@@ -53,3 +53,11 @@ def test_outliers_equal_plain_medians(spark):
     df = spark.createDataFrame(rows, "rid long, species string, latitude double, longitude double")
     got = {x.rid for x in clean.range_outliers(df).where("outlier").collect()}
     assert got == {1000}
+
+
+def test_more_blocks_than_the_driver_deals(spark):
+    from gridlore.operators import folds
+
+    df = spark.range(3000).select((F.col("id") * F.col("id") % 211).alias("block")).unionByName(spark.createDataFrame([(None,)], "block long"))
+    few, many = (folds.assign_folds(df, most_blocks=n).groupBy("block", "fold").count().collect() for n in (10_000, 10))
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) > 100
