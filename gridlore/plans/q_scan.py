@@ -63,13 +63,13 @@ def _clip(s, d):
     i = F.col("c_custkey")
     on = view(s, d, "customer").select(F.floor(i / 80).cast("int").alias("grid_row"), (i % 80).cast("int").alias("grid_col"), F.col("c_acctbal").cast("double").alias("v"))
     own = polygons.clip_to_shape(on, _vertices(s, d), _GRID, large)
-    return own.groupBy("shape").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return own.groupBy("shape").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
 _CLIP_SQL = f"""with {_EDGES},
 t as (select shape, grid_row, grid_col from inside union select * from outline),
 c as (select c_custkey // 80 - 10 as grid_row, c_custkey % 80 - 10 as grid_col, cast(c_acctbal as double) as v from customer)
-select shape, count(*) as n, round(avg(v), 6) as mean from t join c using (grid_row, grid_col) group by 1"""
+select shape, count(*) as n, round(sum(v), 2) as total from t join c using (grid_row, grid_col) group by 1"""
 
 
 def _average(s, d):
