@@ -7,8 +7,8 @@ messages with one passage the latest before the reply counts. A message replies
 link, to the message before it. Deeper segments are what the answered message quoted itself: they are linked and counted, and never decide.
 
 Replies make a tree of each conversation. Its messages come out in reply order (preorder): a message, the replies to it in turn order, each with all that hangs on it.
-Messages that follow each other without a link elsewhere are a run; only runs that branch off are walked, by pointer doubling, so a
-conversation without links costs nothing, and a path has an entry for each branch on the way.
+Messages that follow each other without a link elsewhere are a run; only runs that branch off are placed, so a conversation without links costs nothing: pointer doubling
+gives the size of each run's tree, sums over siblings and along the way give its place. Every row keeps its size, however long the way.
 
 All is DataFrame functions. Conversations are sorted in ranges of (conversation, turn), so a very long one is spread over tasks; numbers that run over them are summed by
 partition first. A line that very many messages of one conversation hold is looked up by ranges of turns, too.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_spread, stage
+from .shared import join_spread, shuffles_for, stage, unstage
 
 QUOTE = r"^[ \t]{0,3}((?:>[ \t]?)+)"
 INTRODUCES = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
@@ -95,28 +95,58 @@ def _linked(placed: DataFrame) -> DataFrame:
     return best.select("g", F.col("best.to").alias("to"), "n_linked", "n_deeper")
 
 
+def _doubled(cur: DataFrame, name: str, below: bool) -> DataFrame:
+    """cur (head, anc, val, up): sums over a forest by pointer doubling, anc being the run above or null for a root's children. Every row stays of constant size.
+
+    up becomes its sum along the way to the root. val becomes its sum over all runs below, the run's own included, or, if not below, along the way as well: a run with 2^k runs
+    summed takes over what the run that many places away has.
+    """
+    while total := cur.where("anc is not null").count():
+        moving = cur.where("anc is not null")
+        wanted = moving.groupBy("anc").agg(F.count("*").alias("n"), F.sum("val").alias("more_below"))
+        above = stage(wanted.join(cur.select(F.col("head").alias("anc"), F.col("anc").alias("next"), F.col("val").alias("more"), F.col("up").alias("higher")), "anc"), "above")
+        moved = join_spread(moving, above.drop("more_below"), "anc", total)
+        val = F.col("val") if below else F.col("val") + F.col("more")
+        rows = moved.select("head", F.col("next").alias("anc"), val.alias("val"), (F.col("up") + F.col("higher")).alias("up")).unionByName(cur.where("anc is null"))
+        if below:
+            rows = rows.join(above.select(F.col("anc").alias("head"), "more_below"), "head", "left").withColumn("val", F.col("val") + F.coalesce("more_below", F.lit(0))).drop("more_below")
+        done, cur = cur, stage(rows, name)
+        unstage(done, above)
+    return cur
+
+
 def _branches(messages: DataFrame) -> DataFrame:
-    """messages (g, conv_id, head, parent), parent null or elsewhere only in heads of runs -> (head, start, up): the place in reply order, over all conversations, and the depth of each run's head."""
-    runs = stage(messages.groupBy("head").agg(F.first("conv_id").alias("conv_id"), F.count("*").alias("size"), F.max("parent").alias("parent")), "runs")
+    """messages (g, head, parent), parent null or elsewhere only in heads of runs -> (head, start, up): the place in reply order, over all conversations, and the depth of each run's head.
+
+    A run stands before the runs that hang on it, those of its later messages first. So it starts behind the run that it hangs on and the whole
+    trees of the siblings before it: an Euler tour from the sizes of the trees.
+    """
+    runs = stage(messages.groupBy("head").agg(F.count("*").alias("size"), F.max("parent").alias("parent")), "runs")
     off = runs.where("parent is not null")
     wanted = off.groupBy(F.col("parent").alias("g")).agg(F.count("*").alias("n"))
-    of_parent = stage(messages.select("g", F.col("head").alias("anc")).join(wanted, "g").withColumnRenamed("g", "parent"), "parents")
-    step = F.array(F.struct((-F.col("parent")).alias("late"), F.col("head").alias("first")))
-    cur = stage(join_spread(off, of_parent, "parent", off.count()).select("head", "anc", step.alias("path"), (F.col("parent") - F.col("anc") + 1).alias("up")), "branches")
-    while total := cur.where("anc is not null").count():
-        wanted = cur.where("anc is not null").groupBy("anc").agg(F.count("*").alias("n"))
-        above = stage(wanted.join(cur.select(F.col("head").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("above"), F.col("up").alias("more")), "anc", "left"), "above")
-        moved = join_spread(cur.where("anc is not null"), above, "anc", total)
-        moved = moved.select("head", F.col("next").alias("anc"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"), (F.col("up") + F.coalesce("more", F.lit(0))).alias("up"))
-        cur = stage(moved.unionByName(cur.where("anc is null")), "branches")
-    runs = runs.join(cur.select("head", "path", "up"), "head", "left").select("head", "conv_id", "size", F.coalesce("path", F.array().cast(cur.schema["path"].dataType)).alias("path"), F.coalesce("up", F.lit(0)).alias("up"))
-    # runs by conversation and path, roots first; where each starts is the sum of the sizes before
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "path", "head")]
-    runs = stage(runs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "head", "size", "up"), "ordered")
-    parts = runs.groupBy("part").agg(F.sum("size").alias("n"))  # a row for each partition
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    so_far = F.sum("size").over(Window.partitionBy("part").orderBy("row")) - F.col("size")
-    return stage(runs.withColumn("so_far", so_far).join(F.broadcast(parts), "part").select("head", (F.col("so_far") + F.col("before")).alias("start"), "up", F.col("size").alias("n")), "starts")
+    of_parent = stage(messages.select("g", F.col("head").alias("on")).join(wanted, "g").withColumnRenamed("g", "parent"), "parents")
+    hung = stage(join_spread(off, of_parent, "parent", off.count()), "hung")  # head, size, parent, on: the run that the parent is in
+    n = hung.count()
+    with shuffles_for(messages.sparkSession, n):
+        tops = stage(hung.groupBy("on").agg(F.count("*").alias("n")).join(runs.select(F.col("head").alias("on"), F.col("size").alias("length"), F.col("parent").isNull().alias("top")), "on"), "tops")
+        hung = stage(join_spread(hung, tops, "on", n), "hung")
+        anc = F.when(~F.col("top"), F.col("on"))
+        step = F.col("parent") - F.col("on") + 1
+        trees = _doubled(stage(hung.select("head", anc.alias("anc"), F.col("size").alias("val"), F.lit(0).cast("long").alias("up")), "trees"), "trees", True)
+        # sizes of trees summed over all siblings in their order; what was summed before the first of a run's is taken off
+        order = [F.col("on"), F.col("parent").desc(), F.col("head")]
+        placed = hung.join(trees.select("head", "val"), "head").repartitionByRange(*order).sortWithinPartitions(*order)
+        placed = stage(placed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "head", "on", "length", "val", anc.alias("anc"), step.alias("up")), "siblings")
+        parts = placed.groupBy("part").agg(F.sum("val").alias("n"))  # a row for each partition
+        parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+        so_far = F.sum("val").over(Window.partitionBy("part").orderBy("row")) - F.col("val")
+        placed = stage(placed.withColumn("so_far", so_far).join(F.broadcast(parts), "part").withColumn("so_far", F.col("so_far") + F.col("earlier")), "siblings")
+        first = stage(placed.groupBy("on").agg(F.min("so_far").alias("first"), F.count("*").alias("n")), "first")
+        shift = F.col("length") + F.col("so_far") - F.col("first") + F.when(F.col("anc").isNull(), F.col("on")).otherwise(0)  # a run without parent starts at its own place
+        steps = stage(join_spread(placed, first, "on", n).select("head", "anc", shift.alias("val"), "up"), "starts")
+        starts = _doubled(steps, "starts", False)
+    out = runs.join(starts.select("head", F.col("val"), "up"), "head", "left")
+    return stage(out.select("head", F.coalesce("val", "head").alias("start"), F.coalesce("up", F.lit(0)).alias("up"), F.col("size").alias("n")), "places")
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

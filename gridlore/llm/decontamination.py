@@ -8,6 +8,8 @@ found too. An item is leaked by a document if its tiles cover at least ``thresho
 
 An item needs a number of seeds to be leaked, so that many of its most common ones, less one, aren't joined (what all items begin with joins nothing). Documents
 are filtered on the way in by a bit set of the benchmark's seeds, ``BITS`` bits whatever its size: only documents with a seed, and the seeds that count, are shuffled.
+Equal items are tiled once, as a class; its ids are put to the results in lists of about ``LIST``. No text is in a broadcast: a common item's text is copied to salts, a
+document's text goes to each list of about ``LIST`` items or ``LIST_BYTES`` bytes of them that it is tiled with.
 
 Defined results: null or empty texts and items without a word match nothing; items shorter than ``min_match`` match as a whole; equal items
 are each reported; repeated documents are each reported; an empty benchmark or an empty table gives no rows.
@@ -23,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_spread, stage
+from .shared import SPREAD_KEYS, join_spread, stage
 
 _WORD = re.compile(r"\w+")
 _BASE = 0x9E3779B97F4A7C15
 MIN_MATCH, THRESHOLD, LONG_MATCH = 5, 0.6, 50
 #: Bits of the set of seeds that goes to all tasks, as a power of two: 8 MB.
 BITS = 26
+#: About how many values a list in a row holds, and how many bytes of item texts.
+LIST, LIST_BYTES = 256, 1 << 20
 #: Hashes of words kept per worker.
 CACHE_WORDS = 150_000
 
@@ -141,8 +145,8 @@ def leak(doc: list[str], item: list[str], min_match: int = MIN_MATCH, threshold:
     return (share, sorted(tiles)) if share >= threshold or any(t[2] >= long_match for t in tiles) else None
 
 
-def _indexed(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, threshold: float, long_match: int) -> tuple[DataFrame, DataFrame]:
-    """(items, seeds): item, item_id, text of each item with a word; hash, item of the seeds that are joined."""
+def _indexed(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, threshold: float, long_match: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, members, seeds): item, text of each distinct text; item, values (item_ids) in lists; hash, item, f (items that have it) of the seeds that are joined."""
 
     def cut(batches):
         for b in batches:
@@ -158,12 +162,22 @@ def _indexed(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, t
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["item", "hash", "c", "needed", "k"])
 
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    items = stage(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    own = stage(items.select("item", "text").mapInArrow(cut, "item long, hash long, c long, needed long, k long"), "item-seeds")
-    common = own.groupBy("hash").agg(F.count("*").alias("f"))
+    items = stage(items.withColumns({"row": F.monotonically_increasing_id(), "h": F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))}), "items")
+    first = items.groupBy("h").agg(F.min("row").alias("item"), F.count("*").alias("n"))
+    first = stage(first, "classes")  # equal texts, told by 128 bits
+    classes = stage(items.join(first.select(F.col("item").alias("row")), "row").select(F.col("row").alias("item"), "text"), "texts")
+    members = stage(join_spread(items.select("h", "item_id", "row"), first.withColumn("f", F.col("n")), "h", items.count()), "members")
+    own = stage(classes.mapInArrow(cut, "item long, hash long, c long, needed long, k long"), "item-seeds")
+    common = stage(own.groupBy("hash").agg(F.count("*").alias("f")).withColumn("n", F.col("f")), "item-seed-counts")
     order = Window.partitionBy("item").orderBy(F.col("f").desc(), "hash")  # the seeds of one item
-    kept = own.join(common, "hash").withColumn("upto", F.sum("c").over(order)).where("upto >= needed")
-    return items, stage(kept.select("hash", "item", "k"), "seeds")
+    kept = join_spread(own, common, "hash", own.count()).withColumn("upto", F.sum("c").over(order)).where("upto >= needed")
+    return classes, _lists(members, "item", "item_id", "row"), stage(kept.select("hash", "item", "k", "f"), "seeds")
+
+
+def _lists(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
+    """(key, values): each key's values in lists of about LIST, dealt by the column by; f is at least the number of values that a row's key has."""
+    part = F.when(F.col("f") > LIST, F.pmod(F.xxhash64(by), F.ceil(F.col("f") / LIST))).otherwise(0)
+    return rows.withColumn("part", part).groupBy(key, "part").agg(F.collect_list(value).alias("values")).drop("part")
 
 
 def _bits(found: DataFrame) -> np.ndarray:
@@ -176,9 +190,9 @@ def _bits(found: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, doc_text: str, id_col: str, text_col: str, min_match: int, threshold: float, long_match: int) -> DataFrame:
-    """(doc_id, doc_text, item_id, coverage, tiles) of every document and item that it leaks."""
-    items, joined = _indexed(benchmark, id_col, text_col, min_match, threshold, long_match)
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, doc_text: str, id_col: str, text_col: str, min_match: int, threshold: float, long_match: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, met, members): doc, item, coverage, tiles of every document and distinct item that it leaks; doc, doc_id, doc_text; item, values."""
+    items, members, joined = _indexed(benchmark, id_col, text_col, min_match, threshold, long_match)
     lengths = sorted(r["k"] for r in joined.select("k").distinct().collect())  # min_match numbers at most
     bits = docs.sparkSession.sparkContext.broadcast(_bits(joined))
 
@@ -204,39 +218,61 @@ def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, doc_text: str, id
     met = stage(src.mapInArrow(meet, "doc_id long, doc_text string, hashes array<long>").withColumn("doc", F.monotonically_increasing_id()), "met")
     asked = met.select("doc", F.explode("hashes").alias("hash"))
     counts = asked.groupBy("hash").agg(F.count("*").alias("n"))
-    of_seed = stage(joined.groupBy("hash").agg(F.collect_list("item").alias("items")).join(counts, "hash"), "asked-seeds")  # items that share a seed they can't do without
+    of_seed = stage(_lists(joined, "hash", "item", "item").join(counts, "hash"), "asked-seeds")  # items that share a seed they can't do without
     total = of_seed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = stage(join_spread(asked, of_seed, "hash", total).select("doc", F.explode("items").alias("item")).distinct(), "pairs")
-    texts = stage(pairs.groupBy("item").agg(F.count("*").alias("n")).join(items, "item"), "asked-items")
-    of_doc = stage(pairs.groupBy("doc").agg(F.count("*").alias("n")).join(met.drop("hashes"), "doc"), "asked-docs")
-    n = pairs.count()
-    both = join_spread(join_spread(pairs, of_doc, "doc", n), texts, "item", n)
+    pairs = stage(join_spread(asked, of_seed, "hash", total).select("doc", F.explode("values").alias("item")).distinct(), "pairs")
+
+    # the items' texts go to the pairs, a common item's by as many salts as it fills shares; then a document's text goes to its pairs, list by list
+    per_item = pairs.groupBy("item").agg(F.count("*").alias("n"))
+    both = stage(_salted(pairs, per_item, items, "item", "doc", pairs.count()).withColumn("bytes", F.octet_length("text")), "pair-texts")
+    per_doc = stage(both.groupBy("doc").agg(F.count("*").alias("n"), (1 + F.greatest(F.floor(F.count("*") / LIST), F.floor(F.sum("bytes") / LIST_BYTES))).alias("lists")), "pair-docs")
+    listed = join_spread(both.drop("bytes"), per_doc, "doc", per_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    listed = listed.withColumn("list", F.pmod(F.xxhash64("item"), "lists")).groupBy("doc", "list").agg(F.collect_list(F.struct("item", "text")).alias("pairs"))
+    whole = met.drop("hashes", "doc_id").join(per_doc.select("doc", "lists"), "doc").select("doc", "doc_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)).alias("list"))
 
     def tiled(batches):
         kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
         for b in batches:
             rows = []
-            for i, doc, item_id, item in zip(*(c.to_pylist() for c in b.columns)):
-                if found := leak(words(doc), words(item), min_match, threshold, long_match):
-                    rows.append((i, doc, item_id, found[0], [dict(zip(("doc_start", "item_start", "length"), t)) for t in found[1]]))
+            for doc, text, own in zip(*(b.column(i) for i in range(3))):
+                doc, text = doc.as_py(), words(text.as_py())
+                for pair in own.as_py():
+                    if found := leak(text, words(pair["text"]), min_match, threshold, long_match):
+                        rows.append((doc, pair["item"], found[0], [dict(zip(("doc_start", "item_start", "length"), t)) for t in found[1]]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64(), kind))], names=["doc_id", "doc_text", "item_id", "coverage", "tiles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), kind))], names=["doc", "item", "coverage", "tiles"])
 
-    out = both.select("doc_id", "doc_text", "item_id", "text").mapInArrow(tiled, "doc_id long, doc_text string, item_id long, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>")
-    return out
+    # the hint keeps texts out of broadcasts
+    out = listed.join(whole.hint("merge"), ["doc", "list"]).select("doc", "doc_text", "pairs")
+    return out.mapInArrow(tiled, "doc long, item long, coverage double, tiles array<struct<doc_start: int, item_start: int, length: int>>"), met, members
+
+
+def _salted(many: DataFrame, counts: DataFrame, one: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """many joined with one (a row for each key) on key, shuffled. A key with more than a share of the rows goes to several tasks: its row of one is copied to as many salts, its rows of many are dealt by the column by. counts: key, n."""
+    share = max(256, total // SPREAD_KEYS)
+    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).alias("salts")))  # numbers of fewer than SPREAD_KEYS keys
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    many = many.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts)).drop("salts")
+    one = one.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return many.join(one.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, long_match: int = LONG_MATCH) -> DataFrame:
     """(doc_id, item_id, coverage, tiles) of every document and item that it leaks."""
-    return _found(docs, benchmark, doc_id, doc_text, id_col, text_col, min_match, threshold, long_match).drop("doc_text")
+    found, met, members = _found(docs, benchmark, doc_id, doc_text, id_col, text_col, min_match, threshold, long_match)
+    found = stage(found, "leaks")
+    of_item = stage(members.join(found.groupBy("item").agg(F.count("*").alias("n")), "item"), "leaked-items")
+    out = join_spread(found, of_item, "item", of_item.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return out.join(met.select("doc", "doc_id"), "doc").select("doc_id", F.explode("values").alias("item_id"), "coverage", "tiles")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, long_match: int = LONG_MATCH) -> DataFrame:
     """The documents that leak no item, all columns. What a document leaks depends on its text alone, so leaking texts are told by a 128-bit hash."""
     numbered = docs.select(F.lit(0).alias("_id"), F.col(doc_text).cast("string").alias("_text"))
-    found = _found(numbered, benchmark, "_id", "_text", id_col, text_col, min_match, threshold, long_match)
+    found, met, _ = _found(numbered, benchmark, "_id", "_text", id_col, text_col, min_match, threshold, long_match)
     wide = "_h" + "_" * max(map(len, docs.columns))  # no column of docs
     both = lambda c: {f"{wide}1": F.xxhash64(c), f"{wide}2": F.xxhash64(c, F.lit(1))}
-    bad = stage(found.select(*[h.alias(k) for k, h in both("doc_text").items()]).distinct(), "leaking")
+    bad = found.select("doc").distinct().join(met.select("doc", *[h.alias(k) for k, h in both("doc_text").items()]), "doc")
+    bad = stage(bad.drop("doc").distinct(), "leaking")
     text = F.col(doc_text).cast("string")
     return docs.withColumns(both(text)).join(bad, list(both(text)), "left_anti").drop(*both(text))
