@@ -2,7 +2,7 @@
 
 A word's vector is the mean of rows of one hashed table: the word's own row and those of its character n-grams (with word-boundary marks). A
 word n-gram (of two words, up to ``Settings.word_ngrams``) has a hashed row of its own, and so has the return of a word after 1, 2, 3 to 4, 5 to 8, ... words, whatever the word.
-A document's vector is the mean of the vectors of all its words, word n-grams and returns; a linear layer with softmax gives the class probabilities. Table and layer are learnt together on the driver from a bounded number of labelled documents, each of them whole;
+A document's vector is the mean of the vectors of all its words, word n-grams and returns; a linear layer with softmax gives the class probabilities. Table and layer are learnt together on the driver from a bounded number of labelled documents, each of them whole, which tasks have made into rows and shares: at most ``Settings.rows`` of each;
 every document of the corpus is scored whole.
 
 Because the output is linear in the mean, each distinct word contributes a fixed number: workers keep it, and the word's hash, in a bounded cache of the
@@ -101,6 +101,24 @@ def return_rows(place: np.ndarray, s: Settings) -> np.ndarray:
 _RETURNS = np.array([zlib.crc32(f"again after {k}".encode(), 3) for k in range(64)], np.int64)
 
 
+def bag(text: str | None, s: Settings, rows_of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, shares) of a whole text, each row once: its vector is shares @ table[rows]."""
+    own = words(text)
+    if not own:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    times = Counter(own)
+    for w in times:
+        if w not in rows_of:
+            rows_of[w] = np.array(features(w, s), np.int64)
+    hashes = np.fromiter(map(word_hash, own), np.uint64, len(own))
+    grams = [*ngram_rows(hashes, s), return_rows(hashes, s)]
+    rows = [rows_of[w] for w in times]
+    share = [np.full(len(r), c / len(r)) for r, c in zip(rows, times.values())] + [np.ones(len(g)) for g in grams]
+    rows, share = np.concatenate([*rows, *grams]), np.concatenate(share)
+    rows, at = np.unique(rows, return_inverse=True)
+    return rows.astype(np.min_scalar_type(s.rows - 1)), (np.bincount(at, share) / (len(own) + sum(map(len, grams)))).astype(np.float32)
+
+
 class Model:
     def __init__(self, s: Settings):
         rng = np.random.default_rng(s.seed)
@@ -108,30 +126,16 @@ class Model:
         self.weight, self.bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
 
     def bag(self, text: str | None, rows_of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, shares) of a whole text, each row once: its vector is shares @ table[rows]."""
-        own = words(text)
-        if not own:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        times = Counter(own)
-        for w in times:
-            if w not in rows_of:
-                rows_of[w] = np.array(features(w, self.s), np.int64)
-        hashes = np.fromiter(map(word_hash, own), np.uint64, len(own))
-        grams = [*ngram_rows(hashes, self.s), return_rows(hashes, self.s)]
-        rows = [rows_of[w] for w in times]
-        share = [np.full(len(r), c / len(r)) for r, c in zip(rows, times.values())] + [np.ones(len(g)) for g in grams]
-        rows, share = np.concatenate([*rows, *grams]), np.concatenate(share)
-        rows, at = np.unique(rows, return_inverse=True)
-        return rows.astype(np.min_scalar_type(self.s.rows - 1)), (np.bincount(at, share) / (len(own) + sum(map(len, grams)))).astype(np.float32)
-
-    def fit(self, texts: Sequence[str | None] | pa.ChunkedArray, labels: Sequence[int]) -> Model:
+        return bag(text, self.s, rows_of)
+
+    def fit(self, texts: Sequence[str | None], labels: Sequence[int]) -> Model:
+        rows_of: dict[str, np.ndarray] = {}
+        return self.fit_bags([self.bag(t, rows_of) for t in texts], labels)
+
+    def fit_bags(self, docs: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int]) -> Model:
         """SGD, a whole document a step, the rate falling to zero. A step is divided by the length of the document's shares, so that long texts teach as much as short ones."""
         s, rng = self.s, np.random.default_rng(self.s.seed)
-        docs = []
-        for at in range(0, len(texts), 1000):  # a word's rows are kept for some texts at a time
-            rows_of: dict[str, np.ndarray] = {}
-            docs += [self.bag(t.as_py() if isinstance(t, pa.Scalar) else t, rows_of) for t in texts[at : at + 1000]]
-        if not docs:
+        if not len(docs):
             return self
         y = np.asarray(labels)
         self.bias[:] = np.log((np.bincount(y, minlength=2) + 1) / (len(y) + 2))
@@ -222,9 +226,22 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
         own = own.where(teach)
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(s.seed))
     chosen = own.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"), order.alias("_h")).groupBy("_id").agg(F.min("_y").alias("_y"), F.first("_h").alias("_h")).orderBy("_h", "_id").limit(s.sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")  # sample_rows short rows
-    rows = rows.orderBy("_h", "_id", "_t").limit(s.sample_rows).select("_t", "_y").toArrow()
-    return Model(s).fit(rows.column(0), rows.column(1).to_pylist()).scorer()
+    def bags(batches):
+        for b in batches:
+            rows_of: dict[str, np.ndarray] = {}
+            for i, text in enumerate(b.column(2)):
+                if len(rows_of) > CACHE_WORDS:
+                    rows_of.clear()
+                rows, share = bag(text.as_py(), s, rows_of)
+                one = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(3), one.column(4), one.column(5), pa.array([rows.astype(np.int32)], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))], names=["_id", "_y", "_h", "_a", "_b", "rows", "share"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_a"), F.xxhash64(text, F.lit(1)).alias("_b")).join(F.broadcast(chosen), "_id")  # sample_rows short rows
+    rows = rows.select("_id", "_y", "_t", "_h", "_a", "_b").mapInArrow(bags, "_id long, _y int, _h long, _a long, _b long, rows array<int>, share array<float>")
+    rows = rows.orderBy("_h", "_id", "_a", "_b").limit(s.sample_rows).select("rows", "share", "_y").toArrow()  # at most Settings.rows numbers each, however long a text is
+    docs_ = [(np.asarray(r.values).astype(np.min_scalar_type(s.rows - 1)), np.asarray(x.values)) for r, x in zip(rows.column(0), rows.column(1))]
+    return Model(s).fit_bags(docs_, rows.column(2).to_pylist()).scorer()
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:

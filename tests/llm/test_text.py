@@ -376,3 +376,48 @@ def test_pack(spark, bpe):
     assert Counter((None if i != i else int(i), k, s, tuple(x)) for i, k, s, x in zip(got.doc_id, got.piece, got.start, got.ids)) == want
     assert list(packing.spans(2500, 1024)) == [(0, 452), (452, 1024), (1476, 1024)]
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_equal_items_are_a_class_and_texts_stay_out_of_broadcasts(spark):
+    """Thousands of equal items, items alike but for a word, one item in many documents and one document with many items, against every pair."""
+    r = random.Random(12)
+    same, form = " ".join(f"e{i}" for i in range(12)), [f"f{i}" for i in range(10)]
+    alike = [(10_000 + i, " ".join([*form, f"x{i}"])) for i in range(600)]
+    items = [(i, same) for i in range(3000)] + alike + [(20_000, "another item of some words here")]
+    docs = [(i, f"so {same} and another item of some words here {r.random()}") for i in range(30)] + [(50, " . ".join(t for _, t in alike)), (51, "nothing of it"), (52, same[:20])]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, docs)
+    distinct = {t: [j for j, u in items if u == t] for _, t in items}
+    want = Counter((d, j) for d, t in docs for u, ids in distinct.items() if decontamination.leak(decontamination.words(t), decontamination.words(u)) for j in ids)
+    got = Counter((x["doc_id"], x["item_id"]) for x in decontamination.leaks(df, bench).select("doc_id", "item_id").collect())
+    assert got == want and got[(50, 10_599)] == 1 and got[(0, 2999)] == 1
+    found, _, members = decontamination._found(df, bench, "doc_id", "text", "item_id", "text", 5, 0.6, 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "BroadcastExchange" in line)
+    assert max(len(x["values"]) for x in members.collect()) < 2 * decontamination.LIST
+
+
+def test_salted_joins_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SPREAD_KEYS", 4)
+    many = spark.range(4000).selectExpr("id as doc", "if(id % 3 = 0, id % 7, 100) as item")
+    one = spark.range(101).selectExpr("id as item", "cast(id as string) as text")
+    got = decontamination._salted(many, many.groupBy("item").count().withColumnRenamed("count", "n"), one, "item", "doc", 4000)
+    assert sorted(tuple(x) for x in got.select("doc", "item", "text").collect()) == sorted((x["doc"], x["item"], str(x["item"])) for x in many.collect())
+
+
+def test_a_long_way_of_replies(spark):
+    """Each message answers the one before the last: two ways, each half as long as the conversation; what is staged grows with the messages alone."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from gridlore.llm import shared
+
+    root, sizes = Path(urlparse(shared.shared_dir(spark)).path), {}
+    for n in (500, 2000):
+        before = set(root.iterdir()) if root.exists() else set()
+        rows = [(1, i, "u", f"message number {i}" if i < 2 else f"> message number {i - 2}\nmessage number {i}") for i in range(n)]
+        out = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        got = [x["turn"] for x in out.orderBy("position").collect()]
+        assert got == [0, *range(1, n, 2), *range(2, n, 2)]
+        made = [p for p in set(root.iterdir()) - before if p.name.startswith(("trees", "starts", "siblings", "hung", "places"))]
+        sizes[n] = sum(f.stat().st_size for p in made for f in p.rglob("*.parquet"))
+    assert sizes[2000] < 5 * sizes[500]
