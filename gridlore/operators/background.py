@@ -13,26 +13,32 @@ def sample_rows(df: DataFrame, n: int, key: str = "rid") -> DataFrame:
     return df.orderBy(hashed_uniform(F.col(key)), key).limit(n).orderBy(key)
 
 
-#: Equal stretches of the hashed uniforms by which ranks are cut.
-STRETCHES = 4096
+#: Stretches of the hashed uniforms, by which ranks are cut, for each halving of it: a species reads a twentieth more than it needs.
+STEPS = 16
+#: Rows of a stretch are dealt over so many keys when species read them.
+SALTS = 32
 
 
 def target_group(occ: DataFrame, most: int = 25_000) -> DataFrame:
     """For each species, records of other species outside its presence cells, duplicates kept: as many as it has presence cells, at most ``most``.
 
-    Every record draws a hashed uniform of its own. Counts by stretches of it, less those of the species' own cells, tell how far a species has to read
-    to find what it wants; it is joined with the records of these stretches only, by the stretch.
+    Every record draws a hashed uniform of its own, and a species takes those with the smallest. Counts by stretches of it, less those of the species' own cells, tell how far a species has to read
+    to find what it wants; it is joined with the records of these stretches only. Stretches are parts of a halving, so they shorten towards zero: what is read follows from what
+    is wanted, not from the table, of which there are a few hundred stretches whatever its size. Species meet a stretch's rows salted, as all read the first ones.
     """
-    drawn = occ.select("rid", "cell_id", hashed_uniform(F.col("rid")).alias("u")).withColumn("b", F.least(F.floor(F.col("u") * STRETCHES).cast("int"), F.lit(STRETCHES - 1)))
+    drawn = occ.select("rid", "cell_id", hashed_uniform(F.col("rid")).alias("u")).withColumn("b", F.floor(F.log2("u") * STEPS).cast("int"))
     presence = occ.select("species", "cell_id").distinct()
     wanted = presence.groupBy("species").agg(F.count("*").alias("n")).select("species", F.least("n", F.lit(most)).alias("n"))
-    whole = drawn.groupBy("b").agg(F.count("*").alias("c"))  # a row for each stretch
+    whole = drawn.groupBy("b").agg(F.count("*").alias("c"))  # a row for each stretch that holds any
     by_cell = drawn.groupBy("cell_id", "b").agg(F.count("*").alias("c"))
     own = presence.join(by_cell, "cell_id").groupBy("species", "b").agg(F.sum("c").alias("own"))
-    free = wanted.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(STRETCHES - 1)))).join(F.broadcast(whole), "b").join(own, ["species", "b"], "left")  # STRETCHES rows for each species
+    free = wanted.join(F.broadcast(whole.agg(F.collect_list(F.struct("b", "c")).alias("whole")))).select("species", "n", F.inline("whole"))
     upto = F.sum(F.col("c") - F.coalesce("own", F.lit(0))).over(Window.partitionBy("species").orderBy("b"))
-    reach = free.withColumn("before", upto - (F.col("c") - F.coalesce("own", F.lit(0)))).where("before < n").select("species", "n", "b")
-    cand = drawn.join(reach, "b").join(presence, ["species", "cell_id"], "left_anti")
+    free = free.join(own, ["species", "b"], "left")
+    reach = free.withColumn("before", upto - (F.col("c") - F.coalesce("own", F.lit(0)))).where("before < n").select("species", "n", "b", F.pmod(F.xxhash64("species"), F.lit(SALTS)).alias("salt"))
+    last = F.broadcast(reach.agg(F.max("b").alias("last")))  # one row: what no species reads isn't dealt out
+    read = drawn.join(last, F.col("b") <= F.col("last")).drop("last").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    cand = read.join(reach, ["b", "salt"]).join(presence, ["species", "cell_id"], "left_anti")
     pick = cand.withColumn("j", F.row_number().over(Window.partitionBy("species").orderBy("u", "rid"))).where("j <= n")
     return pick.select("species", "rid", "cell_id")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grid import GLOBAL_10M
+from ..functions.scalar import hashed_uniform_sql
 from ..operators import background as B
 from ..operators import cells as C
 from ..operators import thin
@@ -98,7 +99,7 @@ def _target_group(s, d):
 
 
 _TG = _PTS + """, pr as (select distinct species, cell_id from pts), n as (select species, least(count(*), 25000) n from pr group by 1),
- pool as (select rid, cell_id, (((rid * 2654435761) % 1000003) + 1) / 1000004.0 u from pts),
+ pool as (select rid, cell_id, """ + hashed_uniform_sql("rid") + """ u from pts),
  cand as (select n.species, n.n, pool.* from pool, n where not exists (select 1 from pr where pr.species = n.species and pr.cell_id = pool.cell_id)),
  k as (select *, row_number() over (partition by species order by u, rid) j from cand) select species, rid, cell_id from k where j <= n"""
 
@@ -161,10 +162,10 @@ QUERIES = {
     "dedupe_two_keys": (_dedupe, "with a as (select event_id rid, user_id, case when event_id % 5 = 0 then null else event_id % 1000 end k2 from events), b as (select *, row_number() over (partition by user_id order by rid) k from a), c as (select * from b where user_id is null or k = 1), e as (select *, row_number() over (partition by k2 order by rid) j from c) select rid from e where k2 is null or j = 1"),
     "cell_set_operations": (lambda s, d: _sets(s, d), _PTS + ", a as (select distinct cell_id from pts where species = 'species_1'), b as (select distinct cell_id from pts where species = 'species_2') select (select count(*) from (select * from a union select * from b)) as n_union, (select count(*) from (select * from a intersect select * from b)) as n_both, (select count(*) from (select * from a except select * from b)) as n_first"),
     "target_group_background": (_target_group, _TG),
-    "uniform_sample": (lambda s, d: B.sample_rows(_points(s, d).select("rid"), 500), _PTS + ", p as (select rid from pts order by (((rid * 2654435761) % 1000003) + 1) / 1000004.0, rid limit 500) select rid from p"),
+    "uniform_sample": (lambda s, d: B.sample_rows(_points(s, d).select("rid"), 500), _PTS + f", p as (select rid from pts order by {hashed_uniform_sql('rid')}, rid limit 500) select rid from p"),
     "padded_pool": (_padded, _PTS + ", p as (select * from pts where species = 'species_4' and longitude < -98 and latitude > 33), x as (select min(latitude) s, max(latitude) n, min(longitude) w, max(longitude) e from p), f as (select cell_id, 90.0 - (grid_row + 0.5) / 6.0 la, -180.0 + (grid_col + 0.5) / 6.0 lo from cells where cell_id not in (select cell_id from p)), g as (select cell_id, (select min(pad) from (values (0.25), (0.5), (1.0), (2.0), (4.0)) v(pad) where la between s - pad and n + pad and lo between w - pad and e + pad) pad from f, x), t as (select pad, sum(count(*)) over (order by pad) upto from g where pad is not null group by pad), c as (select coalesce(min(case when upto >= 300 then pad end), max(pad)) chosen from t) select cell_id, cast(pad as double) as pad from g, c where pad <= chosen"),
     "effort_weights": (lambda s, d: _weights(s, d).select("cell_id", "effort", F.round("weight", 8).alias("weight")), _W + " select cell_id, effort, round(weight, 8) as weight from w"),
-    "effort_sample": (lambda s, d: B.weighted_without(_weights(s, d), 200).select("cell_id"), _W + " select cell_id from w where weight > 0 order by -ln((((cell_id * 2654435761) % 1000003) + 1) / 1000004.0) / weight, cell_id limit 200"),
+    "effort_sample": (lambda s, d: B.weighted_without(_weights(s, d), 200).select("cell_id"), _W + f" select cell_id from w where weight > 0 order by -ln({hashed_uniform_sql('cell_id')}) / weight, cell_id limit 200"),
     "effort_sample_replaced": (lambda s, d: B.weighted_with(_weights(s, d), 2000).select("cell_id", "times"), _W + ", x as (select cell_id, round(sum(weight) over (order by cell_id) / sum(weight) over () * 2000, 9) b, round((sum(weight) over (order by cell_id) - weight) / sum(weight) over () * 2000, 9) a from w where weight > 0) select cell_id, cast(floor(b + 0.5) - floor(a + 0.5) as int) as times from x where floor(b + 0.5) - floor(a + 0.5) > 0"),
     "stratified_share": (lambda s, d: B.stratified_share(occ(s, d).withColumn("stratum", F.col("basis")), 40).select("species", "rid"), _OCC + ", n as (select species, count(distinct basis) s from occ group by 1), r as (select species, basis, rid, row_number() over (partition by species, basis order by rid) k from occ), f as (select r.species, rid, k <= ceil(40.0 / s) first from r join n using (species)), j as (select *, row_number() over (partition by species order by first desc, rid) j from f) select species, rid from j where j <= 40"),
 }

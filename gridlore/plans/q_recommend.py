@@ -152,5 +152,5 @@ QUERIES = {
     "booster_scores": (_scores, _SCORE_SQL),
     "network_scores": (_network, _NETWORK_SQL),
     "gbt_importance": (_gbt, None),
-    "weighted_key": (lambda s, d: cells(s, d).select("cell_id", F.round(S.weighted_key(S.hashed_uniform(F.col("cell_id")), F.col("tree")), 8).alias("key")), _CELLS + " select cell_id, case when tree > 0 then round(-ln((((cell_id * 2654435761) % 1000003) + 1) / 1000004.0) / tree, 8) end as key from cells"),
+    "weighted_key": (lambda s, d: cells(s, d).select("cell_id", F.round(S.weighted_key(S.hashed_uniform(F.col("cell_id")), F.col("tree")), 8).alias("key")), _CELLS + f" select cell_id, case when tree > 0 then round(-ln({S.hashed_uniform_sql('cell_id')}) / tree, 8) end as key from cells"),
 }
