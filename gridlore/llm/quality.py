@@ -2,7 +2,7 @@
 
 A word's vector is the mean of rows of one hashed table: the word's own row and those of its character n-grams (with word-boundary marks). A
 word n-gram (of two words, up to ``Settings.word_ngrams``) has a hashed row of its own, and so has the return of a word after 1, 2, 3 to 4, 5 to 8, ... words, whatever the word.
-A document's vector is the mean of the vectors of all its words, word n-grams and returns; a linear layer with softmax gives the class probabilities. Table and layer are learnt together on the driver from a bounded number of labelled documents, each of them whole, which tasks have made into rows and shares: at most ``Settings.rows`` of each;
+A document's vector is the mean of the vectors of all its words, word n-grams and returns; a linear layer with softmax gives the class probabilities. Table and layer are learnt together on the driver from a bounded number of labelled documents, each of them whole, which tasks have made into rows and shares: at most ``Settings.rows`` of each, deflated, and opened one document at a time;
 every document of the corpus is scored whole.
 
 Because the output is linear in the mean, each distinct word contributes a fixed number: workers keep it, and the word's hash, in a bounded cache of the
@@ -119,6 +119,32 @@ def bag(text: str | None, s: Settings, rows_of: dict[str, np.ndarray]) -> tuple[
     return rows.astype(np.min_scalar_type(s.rows - 1)), (np.bincount(at, share) / (len(own) + sum(map(len, grams)))).astype(np.float32)
 
 
+def packed(rows: np.ndarray, share: np.ndarray) -> bytes:
+    """A bag as bytes, deflated: steps between its ascending rows, and of each share its place among the distinct ones. At most Settings.rows of each."""
+    distinct, at = np.unique(share, return_inverse=True)
+    return zlib.compress(np.array([len(rows), len(distinct)], np.uint32).tobytes() + np.diff(rows, prepend=rows[:1] * 0).astype(np.uint32).tobytes() + at.astype(np.uint32).tobytes() + distinct.astype(np.float32).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n, k = np.frombuffer(raw, np.uint32, 2)
+    steps, at = np.frombuffer(raw, np.uint32, 2 * n, 8).reshape(2, n)
+    return np.cumsum(steps, dtype=np.int64), np.frombuffer(raw, np.float32, k, 8 + 8 * int(n))[at]
+
+
+class Bags:
+    """Bags kept deflated; each is opened when it is asked for."""
+
+    def __init__(self, data: pa.ChunkedArray):
+        self.data = data
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return unpacked(self.data[int(i)].as_py())
+
+
 class Model:
     def __init__(self, s: Settings):
         rng = np.random.default_rng(s.seed)
@@ -132,7 +158,7 @@ class Model:
         rows_of: dict[str, np.ndarray] = {}
         return self.fit_bags([self.bag(t, rows_of) for t in texts], labels)
 
-    def fit_bags(self, docs: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[int]) -> Model:
+    def fit_bags(self, docs: Sequence[tuple[np.ndarray, np.ndarray]] | Bags, labels: Sequence[int]) -> Model:
         """SGD, a whole document a step, the rate falling to zero. A step is divided by the length of the document's shares, so that long texts teach as much as short ones."""
         s, rng = self.s, np.random.default_rng(self.s.seed)
         if not len(docs):
@@ -234,14 +260,13 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
                     rows_of.clear()
                 rows, share = bag(text.as_py(), s, rows_of)
                 one = b.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(3), one.column(4), one.column(5), pa.array([rows.astype(np.int32)], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))], names=["_id", "_y", "_h", "_a", "_b", "rows", "share"])
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(3), one.column(4), one.column(5), pa.array([packed(rows, share)], pa.binary())], names=["_id", "_y", "_h", "_a", "_b", "bag"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_a"), F.xxhash64(text, F.lit(1)).alias("_b")).join(F.broadcast(chosen), "_id")  # sample_rows short rows
-    rows = rows.select("_id", "_y", "_t", "_h", "_a", "_b").mapInArrow(bags, "_id long, _y int, _h long, _a long, _b long, rows array<int>, share array<float>")
-    rows = rows.orderBy("_h", "_id", "_a", "_b").limit(s.sample_rows).select("rows", "share", "_y").toArrow()  # at most Settings.rows numbers each, however long a text is
-    docs_ = [(np.asarray(r.values).astype(np.min_scalar_type(s.rows - 1)), np.asarray(x.values)) for r, x in zip(rows.column(0), rows.column(1))]
-    return Model(s).fit_bags(docs_, rows.column(2).to_pylist()).scorer()
+    rows = rows.select("_id", "_y", "_t", "_h", "_a", "_b").mapInArrow(bags, "_id long, _y int, _h long, _a long, _b long, bag binary")
+    rows = rows.orderBy("_h", "_id", "_a", "_b").limit(s.sample_rows).select("bag", "_y").toArrow()  # at most Settings.rows numbers each, however long a text is
+    return Model(s).fit_bags(Bags(rows.column(0)), rows.column(1).to_pylist()).scorer()
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -229,6 +230,20 @@ def test_scores_are_the_model(monkeypatch):
     assert [m.scorer()(t, known) for t in (text, "other", text)][::2] == [want, want] and m.scorer()("") == m.scorer()(None)
 
 
+def test_bags_are_kept_deflated():
+    r = random.Random(5)
+    texts = [None, "", "a", "a " * 5000, " ".join(f"w{r.randrange(9000)}" for _ in range(40_000)), *(" ".join(f"v{r.randrange(50)}" for _ in range(r.randrange(60))) for _ in range(20))]
+    for s in (quality.Settings(), quality.Settings(rows=1 << 20)):
+        bags = [quality.bag(t, s, {}) for t in texts]
+        kept = quality.Bags(pa.chunked_array([[quality.packed(*b) for b in bags[:3]], [quality.packed(*b) for b in bags[3:]]], pa.binary()))
+        assert len(kept) == len(bags)
+        for (rows, share), (r2, s2) in zip(bags, (kept[i] for i in range(len(bags)))):
+            assert rows.tolist() == r2.tolist() and share.tolist() == s2.tolist() and s2.dtype == np.float32
+        y = [i % 2 for i in range(len(bags))]
+        a, b = (quality.Model(s).fit_bags(d, y) for d in (bags, kept))
+        assert (a.table == b.table).all() and (a.weight == b.weight).all()
+
+
 def test_training_against_a_plain_version():
     """Steps of a slow version without hashing tricks: one vector for each feature of the whole text."""
     s = quality.Settings(epochs=1, sample_rows=8)
