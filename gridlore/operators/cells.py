@@ -92,12 +92,17 @@ def faithful(clip: DataFrame, source: DataFrame, column: str, row_shift: int, co
 
 
 def ring_fallback(points: DataFrame, cells: DataFrame, column: str, radius: int = 2) -> DataFrame:
-    """The value at the point's cell, else the first in row-major order on the nearest square ring that has one."""
+    """The value at the point's cell, else the first in row-major order on the nearest square ring that has one.
+
+    Rings are searched once for each cell that holds points. Spark's estimate doesn't count exploded rows, so these are kept out of broadcasts; points are the outer side of joins, which is never broadcast.
+    """
     offsets = F.array(*[F.struct(F.lit(max(abs(i), abs(j))).alias("ring"), F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
-    near = points.select("rid", "grid_row", "grid_col", F.inline(offsets)).withColumns({"_r": F.col("grid_row") + F.col("dr"), "_c": F.col("grid_col") + F.col("dc")})
-    hit = near.join(cells.where(F.col(column).isNotNull()).select(F.col("grid_row").alias("_r"), F.col("grid_col").alias("_c"), column), ["_r", "_c"])
-    best = hit.groupBy("rid").agg(F.min_by(F.struct(column, "ring"), F.struct("ring", "_r", "_c")).alias("x"))
-    return points.select("rid").join(best, "rid", "left").select("rid", F.col(f"x.{column}").alias(column), F.col("x.ring").alias("ring"))
+    near = points.select(*CELL).distinct().select(*CELL, F.inline(offsets)).withColumns({"_r": F.col("grid_row") + F.col("dr"), "_c": F.col("grid_col") + F.col("dc")})
+    hit = near.hint("merge").join(cells.where(F.col(column).isNotNull()).select(F.col("grid_row").alias("_r"), F.col("grid_col").alias("_c"), column), ["_r", "_c"])
+    order = F.struct("ring", "_r", "_c").alias("order")
+    by_cell = hit.groupBy(*CELL).agg(F.min_by(F.struct(column, order), order).alias("x"))
+    best = points.select("rid", *CELL).join(by_cell, CELL, "left").groupBy("rid").agg(F.min_by("x", "x.order").alias("x"))
+    return points.select("rid").join(best, "rid", "left").select("rid", F.col(f"x.{column}").alias(column), F.col("x.order.ring").alias("ring"))
 
 
 def nearest_cells(cells: DataFrame, lat: float, lon: float, grid: Grid, most_km: float = 25.0, stride: int = 1, k: int = 48) -> DataFrame:
