@@ -176,13 +176,13 @@ def pad_to(cells: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def bilinear(coarse: DataFrame, column: str, points: DataFrame) -> DataFrame:
-    """Values at fractional (y, x) cell coordinates of points (rid, y, x): the four neighbours by their weights, null neighbours left out."""
+    """Values at fractional (y, x) cell coordinates of points (rid, y, x): the four neighbours by their weights, null neighbours left out. Exploded rows stay out of broadcasts."""
     y, x = F.col("y") - 0.5, F.col("x") - 0.5
     p = points.select("rid", F.floor(y).cast("int").alias("_r"), F.floor(x).cast("int").alias("_c"), (y - F.floor(y)).alias("_fy"), (x - F.floor(x)).alias("_fx"))
     p = p.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in (0, 1) for j in (0, 1)])))
     w = F.when(F.col("_i") == 1, F.col("_fy")).otherwise(1 - F.col("_fy")) * F.when(F.col("_j") == 1, F.col("_fx")).otherwise(1 - F.col("_fx"))
     p = p.select("rid", (F.col("_r") + F.col("_i")).alias("grid_row"), (F.col("_c") + F.col("_j")).alias("grid_col"), w.alias("_w"))
-    hit = p.join(coarse.where(F.col(column).isNotNull()).select(*CELL, column), CELL)
+    hit = p.hint("merge").join(coarse.where(F.col(column).isNotNull()).select(*CELL, column), CELL)
     return points.select("rid").join(hit.groupBy("rid").agg(F.try_divide(F.sum(F.col(column) * F.col("_w")), F.sum("_w")).alias(column)), "rid", "left")
 
 

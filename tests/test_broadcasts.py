@@ -4,17 +4,14 @@ from pyspark.sql import functions as F
 
 from gridlore.operators import cells
 
-MOST = 1 << 20
-
-
-def broadcast_bytes(df):
-    """Bytes of each broadcast of an executed frame."""
+def broadcast_rows(df):
+    """Rows of each broadcast of an executed frame."""
     found, plans = [], [df._jdf.queryExecution().executedPlan()]
     while plans:
         p = plans.pop()
         kind = p.getClass().getSimpleName()
         if kind == "BroadcastExchangeExec":
-            found.append(p.metrics().apply("dataSize").value())
+            found.append(p.metrics().apply("numOutputRows").value())
         inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
         below = [getattr(p, inner)()] if inner else []
         plans += below + [p.children().apply(i) for i in range(p.children().size())]
@@ -23,10 +20,10 @@ def broadcast_bytes(df):
 
 def run(spark, make):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", MOST)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1 << 20)
     try:
         df = make()
-        return df.collect(), broadcast_bytes(df)
+        return df.collect(), broadcast_rows(df)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -39,8 +36,8 @@ def lattice(spark, rows, cols):
 
 def test_rings_of_many_points(spark):
     at = spark.range(12_000).select(F.col("id").alias("rid"), (F.col("id") % 120).cast("int").alias("grid_row"), F.floor(F.col("id") / 120).cast("int").alias("grid_col"))
-    got, sizes = run(spark, lambda: cells.ring_fallback(at, lattice(spark, 400, 400), "v"))
-    assert all(x <= MOST for x in sizes)
+    got, rows = run(spark, lambda: cells.ring_fallback(at, lattice(spark, 400, 400), "v"))
+    assert all(n <= 12_000 for n in rows)
     assert len(got) == 12_000
     for x in got:
         r, c = x.rid % 120, x.rid // 120
@@ -57,3 +54,12 @@ def test_rings_of_rows_with_one_rid(spark):
     assert got == [(1, 3, 0), (1, 3, 0)]
     rest = {x.rid: (x.v, x.ring) for x in cells.ring_fallback(at, lattice(spark, 4, 4), "v").collect() if x.rid > 1}
     assert rest == {2: (None, None), 3: (None, None)}
+
+
+def test_neighbours_of_many_points(spark):
+    i = F.col("id")
+    at = spark.range(20_000).select(i.alias("rid"), (i % 120 + 0.75).alias("y"), (F.floor(i / 120) + 1.0).alias("x"))
+    grid = lattice(spark, 400, 400).withColumn("v", F.when(F.col("grid_row") % 2 == 0, F.col("grid_col").cast("double")))
+    got, rows = run(spark, lambda: cells.bilinear_filled(grid, "v", at))
+    assert all(n <= 20_000 for n in rows)
+    assert {x.rid: x.v for x in got} == {k: k // 120 + 0.5 for k in range(20_000)}
