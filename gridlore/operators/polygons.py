@@ -47,7 +47,7 @@ def covered_cells(vertices: DataFrame, grid: Grid, all_touched: bool = True) ->
     spans = crossings.select("shape", "grid_row", "u", F.lead("u").over(order).alias("w"), F.row_number().over(order).alias("k")).where("k % 2 = 1 and w is not null")
     inside = spans.select("shape", "grid_row", _up_to(*clip(F.ceil(F.col("u") - 0.5), F.ceil(F.col("w") - 0.5) - 1, grid.width)).alias("grid_col"))
     if not all_touched:
-        return inside.distinct()
+        return inside.distinct().hint("merge")  # nothing is shuffled after the spans are exploded, so Spark's estimate is too low to broadcast by
     passed = e.withColumn("grid_row", _up_to(*clip(F.floor(low), F.floor(high), grid.height)))
     ends = [F.when(F.col("v1") == F.col("v2"), c).otherwise(_along(F.greatest(F.least(v, F.col("grid_row") + 1.0), F.col("grid_row").cast("double")))) for c, v in ((F.col("u1"), F.col("v1")), (F.col("u2"), F.col("v2")))]
     outline = passed.select("shape", "grid_row", _up_to(*clip(F.floor(F.least(*ends)), F.floor(F.greatest(*ends)), grid.width)).alias("grid_col"))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gridlore.operators import cells
+from gridlore.functions.grid import Grid
+from gridlore.operators import cells, polygons
 
 def broadcast_rows(df):
     """Rows of each broadcast of an executed frame."""
@@ -63,3 +64,18 @@ def test_neighbours_of_many_points(spark):
     got, rows = run(spark, lambda: cells.bilinear_filled(grid, "v", at))
     assert all(n <= 20_000 for n in rows)
     assert {x.rid: x.v for x in got} == {k: k // 120 + 0.5 for k in range(20_000)}
+
+
+def test_cells_of_shapes_that_cover_many(spark):
+    grid = Grid("g", 200, 100, 0.0, 1.0, 100.0, -1.0)
+    corners = F.array(*[F.struct(F.lit(j).alias("seq"), F.lit(x).alias("x"), F.lit(y).alias("y")) for j, (x, y) in enumerate([(-1.0, -1.0), (201.0, -1.0), (201.0, 101.0), (-1.0, 101.0)])])
+    shapes = spark.range(40).select(F.col("id").alias("shape"), F.lit(0).alias("ring"), F.inline(corners))
+
+    def count():
+        inside = polygons.covered_cells(shapes, grid, all_touched=False)
+        both = polygons.covered_cells(shapes, grid).join(inside.withColumn("inside", F.lit(1)), ["shape", "grid_row", "grid_col"], "left")
+        return both.groupBy("shape").agg(F.count("*").alias("n"), F.count("inside").alias("inside"))
+
+    got, rows = run(spark, count)
+    assert all(n <= 20_000 for n in rows)
+    assert sorted(map(tuple, got)) == [(k, 20_000, 20_000) for k in range(40)]
