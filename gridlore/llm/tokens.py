@@ -34,6 +34,14 @@ def default_path() -> str:
 _LETTERS_TO = "\u0250"
 
 
+def _single(text: str) -> bool:
+    """No white space side by side or at an end."""
+    flat = text.replace(_LF, " ")
+    if flat.isprintable():  # no white space but blanks
+        return not ("  " in flat or flat[0] == " " or flat[-1] == " ")
+    return not (_SPACES.search(text) or text[0].isspace() or text[-1].isspace())
+
+
 class _Bytes(dict):
     """Character -> the library's characters for its bytes, for str.translate."""
 
@@ -105,10 +113,11 @@ class WordIds:
 
         for w in words:
             base = w.rstrip(_MARKS)
-            if base == w or not base.isalpha() or not base.isascii():
-                one(w)
-            else:
+            letters = base[1:] if base[:1] == _LF else base
+            if base != w and letters.isalpha() and (letters.isascii() or max(letters) < _LETTERS_TO):
                 marked.append((w, base))
+            else:
+                one(w)
         for base in {b for _, b in marked}:
             if base not in new:
                 one(base)
@@ -128,13 +137,14 @@ class WordIds:
         for at in range(0, len(words), WORDS_AT_ONCE):
             part = words[at : at + WORDS_AT_ONCE]
             found = list(map(self.new.get, part))
-            if None in found:
-                self.learn({w for w, i in zip(part, found) if i is None})
-                found = list(map(self.new.get, part))
-                if None in found:  # the generations changed meanwhile
-                    self.learn({w for w, i in zip(part, found) if i is None})
-                    found = [i or self.new[w] for w, i in zip(part, found)]
-            out += found
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # None: words not met before; what was found stays valid if the generations change
+                missing = [k for k, i in enumerate(found) if i is None]
+                self.learn({part[k] for k in missing})
+                for k in missing:
+                    found[k] = self.new[part[k]]
+                out.append(b"".join(found))
         return b"".join(out)
 
     def __call__(self, text: str | None) -> bytes:
@@ -142,7 +152,7 @@ class WordIds:
             return b""
         if not self.cuts:
             return self.raw(text)
-        if not (_SPACES.search(text) or text[0].isspace() or text[-1].isspace()):
+        if _single(text):
             return self.ids((_LF + text).replace(_LF, " \n")[1:].split(" "))[4:]
         # white space side by side: cuts with any of it are encoded by themselves
         if len(self.other) > 20_000:
