@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPREAD_KEYS, join_spread, stage
+from .shared import SPREAD_KEYS, join_spread, n_seen, rows_seen, stage
 
 _WORD = re.compile(r"\w+")
 _BASE = 0x9E3779B97F4A7C15
@@ -162,15 +162,15 @@ def _indexed(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, t
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["item", "hash", "c", "needed", "k"])
 
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    items = stage(items.withColumns({"row": F.monotonically_increasing_id(), "h": F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))}), "items")
-    first = items.groupBy("h").agg(F.min("row").alias("item"), F.count("*").alias("n"))
-    first = stage(first, "classes")  # equal texts, told by 128 bits
+    items = stage(items.withColumns({"row": F.monotonically_increasing_id(), "h": F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))}), "items", **rows_seen())
+    first = items.groupBy("h").agg(F.min("row").alias("item"), F.count("*").alias("f")).withColumn("n", F.col("f"))
+    first = stage(first, "classes", **n_seen())  # equal texts, told by 128 bits
     classes = stage(items.join(first.select(F.col("item").alias("row")), "row").select(F.col("row").alias("item"), "text"), "texts")
-    members = stage(join_spread(items.select("h", "item_id", "row"), first.withColumn("f", F.col("n")), "h", items.count()), "members")
-    own = stage(classes.mapInArrow(cut, "item long, hash long, c long, needed long, k long"), "item-seeds")
-    common = stage(own.groupBy("hash").agg(F.count("*").alias("f")).withColumn("n", F.col("f")), "item-seed-counts")
+    members = stage(join_spread(items.select("h", "item_id", "row"), first, "h", items.seen["rows"]), "members")
+    own = stage(classes.mapInArrow(cut, "item long, hash long, c long, needed long, k long"), "item-seeds", **rows_seen())
+    common = stage(own.groupBy("hash").agg(F.count("*").alias("f")).withColumn("n", F.col("f")), "item-seed-counts", **n_seen())
     order = Window.partitionBy("item").orderBy(F.col("f").desc(), "hash")  # the seeds of one item
-    kept = join_spread(own, common, "hash", own.count()).withColumn("upto", F.sum("c").over(order)).where("upto >= needed")
+    kept = join_spread(own, common, "hash", own.seen["rows"]).withColumn("upto", F.sum("c").over(order)).where("upto >= needed")
     return classes, _lists(members, "item", "item_id", "row"), stage(kept.select("hash", "item", "k", "f"), "seeds")
 
 
@@ -218,15 +218,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, doc_text: str, id
     met = stage(src.mapInArrow(meet, "doc_id long, doc_text string, hashes array<long>").withColumn("doc", F.monotonically_increasing_id()), "met")
     asked = met.select("doc", F.explode("hashes").alias("hash"))
     counts = asked.groupBy("hash").agg(F.count("*").alias("n"))
-    of_seed = stage(_lists(joined, "hash", "item", "item").join(counts, "hash"), "asked-seeds")  # items that share a seed they can't do without
-    total = of_seed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = stage(join_spread(asked, of_seed, "hash", total).select("doc", F.explode("values").alias("item")).distinct(), "pairs")
+    of_seed = stage(_lists(joined, "hash", "item", "item").join(counts, "hash"), "asked-seeds", **n_seen())  # items that share a seed they can't do without
+    pairs = stage(join_spread(asked, of_seed, "hash", of_seed.seen["total"]).select("doc", F.explode("values").alias("item")).distinct(), "pairs", **rows_seen())
 
     # the items' texts go to the pairs, a common item's by as many salts as it fills shares; then a document's text goes to its pairs, list by list
     per_item = pairs.groupBy("item").agg(F.count("*").alias("n"))
-    both = stage(_salted(pairs, per_item, items, "item", "doc", pairs.count()).withColumn("bytes", F.octet_length("text")), "pair-texts")
-    per_doc = stage(both.groupBy("doc").agg(F.count("*").alias("n"), (1 + F.greatest(F.floor(F.count("*") / LIST), F.floor(F.sum("bytes") / LIST_BYTES))).alias("lists")), "pair-docs")
-    listed = join_spread(both.drop("bytes"), per_doc, "doc", per_doc.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    both = stage(_salted(pairs, per_item, items, "item", "doc", pairs.seen["rows"]).withColumn("bytes", F.octet_length("text")), "pair-texts")
+    per_doc = stage(both.groupBy("doc").agg(F.count("*").alias("n"), (1 + F.greatest(F.floor(F.count("*") / LIST), F.floor(F.sum("bytes") / LIST_BYTES))).alias("lists")), "pair-docs", **n_seen())
+    listed = join_spread(both.drop("bytes"), per_doc, "doc", per_doc.seen["total"])
     listed = listed.withColumn("list", F.pmod(F.xxhash64("item"), "lists")).groupBy("doc", "list").agg(F.collect_list(F.struct("item", "text")).alias("pairs"))
     whole = met.drop("hashes", "doc_id").join(per_doc.select("doc", "lists"), "doc").select("doc", "doc_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)).alias("list"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .shared import join_spread, shuffles_for, stage, unstage
+from .shared import join_spread, n_seen, rows_seen, shuffles_for, stage, unstage
 from .simhash import kept_rows
 
 RECALL = 0.999
@@ -318,20 +318,24 @@ def _across(radius: int, least: float):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v), staged, whose whole sets reach the similarity, staged."""
-    n = pairs.count()
+    """The pairs (u, v), staged with rows_seen, whose whole sets reach the similarity."""
+    n = pairs.seen["rows"]
     for c in ("u", "v"):
-        own = stage(pairs.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")).join(sets, "node").select(F.col("node").alias(c), F.col("own").alias(f"s{c}"), "n"), "asked")
+        own = stage(pairs.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")).join(sets, "node").select(F.col("node").alias(c), F.col("own").alias(f"s{c}"), "n"), "asked", **n_seen())
         pairs = join_spread(pairs, own, c, n)
     common = F.size(F.array_intersect("su", "sv"))
     near = pairs.select("u", "v", common.alias("c"), (F.size("su") + F.size("sv")).alias("n")).where(F.col("c") >= F.lit(least) * (F.col("n") - F.col("c")))
-    return stage(near.select("u", "v"), "near")
+    return near.select("u", "v")
 
 
 def _parts(rows: DataFrame, key: str, node: str, asks: Column, limit: int) -> DataFrame:
     """rows dealt by key in parts of about limit rows, each row once as one that is asked; rows for which asks holds also ask each part. Adds part and asks."""
-    sizes = stage(rows.groupBy(key).agg(F.ceil(F.count("*") / limit).alias("parts")).where("parts > 1"), "long")
-    rows = rows.join(F.broadcast(sizes), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # keys with more than limit rows: fewer than the rows by that factor
+    sizes = stage(rows.groupBy(key).agg(F.ceil(F.count("*") / limit).alias("parts")).where("parts > 1"), "long", **rows_seen())
+    if sizes.seen["rows"]:
+        rows = rows.join(F.broadcast(sizes), key, "left")
+    else:
+        rows = rows.withColumn("parts", F.lit(1).cast("long"))
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))  # sizes: keys with more than limit rows: fewer than the rows by that factor
     asked = rows.withColumns({"part": F.pmod(F.xxhash64(node), F.col("parts")), "asks": F.lit(False)})
     asking = rows.where(asks).withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "asks": F.lit(True)})
     return asked.unionByName(asking).drop("parts")
@@ -347,41 +351,40 @@ def _roots(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, seed
     keys = F.array(*[shape.key(i, F.col("fp")) for i in range(shape.segments)])
     rows = found.select(F.explode(keys).alias("key"), "node", F.col("fp")[0].alias("a"), F.col("fp")[1].alias("b"))
     met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met(shape.radius(128), ENTRY_ROWS), "key long, node long, a long, b long").select("key", "node")
-    met = stage(met.join(classes.select("node", "fp"), "node").select("key", "node", "fp"), "met")
-
-    n = met.count()
+    met = stage(met.join(classes.select("node", "fp"), "node").select("key", "node", "fp"), "met", **rows_seen())
 
     def near_of(dealt: DataFrame) -> DataFrame:
         rows = dealt.select("key", "part", "asks", "node", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "asks")
-        return stage(rows.mapInArrow(_near(radius), "u long, v long, d long").groupBy("u", "v").agg(F.max("d").alias("d")), "near")
+        return stage(rows.mapInArrow(_near(radius), "u long, v long, d long").groupBy("u", "v").agg(F.max("d").alias("d")), "near", **rows_seen())
 
-    with shuffles_for(docs.sparkSession, n, 20_000):
+    with shuffles_for(docs.sparkSession, met.seen["rows"], 20_000):
         near = near_of(_parts(met, "key", "node", F.lit(False), ENTRY_ROWS))
         long = met.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > ENTRY_ROWS)
-        long = stage(met.join(F.broadcast(long.drop("c")), "key"), "long-entries")  # keys with more than ENTRY_ROWS rows: fewer than the rows by that factor
-        if not long.isEmpty():
+        long = stage(met.join(F.broadcast(long.drop("c")), "key"), "long-entries", **rows_seen())  # keys with more than ENTRY_ROWS rows: fewer than the rows by that factor
+        if long.seen["rows"]:
             # parts of an entry were held against themselves; what is outside of the entry's largest group now asks all parts
-            grp = stage(connected_components(near.select("u", "v")), "groups")
+            grp = connected_components(near.select("u", "v"))
             long = stage(long.join(grp, "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root"), "grouped")
             main = long.groupBy("key", "grp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"))
             dealt = _parts(long.join(F.broadcast(main), "key"), "key", "node", F.col("grp") != F.col("main"), ENTRY_ROWS)
-            near = stage(near.unionByName(near_of(dealt)), "near")
-    with shuffles_for(docs.sparkSession, near.count()):
-        groups = stage(connected_components(near.select("u", "v")), "groups")
+            near = stage(near.unionByName(near_of(dealt)), "near", **rows_seen())
+    with shuffles_for(docs.sparkSession, near.seen["rows"]):
+        groups = connected_components(near.select("u", "v"))
         wanted = stage(classes.select("node", F.col("low").alias("id"), "fp").join(groups, "node"), "members")
         sets = stage(_sets(docs, wanted.select("node", "id"), id_col, text_col, shingle_words, seed), "sets")
         first = near.where("d >= 0").groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v"))
-        pairs = stage(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        pairs = stage(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs", **rows_seen())
         stars = lambda c: c.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        comp = stage(connected_components(_verified(pairs, sets, least)), "components")
+        comp = connected_components(_verified(pairs, sets, least))
         # groups in several components: what is outside of the largest is held against all
         at = stage(wanted.withColumnRenamed("root", "grp").join(comp, "node", "left").select("grp", "node", "fp", F.coalesce("root", "node").alias("comp")), "at")
         main = at.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("comps"))
-        main = stage(main.where("comps > 1").drop("comps"), "main")
-        mixed = join_spread(at, main, "grp", main.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        dealt = _parts(stage(mixed.join(sets, "node"), "mixed"), "grp", "node", F.col("comp") != F.col("main"), BLOCK).select("grp", "part", "asks", "node", "comp", "fp", "own")
-        more = dealt.repartition("grp", "part").sortWithinPartitions("grp", "part", "asks").mapInArrow(_across(radius, least), "u long, v long")
-        comp = stage(connected_components(stars(comp).unionByName(more)), "components")
+        main = stage(main.where("comps > 1").drop("comps"), "main", **n_seen())
+        if main.seen["rows"]:
+            mixed = join_spread(at, main, "grp", main.seen["total"])
+            dealt = _parts(stage(mixed.join(sets, "node"), "mixed"), "grp", "node", F.col("comp") != F.col("main"), BLOCK).select("grp", "part", "asks", "node", "comp", "fp", "own")
+            more = dealt.repartition("grp", "part").sortWithinPartitions("grp", "part", "asks").mapInArrow(_across(radius, least), "u long, v long")
+            comp = connected_components(stars(comp).unionByName(more))
     out = stage(classes.join(comp, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root")), "roots")
     unstage(met, sets)
     return by_doc, out

@@ -8,7 +8,7 @@ import uuid
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only in a local session that names no ``spark.checkpoint.dir`` (tests on one machine).
@@ -53,16 +53,31 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: the lineage ends there."""
+def stage(df: DataFrame, name: str, **seen: Column) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: the lineage ends there.
+
+    seen: aggregates of the rows that are written, which come with the write, without a job of their own; the result's ``seen`` has them (null: 0).
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    watch = Observation()
+    rows = df.observe(watch, *[c.alias(k) for k, c in seen.items()]) if seen else df
+    rows.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
+    out.staged_path, out.seen = path, {k: v or 0 for k, v in watch.get.items()} if seen else {}
     return out
 
 
+def rows_seen() -> dict[str, Column]:
+    """For stage: the number of rows."""
+    return {"rows": F.count(F.lit(1))}
+
+
+def n_seen() -> dict[str, Column]:
+    """For stage, of a table with a column n: the number of rows, the largest n and the sum of n."""
+    return rows_seen() | {"most": F.max("n"), "total": F.sum("n")}
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in frames:
@@ -78,11 +93,12 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFr
     """many joined with one on key; one has a row for each key, with n, about the rows of many that have it (n goes). total: the sum of n.
 
     Keys with more than a SPREAD_KEYS-th of the rows (fewer than SPREAD_KEYS) are broadcast, so their rows stay where they are; the
-    others are shuffled, and none of them can fill a task. Both tables should be staged: each is read twice.
+    others are shuffled, and none of them can fill a task. Both tables should be staged: each is read twice. If the largest n was seen as one was staged (n_seen), no job asks for it.
     """
     limit = max(256, total // SPREAD_KEYS)
     hot = one.where(F.col("n") > limit).drop("n")
-    if hot.isEmpty():
+    most = getattr(one, "seen", {}).get("most")
+    if hot.isEmpty() if most is None else most <= limit:
         return many.join(one.drop("n"), key)
     rest = many.join(F.broadcast(hot.select(key)), key, "left_anti")
     return many.join(F.broadcast(hot), key).unionByName(rest.join(one.where(F.col("n") <= limit).drop("n"), key))

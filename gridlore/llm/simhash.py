@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .shared import join_spread, stage
+from .shared import join_spread, rows_seen, stage
 
 #: Shingle hashes that are unpacked to bits at a time.
 BITS_AT_ONCE = 1 << 16
@@ -180,10 +180,10 @@ def kept_rows(docs: DataFrame, by_doc: DataFrame, classes: DataFrame, class_of:
     first = classes.where("low is not null").groupBy("root").agg(F.min(F.struct("low", "node")).alias("one")).select(F.col("one.low").alias("id"), F.col("one.node").alias("node"))
     first = stage(first, "first")
     times = by_doc.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    unsure = stage(first.join(times, "id", "left_semi"), "unsure")
+    unsure = stage(first.join(times, "id", "left_semi"), "unsure", **rows_seen())
     sure = docs.join(first.join(unsure.select("id").distinct(), "id", "left_anti").select(F.col("id").alias(id_col)), id_col, "left_semi")
     kept = sure.unionByName(docs.where(F.col(id_col).isNull()))
-    if unsure.isEmpty():
+    if not unsure.seen["rows"]:
         return kept.select(docs.columns)
 
     @F.pandas_udf("long")
